@@ -25,19 +25,38 @@ U = np.uint64
 #: Counters of the rarity sketch, and groups (dimensions) of a point.
 SKETCH = 1 << 16
 CHUNK = 1 << 10
-GROUPS = 64
+GROUPS, FINEST = 64, 8192
 #: Points in a leaf and boxes in a node of an R-tree; texts of a cell that one tree takes, beyond which pairs of trees are joined.
 LEAF, FANOUT, TREE = 8, 8, 4096
 #: Entries that a routing bucket should have.
 BUCKET = 1 << 20
 
 
-def points(sets: list[np.ndarray]) -> np.ndarray:
-    """Group counts of hash sets."""
-    out = np.zeros((len(sets), GROUPS), dtype=np.int32)
-    for i, s in enumerate(sets):
-        out[i] = np.bincount((s >> U(58)).astype(np.int64), minlength=GROUPS)
-    return out
+def fine_point(s: np.ndarray) -> np.ndarray:
+    """Group counts of a hash set, with two to four tokens a group: the more tokens, the more groups, up to FINEST."""
+    bits = max(GROUPS.bit_length() - 1, min(FINEST.bit_length() - 1, len(s).bit_length() - 2))
+    counts = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8) if counts.max() < 256 else counts.astype(np.uint32)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The same point with fewer groups, each the sum of neighbouring ones."""
+    return point.reshape(groups, -1).sum(axis=1, dtype=np.int64)
+
+
+def packed(point: np.ndarray) -> bytes:
+    return bytes([point.dtype.itemsize]) + point.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint8 if data[0] == 1 else "<u4", offset=1)
+
+
+def common_at_most(a: np.ndarray, b: np.ndarray) -> int:
+    """Bound of the common tokens of two points by the sum of coordinate minima."""
+    if len(a) != len(b):
+        a, b = (folded(x, min(len(a), len(b))) for x in (a, b))
+    return int(np.minimum(a, b).sum(dtype=np.int64))
 
 
 def needed(a, b, percent: int):
@@ -85,15 +104,15 @@ class RTree:
         yield from (self.order[first:last][common >= needed(n, self.size[first:last], percent)]).tolist()
 
 
-def linked(at: np.ndarray, size: np.ndarray, percent: int, similar: Callable[[int, int], bool] | None = None) -> np.ndarray:
-    """Root (smallest number) of each point's component under the similarity; without `similar` the bound stands for it.
+def linked(at: np.ndarray, size: np.ndarray, percent: int, similar: Callable[[int, int], bool]) -> np.ndarray:
+    """Root (smallest number) of each point's component; the tree proposes pairs by the bound in GROUPS dimensions, `similar` judges them.
 
     A subtree whose points are all in the query's component is passed over, so a group of m copies takes about m checks.
     """
     n = len(size)
     root = np.arange(n)
     if n == 2:
-        if np.minimum(at[0], at[1]).sum() >= needed(size[0], size[1], percent) and (similar is None or similar(0, 1)):
+        if np.minimum(at[0], at[1]).sum() >= needed(size[0], size[1], percent) and similar(0, 1):
             root[1] = 0
         return root
     blocks = [np.arange(a, min(a + TREE, n)) for a in range(0, n, TREE)]
@@ -110,7 +129,7 @@ def linked(at: np.ndarray, size: np.ndarray, percent: int, similar: Callable[[in
 
             for i in tree.candidates(at[q], int(size[q]), percent, skip):
                 j = int(block[i])
-                if j < q and root[j] != root[q] and (similar is None or similar(j, q)):
+                if j < q and root[j] != root[q] and similar(j, q):
                     low, high = sorted((int(root[j]), int(root[q])))
                     root[root == high] = low
     return root
@@ -144,8 +163,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if short:
                 counts += np.bincount((np.concatenate(short) & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             m = b - a
-            at = points(sets).astype("<u4")
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array([len(s) for s in sets], pa.int32()), pa.array(d1), pa.array(d2), pa.array([x.tobytes() for x in at], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array([len(s) for s in sets], pa.int32()), pa.array(d1), pa.array(d2), pa.array([packed(fine_point(s)) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
     k = SKETCH // CHUNK
     empty = lambda t: pa.nulls(k, t)
     yield pa.RecordBatch.from_arrays([empty(pa.int64()), empty(pa.int32()), empty(pa.int64()), empty(pa.int64()), empty(pa.binary()), pa.array(range(k), pa.int32()), pa.array([c.astype("<u8").tobytes() for c in counts.reshape(k, CHUNK)], pa.binary())], names)
@@ -242,8 +260,13 @@ def _edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         node = group.column(1).to_numpy()
         first = np.unique(node, return_index=True)[1]
         node = node[first]
-        at = np.frombuffer(b"".join(group.column(3).to_pylist()), dtype="<u4").reshape(-1, GROUPS)[first].astype(np.int64)
-        root = linked(at, group.column(2).to_numpy()[first].astype(np.int64), percent)
+        fine = [unpacked(p) for p in group.column(3).take(pa.array(first)).to_pylist()]
+        size = group.column(2).to_numpy()[first].astype(np.int64)
+
+        def near(i: int, j: int, fine: list = fine, size: np.ndarray = size) -> bool:
+            return common_at_most(fine[i], fine[j]) >= needed(size[i], size[j], percent)
+
+        root = linked(np.stack([folded(f, GROUPS) for f in fine]), size, percent, near)
         more = np.flatnonzero(root != np.arange(len(root)))
         a += node[more].tolist()
         b += node[root[more]].tolist()
@@ -263,13 +286,17 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         node = node[order]
         size = np.array([len(s) for s in sets], dtype=np.int64)
 
-        def similar(i: int, j: int, sets: list = sets) -> bool:
+        fine = [fine_point(s) for s in sets]
+
+        def similar(i: int, j: int, sets: list = sets, fine: list = fine) -> bool:
             a, b = sets[i], sets[j]
+            if common_at_most(fine[i], fine[j]) < needed(len(a), len(b), percent):
+                return False
             place = np.minimum(np.searchsorted(b, a), len(b) - 1)
             common = int((b[place] == a).sum())
             return 100 * common >= percent * (len(a) + len(b) - common)
 
-        root = linked(points(sets).astype(np.int64), size, percent, similar)
+        root = linked(np.stack([folded(f, GROUPS) for f in fine]), size, percent, similar)
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], ["node", "root"])
 
 
