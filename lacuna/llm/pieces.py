@@ -25,7 +25,7 @@ SPACE = "▁"
 LITERAL = ""
 #: Score of a character that only its bytes can spell, below the lowest piece.
 UNKNOWN_STEP = 10.0
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 SCORE, STEP, IDS = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
@@ -54,7 +54,9 @@ class PieceLattice:
         self.starts |= {p: (i, self.scores[i]) for p, i in self.ids.items()}
         self.unknown = min(self.scores[i] for p, i in self.ids.items() if p.strip(SPACE)) - UNKNOWN_STEP
         self.split = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.known: dict[str, tuple[float, float, list[int], list[float]]] = {}
+        self.known: dict[str, tuple[float, float, tuple[int, ...]]] = {}
+        self.ranked: dict[str, list[float]] = {}
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
 
     def forward(self, word: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
         """For every end the arcs (start, score, piece or -1) of the lattice, and the best score of every prefix."""
@@ -79,20 +81,69 @@ class PieceLattice:
                 best[a + 1] = max(best[a + 1], base + self.unknown)
         return ends, best
 
-    def word(self, word: str, n: int) -> tuple[float, float, list[int], list[float]]:
-        """Of a word's up to n best segmentations: the best score, the step to the second (infinite if none), the best ids, all
-        scores. Equal scores stand in order of discovery, which is deterministic."""
+    def word(self, word: str) -> tuple[float, float, tuple[int, ...]]:
+        """The best score of a word, the step down to its second (infinite if there is none), and the best ids.
+
+        The second best shares an end with the best and leaves it by the next-best arc into some place on its way, so the step
+        is the least difference between the two best ways into a place. Equal scores take the arc that starts first.
+        """
         if word == LITERAL:
-            return self.unknown, float("inf"), [self.bytes[b] for b in SPACE.encode()], [self.unknown]
-        found = self.search(word, n)
-        scores = [s for s, _ in found]
-        own = scores[0], scores[0] - scores[1] if len(scores) > 1 else float("inf"), found[0][1], scores
+            return self.unknown, float("inf"), tuple(self.bytes[b] for b in SPACE.encode())
+        if len(word) > 2 and (word[-2:] not in self.pairs):  # no piece spans the last two characters
+            a, b = (self.known.get(w) or self.word(w) for w in (word[:-1], word[-1]))
+            own = a[0] + b[0], min(a[1], b[1]), a[2] + b[2]
+        else:
+            own = self.one_best(word)
         if len(word) <= 48:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[word] = own
         return own
 
+    def one_best(self, word: str) -> tuple[float, float, tuple[int, ...]]:
+        size, low, starts = len(word), float("-inf"), self.starts.get
+        best, second, back = [low] * (size + 1), [low] * (size + 1), [(0, -1)] * (size + 1)
+        best[0] = 0.0
+        for a in range(size):
+            base, single = best[a], False
+            for b in range(a + 1, size + 1):
+                found = starts(word[a:b])
+                if found is None:
+                    break
+                piece, score = found
+                if piece >= 0:
+                    score += base
+                    if b == a + 1:
+                        single = True
+                    if score > best[b]:
+                        best[b], second[b], back[b] = score, best[b], (a, piece)
+                    elif score > second[b]:
+                        second[b] = score
+            if not single:
+                score, b = base + self.unknown, a + 1
+                if score > best[b]:
+                    best[b], second[b], back[b] = score, best[b], (a, -1)
+                elif score > second[b]:
+                    second[b] = score
+        ids, step, at = [], float("inf"), size
+        while at:
+            a, piece = back[at]
+            if best[at] - second[at] < step:
+                step = best[at] - second[at]
+            ids.append(piece) if piece >= 0 else ids.extend([self.bytes[x] for x in reversed(word[a:at].encode())])
+            at = a
+        return best[size], step, tuple(reversed(ids))
+
+    def scores_of(self, word: str) -> list[float]:
+        """Scores of the word's up to n best segmentations, by A-star search."""
+        found = self.ranked.get(word)
+        if found is None:
+            found = [self.unknown] if word == LITERAL else [s for s, _ in self.search(word, self.n)]
+            if len(self.ranked) >= REMEMBERED // 10:
+                self.ranked.clear()
+            self.ranked[word] = found
+        return found
+
     def search(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         size = len(word)
         ends, best = self.forward(word)
@@ -137,14 +188,16 @@ class PieceLattice:
         n, words = self.n, self.words(text)
         own = list(map(self.known.get, words))
         if None in own:
-            fresh = {w: self.word(w, n) for w, e in zip(words, own, strict=True) if e is None}
+            fresh = {w: self.known.get(w) or self.word(w) for w in {w for w, e in zip(words, own, strict=True) if e is None}}
             own = [fresh[w] if e is None else e for w, e in zip(words, own, strict=True)]
         total = sum(map(SCORE, own))
         # A text's n best take a rank from each word's list; only the words with the n - 1 smallest first steps can leave rank 1.
         losses = [0.0]
-        for entry in heapq.nsmallest(n - 1, own, key=STEP) if n > 2 else [min(own, key=STEP)] if own and n == 2 else []:
-            if len(entry[3]) > 1:
-                losses = heapq.nsmallest(n, [x + entry[0] - y for x in losses for y in entry[3]])
+        steps = list(map(STEP, own))
+        for i in heapq.nsmallest(n - 1, range(len(own)), key=steps.__getitem__) if n > 1 else []:
+            if steps[i] < float("inf"):
+                ranked = self.scores_of(words[i])
+                losses = heapq.nsmallest(n, [x + ranked[0] - y for x in losses for y in ranked])
         return list(chain.from_iterable(map(IDS, own))), [total - x for x in losses]
 
     def decode(self, ids: list[int]) -> str:
