@@ -125,13 +125,7 @@ def canonical_turns(records: DataFrame, json_col: str, layouts: tuple[Layout, ..
             items = get(layout.turns, f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
             names = dict(layout.roles)
 
-            def turn(x: Column, layout: Layout = layout, names: dict = names) -> Column:
-                role = x[layout.role]
-                for a, b in names.items():
-                    role = F.when(role == a, b).otherwise(role)
-                return F.struct(role.alias("role"), F.coalesce(x[layout.text], F.lit("")).alias("text"))
-
-            own = F.transform(items, turn)
+            own = F.transform(items, _turn_reader(layout.role, layout.text, names))
         else:
             own = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(get(p, "string"), F.lit("")).alias("text"), F.lit(p == "input").alias("o")) for r, p in layout.parts))
             own = F.transform(F.filter(own, lambda x: ~(x["o"] & (x["text"] == ""))), lambda x: F.struct(x["role"], x["text"]))
@@ -139,6 +133,16 @@ def canonical_turns(records: DataFrame, json_col: str, layouts: tuple[Layout, ..
     return records.withColumns({"fingerprint": key, "turns": turns})
 
 
+def _turn_reader(role_field: str, text_field: str, names: dict[str, str]):
+    def turn(x: Column) -> Column:
+        role = x[role_field]
+        for a, b in names.items():
+            role = F.when(x[role_field] == a, b).otherwise(role)
+        return F.struct(role.alias("role"), F.coalesce(x[text_field], F.lit("")).alias("text"))
+
+    return turn
+
+
 def turns_of_rows(rows: DataFrame) -> DataFrame:
     """conv_id, turn, role, text of a table with a row for each turn, whose fingerprint must be that of ROWS."""
     if not set(ROWS) <= set(rows.columns) or fingerprint(field_paths(rows.select(*ROWS).schema)) != fingerprint(list(ROWS)):
