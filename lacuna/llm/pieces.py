@@ -11,12 +11,13 @@ from __future__ import annotations
 import array
 import functools
 import heapq
+import re
 from collections.abc import Iterator
 from itertools import chain
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ SPACE = "▁"
 LITERAL = ""
 #: Score of a character that only its bytes can spell, below the lowest piece.
 UNKNOWN_STEP = 10.0
-REMEMBERED = 800_000
+REMEMBERED = 100_000
 SCORE, STEP, IDS = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
@@ -53,10 +54,17 @@ class PieceLattice:
         self.starts = {p[:k]: (-1, 0.0) for p in self.ids for k in range(1, len(p))}
         self.starts |= {p: (i, self.scores[i]) for p, i in self.ids.items()}
         self.unknown = min(self.scores[i] for p, i in self.ids.items() if p.strip(SPACE)) - UNKNOWN_STEP
-        self.split = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.known: dict[str, tuple[float, float, tuple[int, ...]]] = {}
         self.ranked: dict[str, list[float]] = {}
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        # Cuts that no piece spans: before a space mark, around a line end that is in no piece, between a Latin letter and a stop.
+        latin = "A-Za-zÀ-ÖØ-öø-ɏ"
+        ends = "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids))
+        stops = re.escape("".join(c for c in ".,;:!?" if not any(x[1] == c and re.match(f"[{latin}]", x[0]) for x in self.pairs))) or SPACE
+        self.split = re.compile(rf"{SPACE}+(?:[{latin}]++(?=[{stops}])|[^{SPACE}{ends}]*+)|[{stops}][^{SPACE}{ends}]*+|[{latin}]++(?=[{stops}])|[^{SPACE}{ends}]++" + (f"|[{ends}]" if ends else ""))
+        self.unknown = min(self.scores[i] for p, i in self.ids.items() if p.strip(SPACE)) - UNKNOWN_STEP
+        self.known: dict[str, tuple[float, float, tuple[int, ...]]] = {}
+        self.ranked: dict[str, list[float]] = {}
 
     def forward(self, word: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
         """For every end the arcs (start, score, piece or -1) of the lattice, and the best score of every prefix."""
@@ -194,10 +202,14 @@ class PieceLattice:
         # A text's n best take a rank from each word's list; only the words with the n - 1 smallest first steps can leave rank 1.
         losses = [0.0]
         steps = list(map(STEP, own))
-        for i in heapq.nsmallest(n - 1, range(len(own)), key=steps.__getitem__) if n > 1 else []:
-            if steps[i] < float("inf"):
-                ranked = self.scores_of(words[i])
-                losses = heapq.nsmallest(n, [x + ranked[0] - y for x in losses for y in ranked])
+        for _ in range(min(n - 1, len(steps))):
+            least = min(steps)
+            if least == float("inf"):
+                break
+            i = steps.index(least)
+            steps[i] = float("inf")
+            ranked = self.scores_of(words[i])
+            losses = heapq.nsmallest(n, [x + ranked[0] - y for x in losses for y in ranked])
         return list(chain.from_iterable(map(IDS, own))), [total - x for x in losses]
 
     def decode(self, ids: list[int]) -> str:
@@ -235,7 +247,7 @@ def encode_pieces(docs: DataFrame, path: str, n_best: int = 4, text_col: str = "
                 offsets = pa.array([None if t is None else s for t, s in zip(texts, sizes, strict=False)] + sizes[-1:], pa.int32())
                 n = pa.array([b - a for a, b in zip(sizes, sizes[1:], strict=False)], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), n, pa.array(scores, pa.list_(pa.float64())), pa.array(decoded, pa.string())],
+                    [*batch.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(ids, dtype=np.int32))), n, pa.array(scores, pa.list_(pa.float64())), pa.array(decoded, pa.string())],
                     [*(k for k, _ in kinds), "piece_ids", "n_pieces", "nbest_scores", "decoded"],
                 )
 

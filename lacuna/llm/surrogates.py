@@ -164,7 +164,8 @@ def entities(found: DataFrame) -> DataFrame:
 def redraws(known: DataFrame, key: str) -> DataFrame | None:
     """(kind, norm, attempt) of the entities whose first surrogates are taken or real; None if all differ."""
     plain = F.when(F.col("kind") == "name", F.substr("norm", F.lit(3))).otherwise(F.col("norm"))
-    known = materialise(known.select("kind", "norm", plain.alias("plain")), "entities")
+    spread = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work a row
+    known = materialise(known.select("kind", "norm", plain.alias("plain")).repartition(spread, "norm"), "entities")
     drawn = known.withColumn("attempt", F.lit(0))
     moved = False
     while True:
