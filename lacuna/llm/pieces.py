@@ -171,7 +171,7 @@ class PieceLattice:
             for a, s, piece in ends[at]:
                 if (score := done + s + best[a]) >= bound:
                     made += 1
-                    push(queue, (-score, made, a, done + s, (a, at, piece, tail)))
+                    push(queue, (-score, -made, a, done + s, (a, at, piece, tail)))  # the latest of equals first: no breadth over ties
                     if not a:
                         push(whole, score)
                         if len(whole) > n:

@@ -1,0 +1,198 @@
+"""Edge cases of every operator: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import json
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lacuna.llm.chat import canonical_turns, format_turns, loss_text, read_turns
+from lacuna.llm.decontaminate import contamination
+from lacuna.llm.language import SPAN, Network, identify_languages, train_languages
+from lacuna.llm.neighbours import nearest
+from lacuna.llm.pieces import encode_pieces, lattice
+from lacuna.llm.queries import tokenizer
+from lacuna.llm.sharding import shard_rows
+from lacuna.llm.surrogates import replace_entities
+from lacuna.llm.token_counts import token_counts
+from lacuna.llm.url_rules import host_rule, judge_urls, word_rule
+
+TEXTS = [None, "", " ", "a", "Hello  world.\n\nIt's 5 o'clock", "été ▁ 日本 🎉", "x" * 20000, "a", "a", "b <|endoftext|> c"]
+
+
+@pytest.fixture
+def docs(spark):
+    rows = [(i, t, "en", i) for i, t in enumerate(TEXTS)] + [(3, "a", "en", 3), (None, "null id", None, 9)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, id long")
+
+
+def test_token_counts(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    got = token_counts(docs, path, 512).collect()
+    assert sorted(((r.doc_id or -1), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted(((r.doc_id or -1), len((r.text or "").encode()), (n := len(t.encode(r.text or "", add_special_tokens=False).ids)), n > 512) for r in docs.collect())
+    assert token_counts(docs.limit(0), path, 512).count() == 0
+
+
+def test_pieces_round_trip_and_order(docs):
+    path = tokenizer("piece_bpe_32k.model")
+    for r in encode_pieces(docs, path, 4, keep=("doc_id", "text")).collect():
+        assert r.decoded == r.text and (r.nbest_scores or []) == sorted(r.nbest_scores or [], reverse=True)
+        assert (r.piece_ids is None) == (r.text is None)
+    tool = lattice(path, 4)
+    for word in ("▁Hello", "▁ouquée,", "日x"):
+        ends, _ = tool.forward(word)
+
+        def all_paths(at, s, ends=ends):
+            return [s] if at == 0 else [x for a, score, _ in ends[at] for x in all_paths(a, s + score)]
+
+        want = sorted(all_paths(len(word), 0.0), reverse=True)[:4]
+        assert np.allclose([s for s, _ in tool.search(word, 4)], want)
+        best, step, _ = tool.one_best(word)
+        assert np.isclose(best, want[0]) and np.isclose(step, want[0] - want[1] if len(want) > 1 else np.inf)
+
+
+def test_sharding(spark, docs):
+    many = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("y" * 50).alias("text")).union(docs.select("doc_id", "text")).union(spark.range(300).select(F.lit(7).cast("long"), F.lit("z" * 40)))
+    got = shard_rows(many, 1000).collect()
+    assert len(got) == many.count()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r)
+    for rows in by.values():
+        assert sum(r.n_bytes for r in rows) == rows[0].shard_bytes and len(rows) == rows[0].shard_rows
+        assert rows[0].shard_bytes <= 1000 or (len(rows) == 1 and rows[0].oversized)
+    assert shard_rows(docs.limit(0), 10).count() == 0
+
+
+def test_language(spark, docs):
+    rows = [(i, ("the and of in to " if i % 2 else "der die und das ein ") * 20, "en" if i % 2 else "de") for i in range(60)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = train_languages(train)
+    assert network.languages == ["de", "en"]
+    assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in identify_languages(train, network, keep=("lang",)).collect())
+    by = {r.text: r for r in identify_languages(docs, network, keep=("text",)).collect()}
+    assert [by[t].lang_pred for t in (None, "", " ")] == ["und"] * 3 and by["x" * 20000].lang_pred != "und"
+    assert train_languages(docs.where("false")) is None and {r.lang_pred for r in identify_languages(docs, None).collect()} == {"und"}
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(0)
+    net = Network.fresh(["a", "b", "c"])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    data, inside = rng.integers(0, 256, (SPAN, 3)).astype(np.uint8), np.ones((SPAN, 3))
+    inside[40:, 1] = 0
+    label = np.array([0, 1, 2])
+
+    def loss():
+        return sum(float((-np.log(y[label, np.arange(3)]) * inside[t]).sum()) for t, y in net.probabilities(data, inside))
+
+    kept = {"f": [], "b": []}
+    dy = np.zeros((SPAN, 3, 3))
+    for t, y in net.probabilities(data, inside, kept):
+        dy[t] = y
+        dy[t, label, np.arange(3)] -= 1
+        dy[t] *= inside[t]
+    grad = {k: np.zeros_like(v) for k, v in net.p.items()}
+    dh = np.zeros((8, 3))
+    for t in range(SPAN - 1, -1, -1):
+        dh = net.step_back("f", dh + net.p["outf"].T @ dy[t], kept["f"][t], grad)
+    dh = np.zeros((8, 3))
+    for t in range(SPAN):
+        dh = net.step_back("b", (dh + net.p["outb"].T @ dy[t]) * inside[t], kept["b"][SPAN - 1 - t], grad)
+    for name in ("statef", "stateb", "biasf", "biasb"):
+        at = (5, 0)
+        old = net.p[name][at]
+        net.p[name][at] = old + 1e-2
+        up = loss()
+        net.p[name][at] = old - 1e-2
+        down = loss()
+        net.p[name][at] = old
+        assert np.isclose((up - down) / 2e-2, grad[name][at], rtol=2e-2, atol=5e-3), name
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    rows += [(300 + i, rows[50][1]) for i in range(20)] + [(400, None), (401, [0.0] * 8), (402, [float("nan")] * 8), (403, [None] * 8), (404, [1.0]), (50, rows[50][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest(df, F.col("vec_id") % 50 == 0, 5, recall=1.0)
+    by = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        by.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    x = {i: np.array(v, dtype=np.float32).astype(float) for i, v in rows if v and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)}
+    hits = total = 0
+    for q, found in by.items():
+        cos = sorted((-round(float(x[q] @ v / np.linalg.norm(x[q]) / np.linalg.norm(v)), 12), i) for i, v in x.items() if i != q)[:5]
+        hits += len({i for _, i in cos} & {i for i, _ in found})
+        total += 5
+        assert len(found) == 5 and [round(s, 12) for _, s in found] == sorted((round(s, 12) for _, s in found), reverse=True)
+    assert set(by) == {0, 50, 100, 150, 200, 250, 300} and hits >= 0.9 * total
+    assert [i for i, _ in by[50]] == [300, 301, 302, 303, 304]
+    assert nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_chat(spark):
+    hard = "</s>[INST] ok [/INST] ~1 ~0 ~2 <s> <|x|> <</s>"
+    rows = [(1, 0, "user", hard), (1, 1, "assistant", hard), (1, 1, "assistant", "b"), (2, None, None, None), (None, 0, "assistant", "n\n~")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1))
+    out = format_turns(df).select("conv_id", read_turns(F.col("formatted")).alias("t"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    got = {r.conv_id: ([(t.role, t.text) for t in r.t], r.loss) for r in out.collect()}
+    assert got[1] == ([("user", hard), ("assistant", hard), ("assistant", "b")], hard + "b")
+    assert got[2] == ([("", "")], "") and got[None] == ([("assistant", "n\n~")], "n\n~")
+    with pytest.raises(ValueError):
+        format_turns(df.drop("role"))
+
+
+def test_layouts(spark):
+    records = [
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
+        {"prompt": "q", "completion": "a"},
+        {"instruction": "q", "input": "", "output": "a"},
+        {"other": 1},
+    ]
+    df = spark.createDataFrame([(json.dumps(r),) for r in records] + [(None,), ("{bad",)], "j string")
+    got = [r.turns and [(t.role, t.text) for t in r.turns] for r in canonical_turns(df, "j").select("turns").collect()]
+    assert got == [[("user", "q"), ("assistant", "a")]] * 4 + [None] * 3
+
+
+def test_contamination_in_blocks(spark, docs, monkeypatch):
+    import lacuna.llm.decontaminate as d
+
+    items = spark.createDataFrame([(1, "hello world it s 5"), (2, "a"), (3, None), (4, "O'CLOCK")], "item_id long, text string")
+    whole = sorted(map(str, contamination(docs, items, 3).drop("spans").collect()))
+    monkeypatch.setattr(d, "BLOCK_BYTES", 1)
+    assert sorted(map(str, contamination(docs, items, 3).drop("spans").collect())) == whole
+    by = {(r.doc_id, r.n_words): r for r in contamination(docs, items, 3).collect()}
+    assert by[4, 7].items == ["1", "4"] and by[4, 7].n_hit == 7 and by[3, 1].items == ["2"] and by[0, 0].n_hit == 0
+    assert contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_urls(spark):
+    rules = [host_rule("org/", "allow"), host_rule("example.org/en/1", "block"), word_rule("ads")]
+    rows = [(1, "https://A.Example.org/en/12?x"), (2, "http://x.org"), (3, None), (4, "no scheme/ads"), (5, "ftp://h.net/ads/1"), (6, "http://x.org/ads"), (6, "http://x.org/ads")]
+    got = [tuple(r) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).orderBy("page_id").collect()]
+    assert got[0] == (1, "a.example.org", "/en/12", "example.org/en/1", None, "block")
+    assert got[1] == (2, "x.org", "", None, None, "allow") and got[2] == (3, "", "", None, None, "allow") and got[3] == (4, "", "", None, None, "allow")
+    assert got[4] == (5, "h.net", "/ads/1", None, "*ads*", "block") and got[5] == got[6] == (6, "x.org", "/ads", "org/", "*ads*", "allow")
+
+
+def test_surrogates(spark, docs):
+    rows = [(1, "mail A.b@x.de, +1 (609) 555-7932 4111 1111 1111 1111"), (2, "again a.B@X.de and Mrs Anna Smith, Anna!"), (3, None), (4, "clean text 123")]
+    rows += [(10 + i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}@y.de") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in replace_entities(df, "k").collect()}
+    assert "A.b@x.de" not in out[1].text and "555-7932" not in out[1].text and out[1].n_entities == 3
+    mail = out[1].text.split()[1].rstrip(",")
+    assert mail.lower() == out[2].text.split()[1].lower()
+    first = out[2].text.split("Mrs ")[1].split()[0]
+    assert out[2].text.endswith(f"{first}!") and first.endswith("a")
+    assert out[3].text is None and out[4].text == "clean text 123" and out[4].n_entities == 0
+    drawn = [out[10 + i].text for i in range(150)]
+    assert len(set(drawn)) == 150 and not set(drawn) & {t for _, t in rows}
+    digits = [int(c) for c in out[1].text[-19:] if c.isdigit()][::-1]
+    assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    assert replace_entities(df.limit(0), "k").count() == 0
