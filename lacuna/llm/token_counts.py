@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: The pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose counts a worker remembers; the memory is emptied when full, so it is bounded and changes no result.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 def byte_symbols() -> list[str]:
