@@ -3,7 +3,7 @@
 A forward Viterbi pass gives the best score of every prefix; they are exact heuristics of an A-star search that runs
 backward from the end of the text, so complete segmentations leave its queue in order of their scores. No piece spans the
 start of a word (a space mark after another character), so the lattice of a text is a chain of word lattices: each distinct
-word is searched once, and the same A-star order over the chain gives the n best of the whole text.
+word is searched once (many words at a time, as arrays), and the same A-star order over the chain gives the n best of the whole text.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ import array
 import functools
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,12 @@ SPACE = "▁"
 LITERAL = ""
 #: Score of a character that only its bytes can spell, below the lowest piece.
 UNKNOWN_STEP = 10.0
-REMEMBERED = 100_000
+#: Words whose results a worker remembers beside those of the batch at hand, none longer than LONG after it.
+REMEMBERED, LONG = 100_000, 48
+#: Characters with a column in the table of piece beginnings, and words taken together through it.
+CHARACTERS, TOGETHER = 256, 8192
+#: Text bytes and rows of a batch; a longer text is a batch by itself.
+BATCH_BYTES, BATCH_ROWS = 1 << 21, 2048
 SCORE, STEP, IDS = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
@@ -54,7 +61,7 @@ class PieceLattice:
         self.starts = {p[:k]: (-1, 0.0) for p in self.ids for k in range(1, len(p))}
         self.starts |= {p: (i, self.scores[i]) for p, i in self.ids.items()}
         self.unknown = min(self.scores[i] for p, i in self.ids.items() if p.strip(SPACE)) - UNKNOWN_STEP
-        self.known: dict[str, tuple[float, float, tuple[int, ...]]] = {}
+        self.known: dict[str, tuple[float, float, bytes]] = {}
         self.ranked: dict[str, list[float]] = {}
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         # Cuts that no piece spans: before a space mark, around a line end that is in no piece, between a Latin letter and a stop.
@@ -62,9 +69,23 @@ class PieceLattice:
         ends = "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids))
         stops = re.escape("".join(c for c in ".,;:!?" if not any(x[1] == c and re.match(f"[{latin}]", x[0]) for x in self.pairs))) or SPACE
         self.split = re.compile(rf"{SPACE}+(?:[{latin}]++(?=[{stops}])|[^{SPACE}{ends}]*+)|[{stops}][^{SPACE}{ends}]*+|[{latin}]++(?=[{stops}])|[^{SPACE}{ends}]++" + (f"|[{ends}]" if ends else ""))
-        self.unknown = min(self.scores[i] for p, i in self.ids.items() if p.strip(SPACE)) - UNKNOWN_STEP
-        self.known: dict[str, tuple[float, float, tuple[int, ...]]] = {}
-        self.ranked: dict[str, list[float]] = {}
+        self.trie()
+
+    def trie(self) -> None:
+        """The beginnings of pieces made of the most frequent characters, as a table from (node, character) to node."""
+        often = Counter(chain.from_iterable(self.ids)).most_common(CHARACTERS - 1)
+        self.classes = np.zeros(0x110000, dtype=np.uint8)
+        self.classes[[ord(c) for c, _ in often]] = range(1, len(often) + 1)
+        plain = re.compile("[" + "".join(re.escape(c) for c, _ in often) + "]+")
+        self.simple = plain.fullmatch
+        nodes = sorted((p for p in self.starts if plain.fullmatch(p)), key=len)
+        place = {"": 1} | {p: i for i, p in enumerate(nodes, 2)}
+        self.next = np.zeros((len(nodes) + 2) * CHARACTERS, dtype=np.int32)  # node 0: no piece begins so; node 1: nothing read
+        self.piece_at = np.full(len(nodes) + 2, -1, dtype=np.int32)
+        for p in nodes:
+            self.next[place[p[:-1]] * CHARACTERS + int(self.classes[ord(p[-1])])] = place[p]
+            self.piece_at[place[p]] = self.starts[p][0]
+        self.score_of = np.array(self.scores)
 
     def forward(self, word: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
         """For every end the arcs (start, score, piece or -1) of the lattice, and the best score of every prefix."""
@@ -89,26 +110,80 @@ class PieceLattice:
                 best[a + 1] = max(best[a + 1], base + self.unknown)
         return ends, best
 
-    def word(self, word: str) -> tuple[float, float, tuple[int, ...]]:
-        """The best score of a word, the step down to its second (infinite if there is none), and the best ids.
+    def word(self, word: str) -> tuple[float, float, bytes]:
+        """The best score of a word, the step down to its second (infinite if there is none), and the best ids as int32 bytes.
 
         The second best shares an end with the best and leaves it by the next-best arc into some place on its way, so the step
         is the least difference between the two best ways into a place. Equal scores take the arc that starts first.
         """
         if word == LITERAL:
-            return self.unknown, float("inf"), tuple(self.bytes[b] for b in SPACE.encode())
-        if len(word) > 2 and (word[-2:] not in self.pairs):  # no piece spans the last two characters
-            a, b = (self.known.get(w) or self.word(w) for w in (word[:-1], word[-1]))
-            own = a[0] + b[0], min(a[1], b[1]), a[2] + b[2]
-        else:
-            own = self.one_best(word)
-        if len(word) <= 48:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = own
-        return own
-
-    def one_best(self, word: str) -> tuple[float, float, tuple[int, ...]]:
+            return self.unknown, float("inf"), np.array([self.bytes[b] for b in SPACE.encode()], dtype=np.int32).tobytes()
+        cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.pairs), len(word)]  # no piece spans these
+        parts = [self.one_best(word[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return sum(map(SCORE, parts)), min(map(STEP, parts)), b"".join(map(IDS, parts))
+
+    def many(self, words: list[str]) -> dict[str, tuple[float, float, bytes]]:
+        """word() of each word: those of frequent characters together, by the same steps in the same order, the others singly."""
+        simple = sorted((w for w in words if len(w) <= LONG and self.simple(w)), key=len, reverse=True)
+        found: dict[str, tuple[float, float, bytes]] = {}
+        for at in range(0, len(simple), TOGETHER):
+            found |= self.together(simple[at : at + TOGETHER])
+        for w in words:
+            if w not in found:
+                found[w] = self.word(w)
+        return found
+
+    def together(self, words: list[str]) -> dict[str, tuple[float, float, bytes]]:
+        """one_best() of words of frequent characters, longest first, all words at once at every pair of places."""
+        size = np.array([len(w) for w in words])
+        most, n = int(size[0]), len(words)
+        text = self.classes[np.frombuffer("".join(w.ljust(most, "\0") for w in words).encode("utf-32-le"), dtype=np.uint32)]
+        text = np.ascontiguousarray(text.reshape(n, most).T)
+        best, second = np.full((most + 1, n), -np.inf), np.full((most + 1, n), -np.inf)
+        source, piece = np.zeros((most + 1, n), dtype=np.int32), np.full((most + 1, n), -1, dtype=np.int32)
+        best[0] = 0
+
+        def arc(a: int, b: int, i: np.ndarray, own: np.ndarray, score: np.ndarray) -> None:
+            old = best[b, i]
+            better = score > old
+            second[b, i] = np.where(better, old, np.maximum(second[b, i], score))
+            best[b, i] = np.maximum(old, score)
+            up = i[better]
+            source[b, up], piece[b, up] = a, own[better]
+
+        for a in range(most):
+            i = np.arange(np.searchsorted(-size, -a))  # the words with a place after a
+            node, base, single = np.ones(len(i), dtype=np.int32), best[a], np.zeros(len(i), dtype=bool)
+            for b in range(a + 1, most + 1):
+                node = self.next[node * CHARACTERS + text[b - 1, i]]
+                on = node > 0
+                node, i = node[on], i[on]
+                if not len(i):
+                    break
+                own = self.piece_at[node]
+                whole = own >= 0
+                j, own = i[whole], own[whole]
+                if b == a + 1:
+                    single[j] = True
+                arc(a, b, j, own, base[j] + self.score_of[own])
+            j = np.flatnonzero(~single)
+            arc(a, a + 1, j, np.full(len(j), -1, dtype=np.int32), base[j] + self.unknown)
+        at, row = size.copy(), np.arange(n)
+        step, ids, count, spelt = np.full(n, np.inf), np.zeros((n, most), dtype=np.int32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        while len(row):
+            here = at[row]
+            step[row] = np.minimum(step[row], best[here, row] - second[here, row])
+            own = piece[here, row]
+            spelt[row] |= own < 0
+            count[row] += 1
+            ids[row, most - count[row]] = own
+            at[row] = source[here, row]
+            row = row[at[row] > 0]
+        raw, width = ids.tobytes(), 4 * most
+        told = zip(words, best[size, np.arange(n)].tolist(), step.tolist(), count.tolist(), spelt.tolist(), strict=True)
+        return {w: self.word(w) if by_bytes else (s, d, raw[(k + 1) * width - 4 * c : (k + 1) * width]) for k, (w, s, d, c, by_bytes) in enumerate(told)}
+
+    def one_best(self, word: str) -> tuple[float, float, bytes]:
         size, low, starts = len(word), float("-inf"), self.starts.get
         best, second, back = [low] * (size + 1), [low] * (size + 1), [(0, -1)] * (size + 1)
         best[0] = 0.0
@@ -140,7 +215,7 @@ class PieceLattice:
                 step = best[at] - second[at]
             ids.append(piece) if piece >= 0 else ids.extend([self.bytes[x] for x in reversed(word[a:at].encode())])
             at = a
-        return best[size], step, tuple(reversed(ids))
+        return best[size], step, np.array(ids[::-1], dtype=np.int32).tobytes()
 
     def scores_of(self, word: str) -> list[float]:
         """Scores of the word's up to n best segmentations, by A-star search."""
@@ -191,13 +266,22 @@ class PieceLattice:
             out += self.split.findall(part.replace(" ", SPACE))
         return out
 
-    def encode(self, text: str) -> tuple[list[int], list[float]]:
-        """The ids of the best segmentation and the scores of up to n best ones."""
-        n, words = self.n, self.words(text)
-        own = list(map(self.known.get, words))
-        if None in own:
-            fresh = {w: self.known.get(w) or self.word(w) for w in {w for w, e in zip(words, own, strict=True) if e is None}}
-            own = [fresh[w] if e is None else e for w, e in zip(words, own, strict=True)]
+    def encode(self, texts: list[str]) -> list[tuple[bytes, list[float]]]:
+        """Of each text the ids of the best segmentation, as int32 bytes, and the scores of up to n best ones."""
+        lists = list(map(self.words, texts))
+        fresh = set().union(*lists)
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+        fresh -= self.known.keys()
+        self.known |= self.many(list(fresh))
+        out = [self.rank(words) for words in lists]
+        for w in fresh:
+            if len(w) > LONG:
+                del self.known[w]
+        return out
+
+    def rank(self, words: list[str]) -> tuple[bytes, list[float]]:
+        n, own = self.n, list(map(self.known.__getitem__, words))
         total = sum(map(SCORE, own))
         # A text's n best take a rank from each word's list; only the words with the n - 1 smallest first steps can leave rank 1.
         losses = [0.0]
@@ -210,14 +294,27 @@ class PieceLattice:
             steps[i] = float("inf")
             ranked = self.scores_of(words[i])
             losses = heapq.nsmallest(n, [x + ranked[0] - y for x in losses for y in ranked])
-        return list(chain.from_iterable(map(IDS, own))), [total - x for x in losses]
+        return b"".join(map(IDS, own)), [total - x for x in losses]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: bytes) -> str:
         """The text of the pieces, without the space mark that encoding puts first."""
-        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
+        text = b"".join(map(self.text.__getitem__, array.array("i", ids))).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
+def portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in order, in parts of at most BATCH_ROWS rows and, but for single rows, BATCH_BYTES bytes of text."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    begin = held = 0
+    for i, own in enumerate(size):
+        if i > begin and (held + own > BATCH_BYTES or i - begin == BATCH_ROWS):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += own
+    if begin < len(size):
+        yield batch.slice(begin)
+
+
 @functools.cache
 def lattice(path: str, n: int) -> PieceLattice:
     return PieceLattice(path, n)
@@ -234,20 +331,20 @@ def encode_pieces(docs: DataFrame, path: str, n_best: int = 4, text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = lattice(path, n_best)
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
-                ids, sizes, scores, decoded = array.array("i"), [0], [], []
+            for batch in portions(big, len(keep)):
+                ids, sizes, scores, decoded = [], [0], [], []
                 texts = batch.column(len(keep)).to_pylist()
+                done = iter(tool.encode([t for t in texts if t is not None]))
                 for text in texts:
-                    own, found = tool.encode(text) if text is not None else ([], None)
-                    ids.extend(own)
-                    sizes.append(len(ids))
+                    own, found = next(done) if text is not None else (b"", None)
+                    ids.append(own)
+                    sizes.append(sizes[-1] + len(own) // 4)
                     scores.append(found if text else found and [])
                     decoded.append(None if text is None else tool.decode(own))
                 offsets = pa.array([None if t is None else s for t, s in zip(texts, sizes, strict=False)] + sizes[-1:], pa.int32())
                 n = pa.array([b - a for a, b in zip(sizes, sizes[1:], strict=False)], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(ids, dtype=np.int32))), n, pa.array(scores, pa.list_(pa.float64())), pa.array(decoded, pa.string())],
+                    [*batch.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))), n, pa.array(scores, pa.list_(pa.float64())), pa.array(decoded, pa.string())],
                     [*(k for k, _ in kinds), "piece_ids", "n_pieces", "nbest_scores", "decoded"],
                 )
 

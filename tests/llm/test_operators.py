@@ -54,6 +54,19 @@ def test_pieces_round_trip_and_order(docs):
         assert np.isclose(best, want[0]) and np.isclose(step, want[0] - want[1] if len(want) > 1 else np.inf)
 
 
+def test_pieces_of_many_words_at_once():
+    tool = lattice(tokenizer("piece_bpe_32k.model"), 3)
+    rng = np.random.default_rng(3)
+    letters = list("▁▁abcdehilnorstéñß0,%日ж🎉\x00")
+    words = ["▁" + "".join(rng.choice(letters, rng.integers(0, 20))) for _ in range(3000)] + ["▁" + "日ж" * 3000, "▁" + "a" * 5000, "▁the"]
+    words = [w for w in words if w]
+    assert tool.many(words) == {w: tool.word(w) for w in words}
+    assert all(tool.word(w) == tool.one_best(w) for w in words)
+    text = "".join(words[:500]).replace("▁", " ") + " " + "日ж" * 3000
+    (whole,), parts = tool.encode([text]), tool.encode([text, "", text])
+    assert parts == [whole, (b"", [0.0]), whole] and tool.decode(whole[0]) == text
+
+
 def test_sharding(spark, docs):
     many = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("y" * 50).alias("text")).union(docs.select("doc_id", "text")).union(spark.range(300).select(F.lit(7).cast("long"), F.lit("z" * 40)))
     got = shard_rows(many, 1000).collect()
