@@ -9,7 +9,6 @@ word is searched once (many words at a time, as arrays), and the same A-star ord
 from __future__ import annotations
 
 import array
-import functools
 import heapq
 import re
 from collections import Counter
@@ -80,7 +79,7 @@ class PieceLattice:
         self.simple = plain.fullmatch
         nodes = sorted((p for p in self.starts if plain.fullmatch(p)), key=len)
         place = {"": 1} | {p: i for i, p in enumerate(nodes, 2)}
-        self.next = np.zeros((len(nodes) + 2) * CHARACTERS, dtype=np.int32)  # node 0: no piece begins so; node 1: nothing read
+        self.next = np.zeros((len(nodes) + 2) * CHARACTERS, dtype=np.min_scalar_type(len(nodes) + 2))  # node 0: no piece begins so; node 1: nothing read
         self.piece_at = np.full(len(nodes) + 2, -1, dtype=np.int32)
         for p in nodes:
             self.next[place[p[:-1]] * CHARACTERS + int(self.classes[ord(p[-1])])] = place[p]
@@ -153,9 +152,9 @@ class PieceLattice:
 
         for a in range(most):
             i = np.arange(np.searchsorted(-size, -a))  # the words with a place after a
-            node, base, single = np.ones(len(i), dtype=np.int32), best[a], np.zeros(len(i), dtype=bool)
+            node, base, single = np.ones(len(i), dtype=np.int64), best[a], np.zeros(len(i), dtype=bool)
             for b in range(a + 1, most + 1):
-                node = self.next[node * CHARACTERS + text[b - 1, i]]
+                node = self.next[node * CHARACTERS + text[b - 1, i]].astype(np.int64)
                 on = node > 0
                 node, i = node[on], i[on]
                 if not len(i):
@@ -315,11 +314,6 @@ def portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-@functools.cache
-def lattice(path: str, n: int) -> PieceLattice:
-    return PieceLattice(path, n)
-
-
 def encode_pieces(docs: DataFrame, path: str, n_best: int = 4, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep` and piece_ids (best segmentation), n_pieces, nbest_scores (best first) and decoded of whole texts.
 
@@ -329,7 +323,7 @@ def encode_pieces(docs: DataFrame, path: str, n_best: int = 4, text_col: str = "
     kinds = [(f"k{i}", docs.schema[c].dataType.simpleString()) for i, c in enumerate(keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = lattice(path, n_best)
+        tool = PieceLattice(path, n_best)  # given up with the task: nothing stays in a worker that is used again
         for big in batches:
             for batch in portions(big, len(keep)):
                 ids, sizes, scores, decoded = [], [0], [], []

@@ -10,7 +10,7 @@ from lacuna.llm.chat import canonical_turns, format_turns, loss_text, read_turns
 from lacuna.llm.decontaminate import contamination
 from lacuna.llm.language import SPAN, Network, identify_languages, train_languages
 from lacuna.llm.neighbours import nearest
-from lacuna.llm.pieces import encode_pieces, lattice
+from lacuna.llm.pieces import PieceLattice, encode_pieces
 from lacuna.llm.queries import tokenizer
 from lacuna.llm.sharding import shard_rows
 from lacuna.llm.surrogates import replace_entities
@@ -41,7 +41,7 @@ def test_pieces_round_trip_and_order(docs):
     for r in encode_pieces(docs, path, 4, keep=("doc_id", "text")).collect():
         assert r.decoded == r.text and (r.nbest_scores or []) == sorted(r.nbest_scores or [], reverse=True)
         assert (r.piece_ids is None) == (r.text is None)
-    tool = lattice(path, 4)
+    tool = PieceLattice(path, 4)
     for word in ("▁Hello", "▁ouquée,", "日x"):
         ends, _ = tool.forward(word)
 
@@ -55,7 +55,7 @@ def test_pieces_round_trip_and_order(docs):
 
 
 def test_pieces_of_many_words_at_once():
-    tool = lattice(tokenizer("piece_bpe_32k.model"), 3)
+    tool = PieceLattice(tokenizer("piece_bpe_32k.model"), 3)
     rng = np.random.default_rng(3)
     letters = list("▁▁abcdehilnorstéñß0,%日ж🎉\x00")
     words = ["▁" + "".join(rng.choice(letters, rng.integers(0, 20))) for _ in range(3000)] + ["▁" + "日ж" * 3000, "▁" + "a" * 5000, "▁the"]
