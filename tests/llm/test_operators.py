@@ -209,3 +209,18 @@ def test_surrogates(spark, docs):
     digits = [int(c) for c in out[1].text[-19:] if c.isdigit()][::-1]
     assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
     assert replace_entities(df.limit(0), "k").count() == 0
+
+
+def test_language_sample_is_the_rows_of_least_hash(spark):
+    from pyspark.sql import functions as F
+
+    from lacuna.llm.language import held_out, train_languages
+
+    docs = spark.range(3000).selectExpr("id doc_id", "concat('some words ', id) text", "if(id % 3 = 0, 'xx', 'yy') lang")
+    assert sorted(train_languages(docs, rows=5).languages) == ["xx", "yy"]
+    assert train_languages(docs.where("false")) is None
+    own = docs.where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
+    n = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    for lang, total in n.items():  # the share of hashes holds the rows wanted
+        least = [r["h"] for r in own.where(F.col("lang") == lang).orderBy("h").limit(400).collect()]
+        assert max(least) / 2.0**64 + 0.5 <= 1600 / total
