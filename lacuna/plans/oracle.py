@@ -72,6 +72,10 @@ def _reach(edges: str, nodes: str, label: str = "component") -> str:
 BOX = "abs(ax-bx) <= 3 AND abs(ay-by_) <= 3 AND abs(az-bz) <= 3"
 KEY = "floor({} / 0.2)::BIGINT + 32768"
 
+#: Distance of a point s to an obstacle o; three regions along the corridor.
+_D = "sqrt((s.x-o.x)*(s.x-o.x)+(s.y-o.y)*(s.y-o.y)+(s.z-o.z)*(s.z-o.z))"
+CELLS = "cel AS (SELECT (kx // 10)::INTEGER AS region, kx, ky, kz FROM cor WHERE NOT occupied)"
+
 ORACLE = {
     "sphere_graph_summary": _q(f"SELECT segment_id, n_nodes, coalesce(n_edges, 0)::BIGINT AS n_edges, {_r('avg_radius', 'cx', 'cy', 'cz')} FROM (SELECT segment_id, count(*)::BIGINT AS n_nodes, avg(radius) AS avg_radius, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM sf GROUP BY 1) LEFT JOIN (SELECT s1 AS segment_id, count(*) AS n_edges FROM e GROUP BY 1) USING (segment_id)"),
     "obstacle_distance": _q(f"SELECT id, {_r('odist')} FROM od"),
@@ -129,4 +133,18 @@ ORACLE = {
     "obstacle_bounds": _q("SELECT " + ", ".join(f"round(coalesce({f}({c}), 0), 4) + 0.0 AS {f}_{c}" for c in "xyz" for f in ("min", "max")) + " FROM ob"),
     "marker_export": _q(f"SELECT 'spheres' AS ns, id, 'sphere' AS type, {_r('x', 'y', 'z')}, {_heat('(least(greatest((radius - 0.8) / 2.2, 0.0), 1.0) / 3)')}, round(radius * 2, 4) + 0.0 AS scale, 2.0::DOUBLE AS lifetime_s FROM sf"),
     "sphere_pairs_in_reach": _q("SELECT s.id, o.id AS obstacle, round(sqrt((s.x-o.x)*(s.x-o.x)+(s.y-o.y)*(s.y-o.y)+(s.z-o.z)*(s.z-o.z)), 4) + 0.0 AS dist FROM sp s, ob o WHERE (s.x-o.x)*(s.x-o.x)+(s.y-o.y)*(s.y-o.y)+(s.z-o.z)*(s.z-o.z) <= 25"),
+    "region_adjacency": _q("SELECT a.region AS id1, b.region AS id2, count(*)::BIGINT AS n_faces FROM cel a JOIN cel b ON a.region < b.region AND abs(a.kx - b.kx) + abs(a.ky - b.ky) + abs(a.kz - b.kz) = 1 GROUP BY 1, 2", CELLS),
+    "region_borders": _q("SELECT a.region, a.kx, a.ky, a.kz, count(b.kx) < 6 AS is_border FROM cel a LEFT JOIN cel b ON a.region = b.region AND abs(a.kx - b.kx) + abs(a.ky - b.ky) + abs(a.kz - b.kz) = 1 GROUP BY 1, 2, 3, 4", CELLS),
+    "region_best_portal": _q(
+        "SELECT id1, id2, round(max(d), 4) + 0.0 AS odist FROM (SELECT id1, id2, p.kx, p.ky, p.kz, least(3.0, min(sqrt(((p.kx + 0.5 - o.kx) * (p.kx + 0.5 - o.kx) + (p.ky - o.ky) * (p.ky - o.ky) + (p.kz - o.kz) * (p.kz - o.kz)) * 0.04::DOUBLE))) AS d FROM por2 p, cor o WHERE o.occupied GROUP BY ALL) WHERE d >= 0.3 GROUP BY 1, 2",
+        CELLS + ", por2 AS (SELECT a.region AS id1, b.region AS id2, a.kx, a.ky, a.kz FROM cel a JOIN cel b ON a.region < b.region AND b.kx = a.kx + 1 AND a.ky = b.ky AND a.kz = b.kz)",
+    ),
+    "segments_near_origin": _q(f"SELECT segment_id, {_r('bounding_radius')} FROM cen WHERE sqrt(cx*cx + cy*cy + cz*cz) - 5.0 - bounding_radius < 0"),
+    "segments_box": _q("SELECT " + ", ".join(f"round({f}(c{c}) {o} max(bounding_radius), 4) + 0.0 AS {n}_{c}" for c in "xyz" for n, f, o in (("low", "min", "-"), ("high", "max", "+"))) + ", round(max(bounding_radius), 4) + 0.0 AS r FROM cen HAVING count(*) > 0"),
+    "best_radius_in_box": _q("SELECT a.pid, round(coalesce(max(s.radius), 3.0), 4) + 0.0 AS radius FROM ask a LEFT JOIN sf s ON abs(a.x - s.x) <= 3 AND abs(a.y - s.y) <= 3 AND abs(a.z - s.z) <= 3 GROUP BY 1"),
+    "nearest_under_limit": _q(f"SELECT id, {_r('nearest', 'farthest')} FROM (SELECT s.id, min({_D}) AS nearest, max({_D}) AS farthest FROM pt s, ob o WHERE s.label >= 2 AND {_D} < 2 GROUP BY 1)"),
+    "cylinder_clear": _q("SELECT s.id, NOT EXISTS (SELECT 1 FROM ob o WHERE (s.x-o.x)*(s.x-o.x) + (s.y-o.y)*(s.y-o.y) < 4 AND abs(s.z - o.z) < 3) AS clear FROM pt s WHERE s.label >= 2"),
+    "narrow_passages": _q(f"SELECT id, {_r('odist')} FROM od WHERE odist >= 0.8 AND odist < 1.6"),
+    "path_crosses_box": _q("SELECT (robot * 1000000 + n // 20)::BIGINT AS path_id, bool_or(x > 2 AND x < 8 AND y > 4 AND y < 12 AND z > 1 AND z < 5) AS crosses FROM (SELECT *, row_number() OVER (PARTITION BY robot ORDER BY ts, event_id) - 1 AS n FROM traj) GROUP BY 1"),
+    "segment_covariance": _q("SELECT segment_id, " + ", ".join(f"round(avg({c}), 4) + 0.0 AS c{c}" for c in "xyz") + ", " + ", ".join(f"round(covar_pop({a}, {b}), 4) + 0.0 AS v{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM sf GROUP BY 1"),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import geometry as geo
 from lacuna.operators import frontier as fr
-from lacuna.operators import graph, markers, messages, paths, segments, voxels
+from lacuna.operators import graph, markers, messages, paths, regions, segments, tick, voxels
 from lacuna.operators.iterate import components, written
 from lacuna.operators.spatial import nearest_site, pairs_within, thin
 from lacuna.sources.maps import Views, dense_box, occupied_points
@@ -420,3 +420,71 @@ def sphere_pairs_in_reach(v: Views) -> DataFrame:
     """Bare distance join: obstacles within 5 m of a sphere's centre."""
     near = pairs_within(v.sphere, v.obstacle, 5.0)
     return rounded(near.select(F.col("a.id").alias("id"), F.col("b.id").alias("obstacle"), F.sqrt("d2").alias("dist")))
+
+
+def cells_of(v: Views) -> DataFrame:
+    """Three regions along the corridor."""
+    return v.corridor().where("not occupied").select(F.floor(F.col("kx") / 10).cast("int").alias("region"), *voxels.KEYS)
+
+
+@query
+def region_adjacency(v: Views) -> DataFrame:
+    return regions.adjacency(cells_of(v))
+
+
+@query
+def region_borders(v: Views) -> DataFrame:
+    return regions.borders(cells_of(v))
+
+
+@query
+def region_best_portal(v: Views) -> DataFrame:
+    """The portal's clearance; several places share it, so the place is left to the tests."""
+    return rounded(regions.best_portals(cells_of(v), occupied_points(v.corridor()), 0.3).select("id1", "id2", "odist"))
+
+
+@query
+def segments_near_origin(v: Views) -> DataFrame:
+    return rounded(regions.segments_in_sphere(segments.centroids(v.safe), (0.0, 0.0, 0.0), 5.0).select("segment_id", "bounding_radius"))
+
+
+@query
+def segments_box(v: Views) -> DataFrame:
+    return rounded(regions.segments_box(segments.centroids(v.safe)))
+
+
+@query
+def best_radius_in_box(v: Views) -> DataFrame:
+    return rounded(regions.best_radius(probes(v), v.safe, 3.0))
+
+
+@query
+def nearest_under_limit(v: Views) -> DataFrame:
+    return rounded(regions.near_any(v.pt.where("label >= 2"), v.obstacle, 2.0))
+
+
+@query
+def cylinder_clear(v: Views) -> DataFrame:
+    return regions.cylinder_clear(v.pt.where("label >= 2"), v.obstacle, 2.0, 3.0)
+
+
+@query
+def narrow_passages(v: Views) -> DataFrame:
+    return rounded(regions.narrow_passages(v.pt.where("label >= 2"), v.obstacle, 0.8, 1.6).select("id", "odist"))
+
+
+@query
+def path_crosses_box(v: Views) -> DataFrame:
+    return regions.crosses_box(track_points(v), (2.0, 4.0, 1.0), (8.0, 12.0, 5.0))
+
+
+@query
+def segment_covariance(v: Views) -> DataFrame:
+    return rounded(regions.covariance(v.safe))
+
+
+@query
+def map_tick(v: Views) -> DataFrame:
+    """One update around the origin, without voxels: sizes of the segments it leaves."""
+    state = tick.tick(tick.as_spheres(v.sphere), v.obstacle, (0.0, 0.0, 0.0), geo.fibonacci_directions(v.spark, 4), reach=2.0)
+    return rounded(state.spheres.groupBy("segment_id").agg(F.count("*").alias("n_nodes"), F.min("radius").alias("least_radius")))
