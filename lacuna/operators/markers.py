@@ -48,3 +48,41 @@ def path_markers(paths: DataFrame) -> DataFrame:
     """Lines of paths(path_id, points, min_safedist), coloured by their least distance."""
     share = F.least(F.greatest(F.col("min_safedist") / 3, F.lit(0.0)), F.lit(1.0)) / 3
     return marker(paths, "paths", F.col("path_id"), "line", F.col("points"), heat_color(share), 0.1)
+
+
+def portal_markers(connection: DataFrame, spheres: DataFrame) -> DataFrame:
+    """A line for each pair of connected segments, between the two spheres of their safest connection."""
+    named = lambda n: spheres.select(F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in "xyz"))
+    own = connection.where("seg < other").join(named("own_key"), "own_key").join(named("other_key"), "other_key")
+    points = F.array(at("own_key_x", "own_key_y", "own_key_z"), at("other_key_x", "other_key_y", "other_key_z"))
+    share = F.least(F.greatest(F.col("safety") / 3, F.lit(0.0)), F.lit(1.0)) / 3
+    return marker(own, "portals", F.xxhash64("seg", "other"), "line", points, heat_color(share), 0.1)
+
+
+def point_markers(points: DataFrame, ns: str, color: tuple[float, float, float] = (1.0, 1.0, 1.0), scale: float = 0.2, lifetime: float = 2.0) -> DataFrame:
+    """points(id, x, y, z) in one colour, for obstacles, samples and debugging."""
+    return marker(points, ns, F.col("id"), "point", F.array(at("x", "y", "z")), [F.lit(c) for c in color], scale, lifetime)
+
+
+def dwell_markers(visited: DataFrame, longest: float = 60.0) -> DataFrame:
+    """Visited places(id, x, y, z, dwell in seconds), from red for passing to green for `longest` and more."""
+    share = F.least(F.greatest(F.col("dwell") / longest, F.lit(0.0)), F.lit(1.0)) / 3
+    return marker(visited, "visited", F.col("id"), "sphere", F.array(at("x", "y", "z")), heat_color(share), 0.3)
+
+
+def request_markers(requests: DataFrame) -> DataFrame:
+    """Cubes at the start (green) and goal (red) of path requests(query_id, goal_id, sx..gz)."""
+    ends = [(requests.select("query_id", *(F.col(f"s{c}").alias(c) for c in "xyz")).distinct(), F.col("query_id"), "path_starts", (0.0, 1.0, 0.0)), (requests.select("query_id", "goal_id", *(F.col(f"g{c}").alias(c) for c in "xyz")), F.xxhash64("query_id", "goal_id"), "path_goals", (1.0, 0.0, 0.0))]
+    start, goal = (marker(df, ns, n, "cube", F.array(at("x", "y", "z")), [F.lit(c) for c in rgb], 0.4) for df, n, ns, rgb in ends)
+    return start.unionByName(goal)
+
+
+def arrow_markers(points: DataFrame, length: float = 1.0) -> DataFrame:
+    """points(id, x, y, z, dx, dy, dz) as arrows along their directions."""
+    tip = F.struct(*((F.col(c) + F.col(f"d{c}") * length).alias(c) for c in "xyz"))
+    return marker(points, "arrows", F.col("id"), "arrow", F.array(at("x", "y", "z"), tip), [F.lit(1.0), F.lit(1.0), F.lit(0.0)], 0.1)
+
+
+def group_markers(groups: DataFrame) -> DataFrame:
+    """Frontier groups(id, x, y, z, weight, cluster): a sphere each, coloured by cluster, wider with the root of its weight."""
+    return marker(groups, "frontier_groups", F.col("id"), "sphere", F.array(at("x", "y", "z")), segment_color("cluster"), F.sqrt("weight") / 10)

@@ -122,11 +122,11 @@ def grow(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, radius: float | N
         nodes = written(nodes.join(taken, "id", "left").withColumn("segment_id", F.coalesce("to", "segment_id")).drop("to"))
 
 
-def segmentation(nodes: DataFrame, edges: DataFrame, config: MapConfig = DEFAULT) -> DataFrame:
+def segmentation(nodes: DataFrame, edges: DataFrame, config: MapConfig = DEFAULT, last: int = 0) -> DataFrame:
     """Spread the known segments, then seed and grow new ones from what is left, then merge.
 
     Seeds are the nodes without a segment that have the greatest radius among such neighbours (then the least id); they take
-    new ids in order of id.
+    new ids in order of id, above `last` and all ids in use.
     """
     known = nodes.where("segment_id > 0").select("segment_id").distinct()
     nodes = grow(nodes, edges, known, config=config)
@@ -138,7 +138,7 @@ def segmentation(nodes: DataFrame, edges: DataFrame, config: MapConfig = DEFAULT
         near = edges.select("src", "dst").join(free.withColumnsRenamed({"id": "src", "radius": "r1"}), "src").join(free.withColumnsRenamed({"id": "dst", "radius": "r2"}), "dst")
         lower = near.where(rank("dst", "r2") < rank("src", "r1")).select(F.col("src").alias("id")).distinct()
         seed = written(free.join(lower, "id", "left_anti").select("id"))
-        last = nodes.agg(F.max("segment_id")).first()[0]
+        last = max(last, nodes.agg(F.max("segment_id")).first()[0])
         from pyspark.sql import Window
 
         block = seed.withColumn("p", F.spark_partition_id())

@@ -111,12 +111,34 @@ def expand(spheres: DataFrame, samples: DataFrame, spacing: float = 1.0, config:
     return graph.add_nodes(spheres, as_spheres(kept, config))
 
 
-def tick(spheres: DataFrame, obstacles: DataFrame, position: tuple[float, float, float], directions: DataFrame, voxels: DataFrame | None = None, reach: float = 10.0, config: MapConfig = DEFAULT) -> MapState:
+def staged(nodes: DataFrame, edges: DataFrame, position: tuple[float, float, float], wall: tuple[float, float, float], outward: tuple[float, float, float], config: MapConfig = DEFAULT) -> DataFrame:
+    """Segments while the vehicle is still inside the staging area: only segment 1 grows, on this side of the wall, at any size.
+
+    It starts from the node nearest to the position where there is none yet. Once the position is beyond the wall the usual
+    segmentation goes on, over the nodes beyond it; segment 1 stays as it is and merges with nothing.
+    """
+    beyond = geo.beyond_wall(wall, outward)
+    outside, inside = written(nodes.where(beyond)), written(nodes.where(~beyond))
+    if sum((p - w) * o for p, w, o in zip(position, wall, outward, strict=True)) > 0:
+        keep = inside.unionByName(outside.where("segment_id = 1"))
+        rest = outside.where("segment_id <> 1")
+        left = edges.join(rest.select(F.col("id").alias("src")), "src", "left_semi").join(rest.select(F.col("id").alias("dst")), "dst", "left_semi")
+        # A first segment of no member keeps id 1 taken.
+        return keep.unionByName(segments.segmentation(rest.withColumn("segment_id", F.when(F.col("segment_id") > 0, F.col("segment_id")).otherwise(0)), left, config, last=1).select(nodes.columns))
+    if inside.where("segment_id = 1").isEmpty():
+        off = sum(((F.col(c) - p) * (F.col(c) - p) for c, p in zip(AXES, position, strict=True)), F.lit(0.0))
+        first = inside.agg(F.min(F.struct(off, F.col("id"))).alias("m")).select(F.col("m.id").alias("id"), F.lit(True).alias("first"))
+        inside = inside.join(F.broadcast(first), "id", "left").withColumn("segment_id", F.when(F.col("first"), 1).otherwise(F.col("segment_id"))).select(nodes.columns)  # one row
+    seed = nodes.sparkSession.createDataFrame([(1,)], "segment_id int")
+    return segments.grow(inside, edges, seed, float("inf"), config).select(nodes.columns).unionByName(outside)
+
+
+def tick(spheres: DataFrame, obstacles: DataFrame, position: tuple[float, float, float], directions: DataFrame, voxels: DataFrame | None = None, reach: float = 10.0, config: MapConfig = DEFAULT, staging: tuple | None = None) -> MapState:
     """The next version of the map around a position.
 
     Inside the work box: clearances anew, edges by the radii of before, unsafe spheres go, covered ones too, segments that fell
     apart keep their largest part, free space is filled by ray and leaf samples, and segments spread, start and merge.
-    Spheres outside the box stay as they are. Empty tables give an empty map. Each step is written once.
+    Spheres outside the box stay as they are. staging is (wall, outward) of a staging area. Empty tables give an empty map. Each step is written once.
     """
     config = config if config.edge_box is not None else replace(config, edge_box=3.0)
     half = config.box_half(config.resolution)
@@ -140,7 +162,7 @@ def tick(spheres: DataFrame, obstacles: DataFrame, position: tuple[float, float,
         samples = samples.unionByName(leaf_samples(voxels, places, config))
     everything = written(expand(fresh, written(samples), config=config).unionByName(far))
     edges = written(graph.sphere_edges(everything.where("is_safe"), replace(config, edge_box=None)))
-    done = segments.segmentation(everything, edges, config)
+    done = segments.segmentation(everything, edges, config) if staging is None else written(staged(everything, edges, position, *staging, config))
     own = done.select(F.col("id").alias("src"), F.col("segment_id").alias("s1"))
     edges = edges.drop("s1", "s2").join(own, "src").join(own.withColumnsRenamed({"src": "dst", "s1": "s2"}), "dst")
     edges = written(edges.select("src", "dst", "s1", "s2", "dist", "safety"))

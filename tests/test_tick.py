@@ -53,3 +53,32 @@ def test_free_space_of_pruned_leaves(spark):
     assert {r.id for r in in_free_space(points, voxels).collect()} == {1, 2}
     assert in_free_space(points, voxels.where("false")).count() == 0 and in_free_space(points, None).count() == 4
     assert DEFAULT.edge_box is None
+
+
+def test_staging_area_grows_one_segment(spark):
+    from lacuna.operators.tick import staged
+
+    nodes = as_spheres(spark.createDataFrame([(i, 0, i * 1.5, 0.0, 0.0, 1.0) for i in range(8)], "id long, segment_id int, x double, y double, z double, radius double"))
+    edges = graph.sphere_edges(nodes)
+    wall, outward = (6.5, 0.0, 0.0), (1.0, 0.0, 0.0)
+    first = staged(nodes, edges, (0.0, 0.0, 0.0), wall, outward)
+    assert {r.id: r.segment_id for r in first.collect()} == {i: int(i < 5) for i in range(8)}
+    then = staged(first, edges, (9.0, 0.0, 0.0), wall, outward)
+    got = {r.id: r.segment_id for r in then.collect()}
+    assert all(got[i] == 1 for i in range(5)) and all(got[i] > 1 for i in range(5, 8))
+
+
+def test_markers(spark):
+    from lacuna.operators import markers
+
+    spheres = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0), (2, 1.0, 0.0, 0.0, 2.0)], "id long, x double, y double, z double, radius double")
+    link = spark.createDataFrame([(1, 2, 1, 2, 1.0), (2, 1, 2, 1, 1.0)], "seg int, other int, own_key long, other_key long, safety double")
+    line = markers.portal_markers(link, spheres).collect()
+    assert len(line) == 1 and [p.x for p in line[0].points] == [0.0, 1.0]
+    assert markers.point_markers(spheres, "debug", lifetime=0).first().lifetime_s is None
+    asks = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0), (1, 2, 0.0, 0.0, 0.0, 2.0, 2.0, 2.0)], "query_id int, goal_id int, sx double, sy double, sz double, gx double, gy double, gz double")
+    assert sorted(r.ns for r in markers.request_markers(asks).collect()) == ["path_goals", "path_goals", "path_starts"]
+    arrow = markers.arrow_markers(spheres.selectExpr("id", "x", "y", "z", "0D dx", "0D dy", "1D dz"), 2.0).first()
+    assert arrow.points[1].z == 2.0
+    hot = markers.dwell_markers(spheres.selectExpr("id", "x", "y", "z", "id * 60D dwell"))
+    assert hot.columns == markers.group_markers(spheres.selectExpr("id", "x", "y", "z", "9L weight", "id cluster")).columns
