@@ -11,26 +11,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import materialise
-
-#: Titles by gender, and patterns of the kinds, tried in this order at each place.
-TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Sir", "г-н"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "г-жа")}
+from .given_names import GIVEN
+
+#: Titles by gender (n: of either), and patterns of the kinds, tried in this order at each place.
+TITLES = {
+    "m": ("Mr", "Mister", "Herr", "Señor", "Sr", "Don", "Monsieur", "Signor", "Sir", "Lord", "г-н", "господин"),
+    "f": ("Mrs", "Ms", "Miss", "Madam", "Lady", "Dame", "Frau", "Fräulein", "Señora", "Señorita", "Sra", "Srta", "Doña", "Dra", "Doctora", "Madame", "Mademoiselle", "Mme", "Mlle", "Signora", "г-жа", "госпожа"),
+    "n": ("Mx", "Dr", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Professeur", "Rev", "Reverend", "доктор", "профессор"),
+}
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
+_TITLED = rf"(?:(?:{_TITLE})\.? )+"
+_GIVEN = "|".join(n for g in GIVEN.values() for n in g)
+#: A capitalised word of a name, such as Smith or McDonald; a name's words stand alone or after O', with hyphens or spaces between.
+_PART = r"\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*"
+_WORD = rf"(?:\p{{Lu}}['’])?{_PART}(?:-{_PART})*"
+_LAST = rf"(?: \p{{Lu}}\.)*(?: (?:von|van|der|den|de|la|las|los|del|di|da|du|le|bin|al))* {_WORD}"
 _GAP = r"[^\p{L}\p{N}+]"
+#: Country codes. Phones are (a) of the old table's shape, (b) with a country code in any grouping, up to a card, (c) North American without a country code, (d) with a trunk zero.
+_COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+_AMERICAN = r"(?<![\p{L}\p{N}+])(?<![0-9][-. ])(?:1[ .-])?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[-. ])[0-9]{3}[-.][0-9]{4}(?![0-9]|[-.][0-9])"
+PHONES = (
+    rf"\+[0-9]{{1,3}}{_GAP}{{1,6}}[0-9]{{3}}{_GAP}{{1,6}}[0-9]{{3}}{_GAP}{{1,4}}[0-9]{{4}}(?![0-9])",
+    r"(?:\+|(?<![\p{L}\p{N}.,+-])00)[1-9](?:(?! [0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9]))[ ()./-]{0,3}[0-9]){7,14}(?![0-9])",
+    _AMERICAN,
+    r"(?<![\p{L}\p{N}.,:/+-])(?<![0-9] )(?=\(?0(?:[ ()/-]{0,2}[0-9]){8,11}(?![ -]?[0-9]))(?![0-9]{2}[-/][0-9]{2}[-/])\(?0[1-9][0-9]{0,4}\)?(?:[ /-][0-9]{2,9}){1,4}(?![0-9])",
+)
+#: Beginnings that tell whose key it is; they stay.
+KEY_START = r"AKIA|ASIA|sk-(?:proj-|ant-|svcacct-|admin-)?|[sr]k_(?:live|test)_|gh[pousr]_|github_pat_|glpat-|xox[a-z]-|AIza|hf_|npm_|eyJ"
+_KEYS = (
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}\b",
+    r"sk-(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{19,}[A-Za-z0-9]",
+    r"sk-(?:proj-|ant-|svcacct-|admin-)?[A-Za-z0-9]{20,}",
+    r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}",
+    r"gh[pousr]_[A-Za-z0-9]{20,}",
+    r"github_pat_[A-Za-z0-9_]{20,}",
+    r"glpat-[A-Za-z0-9_-]{20,}",
+    r"xox[a-z]-[A-Za-z0-9-]{10,}",
+    r"AIza[A-Za-z0-9_-]{35}",
+    r"(?:hf|npm)_[A-Za-z0-9]{30,}",
+    r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+)
 PATTERNS = (
     ("email", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"),
-    ("key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bsk-[A-Za-z0-9]{20,}"),
+    ("key", rf"\b(?:{'|'.join(_KEYS)})"),
     ("secret", r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}(?![\p{L}\p{N}])"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
-    ("phone", rf"\+[0-9]{{1,3}}{_GAP}{{1,6}}[0-9]{{3}}{_GAP}{{1,6}}[0-9]{{3}}{_GAP}{{1,4}}[0-9]{{4}}(?![0-9])"),
+    ("phone", "|".join(PHONES)),
     ("ssn", r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])"),
-    ("name", rf"(?<![\p{{L}}\p{{N}}-])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"),
+    ("name", rf"(?<![\p{{L}}\p{{N}}-])(?:{_TITLED}{_WORD}(?:{_LAST})?|(?=\p{{Lu}}\p{{Ll}}+[ -]\p{{L}})(?:{_GIVEN})(?:[ -](?:{_GIVEN}))?{_LAST})"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: A text that no pattern can match has none of this.
-HINT = rf"[@0-9]|sk-|[0-9a-fA-F]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
-CAPITAL = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+#: A text that no pattern can match has none of this: the other kinds have a digit or an @.
+HINT = "[@0-9]|" + "|".join(f"(?:{p})" for k, p in PATTERNS if k in ("key", "secret", "name"))
+CAPITAL = rf"(?<![\p{{L}}\p{{N}}]){_PART}(?![\p{{L}}\p{{N}}])"
 HEX = "0123456789abcdef"
 #: Sixteen letters of each script.
 LETTERS = (("[a-zA-Z]", "bcdfghjklmnprstv"), (r"\p{IsCyrillic}", "абвгдежиклмнопрс"), (r"\p{IsGreek}", "αβγδεζηθικλμνπρσ"), (r"\p{IsHan}", "天地人山水火木金土日月星云雨风雷"), (r"\p{L}", "bcdfghjklmnprstv"))
@@ -47,11 +82,16 @@ def kind_of(m: Column) -> Column:
 
 def normal(kind: Column, m: Column) -> Column:
     """What the mentions of one entity have in common. Of a name: gender mark and the name without its title."""
-    plain = F.regexp_replace(m, rf"^(?:{_TITLE})\.? ", "")
-    mark = F.when(m.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? "), F.lit("f ")).otherwise(F.lit("m "))
+    plain = F.regexp_replace(m, f"^{_TITLED}", "")
+    titled = lambda g: m.rlike(rf"^(?:(?:{'|'.join(TITLES['n'])})\.? )*(?:{'|'.join(TITLES[g])})\.? ")
+    given = lambda g: plain.rlike(rf"^(?:{'|'.join(GIVEN[g])})(?!\p{{L}})")
+    mark = F.when(titled("f"), F.lit("f ")).when(titled("m"), F.lit("m ")).when(given("f"), F.lit("f ")).when(given("m"), F.lit("m ")).otherwise(F.lit("n "))
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    coded = F.concat(F.lit("+"), F.regexp_extract(m, rf"^(?:\+|00)({_COUNTRY})", 1), F.lit(" "), digits(F.regexp_replace(m, rf"^(?:\+|00){_COUNTRY}", "")))
+    phone = F.when(m.rlike(r"^(?:\+|00)"), coded).when(m.rlike(f"^(?:{_AMERICAN})$"), F.concat(F.lit("+1 "), F.substr(digits(m), F.lit(-10)))).otherwise(digits(m))
     return (
         F.when(kind.isin("email", "secret"), F.lower(m))
-        .when(kind == "phone", F.concat(F.regexp_extract(m, r"^\+[0-9]{1,3}", 0), F.lit(" "), F.regexp_replace(F.regexp_replace(m, r"^\+[0-9]{1,3}", ""), "[^0-9]", "")))
+        .when(kind == "phone", phone)
         .when(kind == "card", F.regexp_replace(m, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
         .when(kind == "name", F.concat(mark, plain))
@@ -111,7 +151,7 @@ def _given(word: Column, gender: Column, stream: Column) -> Column:
     out = F.lit("")
     for pattern, consonants, vowels, male, female in reversed(SYLLABLES):
         made = F.concat(*(x for i in range(4) for x in (F.translate(F.substr(stream, F.lit(2 * i + 1), F.lit(1)), HEX, consonants), F.translate(F.substr(stream, F.lit(2 * i + 2), F.lit(1)), HEX, (vowels * 4)[:16]))))
-        made = F.concat(made, F.when(gender == "f", female).otherwise(male))
+        made = F.concat(made, F.when(gender == "f", female).when(gender == "m", male).otherwise(""))
         out = F.when(word.rlike(pattern), made).otherwise(out) if pattern else made
     return F.concat(F.upper(F.substr(out, F.lit(1), F.lit(1))), F.substr(out, F.lit(2)))
 
@@ -121,19 +161,17 @@ def surrogate(kind: Column, norm: Column, value: Column, attempt: Column, key: s
     seed = lambda what: F.sha2(F.concat(F.lit(key + "|"), kind, F.lit("|"), what, F.lit("|"), attempt.cast("string")), 256)
     stream = _stream(seed(norm), F.length(value))
     host = F.regexp_extract(value, r"\.[^.]*$", 0)
-    area = F.regexp_extract(value, r"^\+[0-9]{1,3}", 0)
-    gender, title = F.substr(norm, F.lit(1), F.lit(1)), F.regexp_extract(value, rf"^(?:{_TITLE})\.? ", 0)
-    bare = F.regexp_replace(value, rf"^(?:{_TITLE})\.? ", "")
-    called = F.array_join(F.transform(F.split(bare, " "), lambda w: _given(w, gender, seed(F.concat(gender, F.lit(" "), w)))), " ")
+    area = F.regexp_extract(value, rf"^(?:(?:\+|00){_COUNTRY}|1(?=[ .-]))", 0)
+    gender = F.substr(norm, F.lit(1), F.lit(1))
     return (
         F.when(kind == "email", F.concat(shaped(F.substr(value, F.lit(1), F.length(value) - F.length(host)), stream), host))
         .when(kind == "secret", F.when(value == F.upper(value), F.upper(F.substr(stream, F.lit(1), F.length(value)))).otherwise(F.substr(stream, F.lit(1), F.length(value))))
         .when(kind == "phone", F.concat(area, shaped(F.substr(value, F.length(area) + 1), stream)))
         .when(kind == "card", _card(value, stream))
         .when(kind == "ip", _octets(stream))
-        .when(kind == "name", F.concat(title, called))
+        .when(kind == "name", _given(value, gender, seed(F.concat(gender, F.lit(" "), value))))
         .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), shaped(F.substr(value, F.lit(3)), stream)))
-        .when(kind == "key", F.concat(F.regexp_extract(value, "^(?:AKIA|ASIA|sk-)", 0), shaped(F.regexp_replace(value, "^(?:AKIA|ASIA|sk-)", ""), stream)))
+        .when(kind == "key", F.concat(F.regexp_extract(value, f"^(?:{KEY_START})", 0), shaped(F.regexp_replace(value, f"^(?:{KEY_START})", ""), stream)))
         .otherwise(shaped(value, stream))
     )
 
@@ -152,7 +190,7 @@ def mentions(text: Column) -> Column:
 def name_words(found: Column) -> Column:
     """kind, norm and value of each single word of the names among the mentions, so that later bare mentions agree."""
     names = F.filter(found, lambda e: e["kind"] == "name")
-    return F.array_distinct(F.flatten(F.transform(names, lambda e: F.transform(F.split(F.substr(e["norm"], F.lit(3)), " "), lambda w: F.struct(F.lit("name").alias("kind"), F.concat(F.substr(e["norm"], F.lit(1), F.lit(2)), w).alias("norm"), w.alias("value"))))))
+    return F.array_distinct(F.flatten(F.transform(names, lambda e: F.transform(F.regexp_extract_all(F.substr(e["norm"], F.lit(3)), F.lit(CAPITAL), 0), lambda w: F.struct(F.lit("name").alias("kind"), F.concat(F.substr(e["norm"], F.lit(1), F.lit(2)), w).alias("norm"), w.alias("value"))))))
 
 
 def entities(found: DataFrame) -> DataFrame:
@@ -187,12 +225,13 @@ def _rewrite(text: Column, found: Column, attempt, key: str) -> Column:
     def word(e: Column) -> Column:
         return surrogate(e["kind"], e["norm"], e["value"], attempt(e), key)
 
+    weave = lambda parts, more: F.array_join(F.flatten(F.zip_with(parts, more, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
+
     def one(e: Column) -> Column:
-        title = F.regexp_extract(e["value"], rf"^(?:{_TITLE})\.? ", 0)
-        words = F.transform(F.split(F.substr(e["norm"], F.lit(3)), " "), lambda w: F.struct(e["kind"].alias("kind"), F.concat(F.substr(e["norm"], F.lit(1), F.lit(2)), w).alias("norm"), w.alias("value")))
-        return F.when(e["kind"] == "name", F.concat(title, F.array_join(F.transform(words, word), " "))).otherwise(word(e))
+        title, name = F.regexp_extract(e["value"], f"^{_TITLED}", 0), F.substr(e["norm"], F.lit(3))
+        words = F.transform(F.regexp_extract_all(name, F.lit(CAPITAL), 0), lambda w: F.struct(e["kind"].alias("kind"), F.concat(F.substr(e["norm"], F.lit(1), F.lit(2)), w).alias("norm"), w.alias("value")))
+        return F.when(e["kind"] == "name", F.concat(title, weave(F.split(name, CAPITAL, -1), F.transform(words, word)))).otherwise(word(e))
 
-    weave = lambda parts, more: F.array_join(F.flatten(F.zip_with(parts, more, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
     out = F.when(F.size(found) > 0, weave(F.split(text, ANY, -1), F.transform(found, one))).otherwise(text)
     names = name_words(found)
     capitals = F.regexp_extract_all(out, F.lit(CAPITAL), 0)
