@@ -46,9 +46,9 @@ def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts as pieces, with the scores of the best segmentations and whether decoding gives the text back."""
+    """The texts as pieces, with the ids and scores of the best segmentations and whether decoding gives the text back."""
     done = encode_pieces(docs, tokenizer("piece_bpe_32k.model"), N_BEST, keep=("doc_id", "lang", "source", "text"))
-    return done.select("doc_id", "lang", "source", "text", "piece_ids", "n_pieces", "nbest_scores", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return done.select("doc_id", "lang", "source", "text", "piece_ids", "n_pieces", "nbest_ids", "nbest_scores", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("privacy", privacy), ("pieces", pieces)]

@@ -61,7 +61,7 @@ class PieceLattice:
         self.starts |= {p: (i, self.scores[i]) for p, i in self.ids.items()}
         self.unknown = min(self.scores[i] for p, i in self.ids.items() if p.strip(SPACE)) - UNKNOWN_STEP
         self.known: dict[str, tuple[float, float, bytes]] = {}
-        self.ranked: dict[str, list[float]] = {}
+        self.ranked: dict[str, tuple[list[float], list[bytes]]] = {}
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         # Cuts that no piece spans: before a space mark, around a line end that is in no piece, between a Latin letter and a stop.
         latin = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -216,11 +216,15 @@ class PieceLattice:
             at = a
         return best[size], step, np.array(ids[::-1], dtype=np.int32).tobytes()
 
-    def scores_of(self, word: str) -> list[float]:
-        """Scores of the word's up to n best segmentations, by A-star search."""
+    def best_of(self, word: str) -> tuple[list[float], list[bytes]]:
+        """Scores and ids (as int32 bytes) of the word's up to n best segmentations, by A-star search; of equals known's comes first."""
         found = self.ranked.get(word)
         if found is None:
-            found = [self.unknown] if word == LITERAL else [s for s, _ in self.search(word, self.n)]
+            first = self.known[word][2]
+            ranked = [(self.unknown, first)] if word == LITERAL else [(s, np.array(ids, dtype=np.int32).tobytes()) for s, ids in self.search(word, self.n)]
+            found = list(map(SCORE, ranked)), [first, *(ids for _, ids in ranked if ids != first)][: len(ranked)]
+            if len(word) > LONG:
+                return found
             if len(self.ranked) >= REMEMBERED // 10:
                 self.ranked.clear()
             self.ranked[word] = found
@@ -267,6 +271,10 @@ class PieceLattice:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, list[float]]]:
         """Of each text the ids of the best segmentation, as int32 bytes, and the scores of up to n best ones."""
+        return [(lists[0], scores) for lists, scores in self.encode_best(texts)]
+
+    def encode_best(self, texts: list[str]) -> list[tuple[list[bytes], list[float]]]:
+        """Of each text the ids of its up to n best segmentations, best first, as int32 bytes, and their scores."""
         lists = list(map(self.words, texts))
         fresh = set().union(*lists)
         if len(self.known) + len(fresh) > REMEMBERED:
@@ -279,11 +287,11 @@ class PieceLattice:
                 del self.known[w]
         return out
 
-    def rank(self, words: list[str]) -> tuple[bytes, list[float]]:
+    def rank(self, words: list[str]) -> tuple[list[bytes], list[float]]:
         n, own = self.n, list(map(self.known.__getitem__, words))
         total = sum(map(SCORE, own))
         # A text's n best take a rank from each word's list; only the words with the n - 1 smallest first steps can leave rank 1.
-        losses = [0.0]
+        found: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]  # loss, and the words that leave rank 1 with their ids
         steps = list(map(STEP, own))
         for _ in range(min(n - 1, len(steps))):
             least = min(steps)
@@ -291,9 +299,20 @@ class PieceLattice:
                 break
             i = steps.index(least)
             steps[i] = float("inf")
-            ranked = self.scores_of(words[i])
-            losses = heapq.nsmallest(n, [x + ranked[0] - y for x in losses for y in ranked])
-        return b"".join(map(IDS, own)), [total - x for x in losses]
+            scores, ids = self.best_of(words[i])
+            found = heapq.nsmallest(n, [(x + scores[0] - y, left + ((i, k),) if r else left) for x, left in found for r, (y, k) in enumerate(zip(scores, ids, strict=True))], key=SCORE)
+        parts, begin = list(map(IDS, own)), [0]
+        for p in parts:
+            begin.append(begin[-1] + len(p))
+        best = b"".join(parts)
+        lists = []
+        for _, left in found:
+            made, at = [], 0
+            for i, k in sorted(left):
+                made += best[at : begin[i]], k
+                at = begin[i + 1]
+            lists.append(b"".join([*made, best[at:]]))
+        return lists, [total - x for x, _ in found]
 
     def decode(self, ids: bytes) -> str:
         """The text of the pieces, without the space mark that encoding puts first."""
@@ -315,7 +334,7 @@ def portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def encode_pieces(docs: DataFrame, path: str, n_best: int = 4, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in `keep` and piece_ids (best segmentation), n_pieces, nbest_scores (best first) and decoded of whole texts.
+    """The columns in `keep` and piece_ids (best segmentation), n_pieces, nbest_ids and nbest_scores (best first) and decoded of whole texts.
 
     A null text gives null ids and scores, 0 pieces and a null decoding; an empty one empty lists. Input columns named like
     an output and not in `keep` are not read. One narrow pass without shuffle; every row is taken by itself.
@@ -326,22 +345,29 @@ def encode_pieces(docs: DataFrame, path: str, n_best: int = 4, text_col: str = "
         tool = PieceLattice(path, n_best)  # given up with the task: nothing stays in a worker that is used again
         for big in batches:
             for batch in portions(big, len(keep)):
-                ids, sizes, scores, decoded = [], [0], [], []
+                ids, sizes, scores, decoded, ranks, ends = [], [0], [], [], [0], [0]
+                every = []
                 texts = batch.column(len(keep)).to_pylist()
-                done = iter(tool.encode([t for t in texts if t is not None]))
+                done = iter(tool.encode_best([t for t in texts if t is not None]))
                 for text in texts:
-                    own, found = next(done) if text is not None else (b"", None)
+                    lists, found = next(done) if text is not None else ([b""], None)
+                    own = lists[0]
+                    for one in lists if text else ():
+                        every.append(one)
+                        ends.append(ends[-1] + len(one) // 4)
+                    ranks.append(len(every))
                     ids.append(own)
                     sizes.append(sizes[-1] + len(own) // 4)
                     scores.append(found if text else found and [])
                     decoded.append(None if text is None else tool.decode(own))
                 offsets = pa.array([None if t is None else s for t, s in zip(texts, sizes, strict=False)] + sizes[-1:], pa.int32())
+                nbest = pa.ListArray.from_arrays(pa.array([None if t is None else r for t, r in zip(texts, ranks, strict=False)] + ranks[-1:], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(every), dtype=np.int32))))
                 n = pa.array([b - a for a, b in zip(sizes, sizes[1:], strict=False)], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))), n, pa.array(scores, pa.list_(pa.float64())), pa.array(decoded, pa.string())],
-                    [*(k for k, _ in kinds), "piece_ids", "n_pieces", "nbest_scores", "decoded"],
+                    [*batch.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))), n, nbest, pa.array(scores, pa.list_(pa.float64())), pa.array(decoded, pa.string())],
+                    [*(k for k, _ in kinds), "piece_ids", "n_pieces", "nbest_ids", "nbest_scores", "decoded"],
                 )
 
     source = docs.select(*(F.col(c).alias(k) for c, (k, _) in zip(keep, kinds, strict=True)), F.col(text_col).alias("t"))
-    out = source.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kinds) + ", piece_ids array<int>, n_pieces int, nbest_scores array<double>, decoded string")
-    return out.select(*(F.col(k).alias(c) for c, (k, _) in zip(keep, kinds, strict=True)), "piece_ids", "n_pieces", "nbest_scores", "decoded")
+    out = source.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kinds) + ", piece_ids array<int>, n_pieces int, nbest_ids array<array<int>>, nbest_scores array<double>, decoded string")
+    return out.select(*(F.col(k).alias(c) for c, (k, _) in zip(keep, kinds, strict=True)), "piece_ids", "n_pieces", "nbest_ids", "nbest_scores", "decoded")

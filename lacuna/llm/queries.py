@@ -84,6 +84,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.col("n_pieces").cast("long").alias("n_pieces"),
         F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        "nbest_ids",
         "nbest_scores",
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )

@@ -246,3 +246,32 @@ def test_surrogates_beyond_the_shapes_of_the_tables(spark):
     assert out[102].n_entities == 2 and "1111" not in out[102].text
     tails = ["".join(c for c in part if c.isdigit())[-10:] for part in out[103].text.split(" or ")]
     assert out[103].n_entities == 3 and len(set(tails)) == 1 and tails[0] != "6095557932"
+
+
+def test_n_best_lists_against_all_segmentations(spark, docs):
+    path, n = tokenizer("piece_bpe_32k.model"), 4
+    tool = PieceLattice(path, n)
+
+    def every(text):
+        """Scores by ids of all segmentations of the whole text, word cuts unused."""
+        whole, found = "▁" + text.replace(" ", "▁"), [{(): 0.0}]
+        ends, _ = tool.forward(whole)
+        for b in range(1, len(whole) + 1):
+            found.append({})
+            for a, s, piece in ends[b]:
+                own = (piece,) if piece >= 0 else tuple(tool.bytes[x] for x in whole[a:b].encode())
+                found[b] |= {ids + own: score + s for ids, score in found[a].items()}
+        return found[-1]
+
+    for text in ("the cat", "a, b.", "日本 x", "hello", "aaa aa"):
+        lists, scores = tool.encode_best([text])[0]
+        ids, known = [tuple(np.frombuffer(x, dtype=np.int32).tolist()) for x in lists], every(text)
+        best = sorted(known.values(), reverse=True)[:n]
+        assert len(set(ids)) == len(ids) == len(best) and np.allclose(scores, best) and np.allclose([known[i] for i in ids], best)
+        assert all(tool.decode(x) == text for x in lists)
+    for r in encode_pieces(docs, path, n, keep=("text",)).collect():
+        assert (r.nbest_ids is None) == (r.text is None)
+        if r.text:
+            assert r.nbest_ids[0] == r.piece_ids and len(r.nbest_ids) == len(r.nbest_scores) == len(set(map(tuple, r.nbest_ids)))
+        elif r.text == "":
+            assert r.nbest_ids == []
