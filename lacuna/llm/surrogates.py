@@ -20,12 +20,13 @@ TITLES = {
     "n": ("Mx", "Dr", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Professeur", "Rev", "Reverend", "доктор", "профессор"),
 }
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
-_TITLED = rf"(?:(?:{_TITLE})\.? )+"
+#: Open-ended parts are possessive or start at a token's start, so that matching takes linear time and no stack on any text.
+_TITLED = rf"(?:(?:{_TITLE})\.? ){{1,4}}"
 _GIVEN = "|".join(n for g in GIVEN.values() for n in g)
 #: A capitalised word of a name, such as Smith or McDonald; a name's words stand alone or after O', with hyphens or spaces between.
-_PART = r"\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*"
-_WORD = rf"(?:\p{{Lu}}['’])?{_PART}(?:-{_PART})*"
-_LAST = rf"(?: \p{{Lu}}\.)*(?: (?:von|van|der|den|de|la|las|los|del|di|da|du|le|bin|al))* {_WORD}"
+_PART = r"\p{Lu}\p{Ll}++(?:\p{Lu}\p{Ll}++)*+"
+_WORD = rf"(?:\p{{Lu}}['’])?{_PART}(?:-{_PART})*+"
+_LAST = rf"(?: \p{{Lu}}\.)*+(?: (?:von|van|der|den|de|la|las|los|del|di|da|du|le|bin|al)(?= ))*+ {_WORD}"
 _GAP = r"[^\p{L}\p{N}+]"
 #: Country codes. Phones are (a) of the old table's shape, (b) with a country code in any grouping, up to a card, (c) North American without a country code, (d) with a trunk zero.
 _COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
@@ -40,7 +41,7 @@ PHONES = (
 KEY_START = r"AKIA|ASIA|sk-(?:proj-|ant-|svcacct-|admin-)?|[sr]k_(?:live|test)_|gh[pousr]_|github_pat_|glpat-|xox[a-z]-|AIza|hf_|npm_|eyJ"
 _KEYS = (
     r"(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    r"sk-(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{19,}[A-Za-z0-9]",
+    r"(?:(?<![A-Za-z0-9_-])|\G)sk-(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{19,}[A-Za-z0-9]",
     r"sk-(?:proj-|ant-|svcacct-|admin-)?[A-Za-z0-9]{20,}",
     r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}",
     r"gh[pousr]_[A-Za-z0-9]{20,}",
@@ -49,12 +50,12 @@ _KEYS = (
     r"xox[a-z]-[A-Za-z0-9-]{10,}",
     r"AIza[A-Za-z0-9_-]{35}",
     r"(?:hf|npm)_[A-Za-z0-9]{30,}",
-    r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    r"(?:(?<![A-Za-z0-9_-])|\G)eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+",
 )
 PATTERNS = (
-    ("email", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"),
+    ("email", r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"),
     ("key", rf"\b(?:{'|'.join(_KEYS)})"),
-    ("secret", r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}(?![\p{L}\p{N}])"),
+    ("secret", r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("phone", "|".join(PHONES)),
     ("ssn", r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"),
@@ -72,6 +73,16 @@ LETTERS = (("[a-zA-Z]", "bcdfghjklmnprstv"), (r"\p{IsCyrillic}", "абвгдеж
 SYLLABLES = ((r"^\p{IsCyrillic}", "бвгдзклмнпрстфхж", "аеиоу", "н", "а"), (r"^\p{IsGreek}", "βγδζθκλμνπρστφχξ", "αεηοι", "ν", "α"), ("", "bcdfghklmnprstvz", "aeiou", "n", "a"))
 
 
+def _let(x: Column, use) -> Column:
+    """use(x), with x computed once, inside lambdas too."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
+def _weave(parts: Column, more: Column) -> Column:
+    """The strings of both arrays in turn; `more` is one shorter."""
+    return F.array_join(F.flatten(F.zip_with(parts, more, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
+
+
 def kind_of(m: Column) -> Column:
     """Kind of a match, by the first pattern that fits all of it."""
     out = F.lit(None).cast("string")
@@ -112,14 +123,10 @@ def _letter(c: Column, h: Column) -> Column:
 
 
 def shaped(value: Column, stream: Column) -> Column:
-    """value with each letter or digit replaced by one of its script and case, everything else kept."""
-    start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
-
-    def add(acc: Column, c: Column) -> Column:
-        taken = c.rlike(r"[\p{L}0-9]")
-        return F.struct(F.concat(acc["s"], F.when(taken, _letter(c, F.substr(stream, acc["i"], F.lit(1)))).otherwise(c)).alias("s"), (acc["i"] + F.when(taken, 1).otherwise(0)).alias("i"))
-
-    return F.aggregate(F.split(value, ""), start, add)["s"]
+    """value with each letter or digit replaced by one of its script and case, everything else kept; the stream is as long."""
+    taken = r"[\p{L}0-9]"
+    drawn = F.zip_with(F.regexp_extract_all(value, F.lit(taken), 0), F.split(stream, ""), lambda c, h: F.when(c.isNotNull(), _letter(c, h)))
+    return _weave(F.split(value, taken, -1), F.filter(drawn, lambda c: c.isNotNull()))
 
 
 def _luhn(digits: Column) -> Column:
@@ -131,15 +138,14 @@ def _luhn(digits: Column) -> Column:
 
 def _card(value: Column, stream: Column) -> Column:
     """Digits drawn anew; a valid number stays valid, an invalid one invalid."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    n = F.length(digits)
-    body = F.translate(F.substr(stream, F.lit(1), n - 1), "abcdef", "012345")
-    check = (F.lit(10) - _luhn(F.concat(body, F.lit("0")))) % 10
-    shift = F.when(_luhn(digits) == 0, 0).otherwise(1 + F.translate(F.substr(stream, F.lit(64), F.lit(1)), HEX, "0123456780123456").cast("int"))
-    drawn = F.concat(body, ((check + shift) % 10).cast("string"))
-    start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
-    add = lambda acc, c: F.struct(F.concat(acc["s"], F.when(c.rlike("[0-9]"), F.substr(drawn, acc["i"], F.lit(1))).otherwise(c)).alias("s"), (acc["i"] + F.when(c.rlike("[0-9]"), 1).otherwise(0)).alias("i"))
-    return F.aggregate(F.split(value, ""), start, add)["s"]
+
+    def drawn(digits: Column) -> Column:
+        body = F.translate(F.substr(stream, F.lit(1), F.length(digits) - 1), "abcdef", "012345")
+        check = (F.lit(10) - _luhn(F.concat(body, F.lit("0")))) % 10
+        shift = F.when(_luhn(digits) == 0, 0).otherwise(1 + F.translate(F.substr(stream, F.lit(64), F.lit(1)), HEX, "0123456780123456").cast("int"))
+        return F.concat(body, ((check + shift) % 10).cast("string"))
+
+    return _weave(F.split(value, "[0-9]", -1), F.split(_let(F.regexp_replace(value, "[^0-9]", ""), drawn), ""))
 
 
 def _octets(stream: Column) -> Column:
@@ -157,23 +163,27 @@ def _given(word: Column, gender: Column, stream: Column) -> Column:
 
 
 def surrogate(kind: Column, norm: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The replacement of a mention `value` of the entity (kind, norm)."""
-    seed = lambda what: F.sha2(F.concat(F.lit(key + "|"), kind, F.lit("|"), what, F.lit("|"), attempt.cast("string")), 256)
-    stream = _stream(seed(norm), F.length(value))
-    host = F.regexp_extract(value, r"\.[^.]*$", 0)
-    area = F.regexp_extract(value, rf"^(?:(?:\+|00){_COUNTRY}|1(?=[ .-]))", 0)
+    """The replacement of a mention `value` of the entity (kind, norm); of a name a single word."""
     gender = F.substr(norm, F.lit(1), F.lit(1))
-    return (
-        F.when(kind == "email", F.concat(shaped(F.substr(value, F.lit(1), F.length(value) - F.length(host)), stream), host))
-        .when(kind == "secret", F.when(value == F.upper(value), F.upper(F.substr(stream, F.lit(1), F.length(value)))).otherwise(F.substr(stream, F.lit(1), F.length(value))))
-        .when(kind == "phone", F.concat(area, shaped(F.substr(value, F.length(area) + 1), stream)))
-        .when(kind == "card", _card(value, stream))
-        .when(kind == "ip", _octets(stream))
-        .when(kind == "name", _given(value, gender, seed(F.concat(gender, F.lit(" "), value))))
-        .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), shaped(F.substr(value, F.lit(3)), stream)))
-        .when(kind == "key", F.concat(F.regexp_extract(value, f"^(?:{KEY_START})", 0), shaped(F.regexp_replace(value, f"^(?:{KEY_START})", ""), stream)))
-        .otherwise(shaped(value, stream))
-    )
+    own = F.when(kind == "name", F.concat(gender, F.lit(" "), value)).otherwise(norm)
+    seed = F.sha2(F.concat(F.lit(key + "|"), kind, F.lit("|"), own, F.lit("|"), attempt.cast("string")), 256)
+    head = F.when(kind == "phone", F.regexp_extract(value, rf"^(?:(?:\+|00){_COUNTRY}|1(?=[ .-]))", 0)).when(kind == "iban", F.substr(value, F.lit(1), F.lit(2))).when(kind == "key", F.regexp_extract(value, f"^(?:{KEY_START})", 0)).otherwise(F.lit(""))
+    tail = F.when(kind == "email", F.regexp_extract(value, r"\.[^.]*$", 0)).otherwise(F.lit(""))
+
+    def framed(ends: Column, stream: Column) -> Column:
+        body = F.substr(value, F.length(ends["head"]) + 1, F.length(value) - F.length(ends["head"]) - F.length(ends["tail"]))
+        return F.concat(ends["head"], shaped(body, stream), ends["tail"])
+
+    def made(stream: Column) -> Column:
+        return (
+            F.when(kind == "secret", F.when(value == F.upper(value), F.upper(F.substr(stream, F.lit(1), F.length(value)))).otherwise(F.substr(stream, F.lit(1), F.length(value))))
+            .when(kind == "card", _card(value, stream))
+            .when(kind == "ip", _octets(stream))
+            .when(kind == "name", _given(value, gender, stream))
+            .otherwise(_let(F.struct(head.alias("head"), tail.alias("tail")), lambda ends: framed(ends, stream)))
+        )
+
+    return _let(_let(seed, lambda x: _stream(x, F.length(value))), made)
 
 
 def mentions(text: Column) -> Column:
@@ -181,16 +191,14 @@ def mentions(text: Column) -> Column:
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
 
     def entity(m: Column) -> Column:
-        kind = kind_of(m)
-        return F.struct(kind.alias("kind"), normal(kind, m).alias("norm"), m.alias("value"))
+        return _let(kind_of(m), lambda kind: F.struct(kind.alias("kind"), normal(kind, m).alias("norm"), m.alias("value")))
 
     return F.coalesce(F.transform(found, entity), F.array().cast("array<struct<kind:string,norm:string,value:string>>"))
 
 
 def name_words(found: Column) -> Column:
     """kind, norm and value of each single word of the names among the mentions, so that later bare mentions agree."""
-    names = F.filter(found, lambda e: e["kind"] == "name")
-    return F.array_distinct(F.flatten(F.transform(names, lambda e: F.transform(F.regexp_extract_all(F.substr(e["norm"], F.lit(3)), F.lit(CAPITAL), 0), lambda w: F.struct(F.lit("name").alias("kind"), F.concat(F.substr(e["norm"], F.lit(1), F.lit(2)), w).alias("norm"), w.alias("value"))))))
+    return F.array_distinct(F.flatten(F.transform(F.filter(found, lambda e: e["kind"] == "name"), _words_of)))
 
 
 def entities(found: DataFrame) -> DataFrame:
@@ -219,51 +227,76 @@ def redraws(known: DataFrame, key: str) -> DataFrame | None:
         drawn, moved = judged.drop("again"), True
 
 
+def _words_of(e: Column) -> Column:
+    """The single words of a mention of a name, as mentions."""
+    mark = F.substr(e["norm"], F.lit(1), F.lit(2))
+    return F.transform(F.regexp_extract_all(F.substr(e["norm"], F.lit(3)), F.lit(CAPITAL), 0), lambda w: F.struct(F.lit("name").alias("kind"), F.concat(mark, w).alias("norm"), w.alias("value")))
+
+
 def _rewrite(text: Column, found: Column, attempt, key: str) -> Column:
     """text with its mentions, and the bare later mentions of its names, replaced."""
 
     def word(e: Column) -> Column:
         return surrogate(e["kind"], e["norm"], e["value"], attempt(e), key)
 
-    weave = lambda parts, more: F.array_join(F.flatten(F.zip_with(parts, more, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
-
     def one(e: Column) -> Column:
-        title, name = F.regexp_extract(e["value"], f"^{_TITLED}", 0), F.substr(e["norm"], F.lit(3))
-        words = F.transform(F.regexp_extract_all(name, F.lit(CAPITAL), 0), lambda w: F.struct(e["kind"].alias("kind"), F.concat(F.substr(e["norm"], F.lit(1), F.lit(2)), w).alias("norm"), w.alias("value")))
-        return F.when(e["kind"] == "name", F.concat(title, weave(F.split(name, CAPITAL, -1), F.transform(words, word)))).otherwise(word(e))
+        named = e["kind"] == "name"
+        title = F.when(named, F.regexp_extract(e["value"], f"^{_TITLED}", 0)).otherwise(F.lit(""))
+        between = F.when(named, F.split(F.substr(e["norm"], F.lit(3)), CAPITAL, -1)).otherwise(F.array(F.lit(""), F.lit("")))
+        return F.concat(title, _weave(between, F.transform(F.when(named, _words_of(e)).otherwise(F.array(e)), word)))
+
+    out = F.when(F.size(found) > 0, _weave(F.split(text, ANY, -1), F.transform(found, one))).otherwise(text)
 
-    out = F.when(F.size(found) > 0, weave(F.split(text, ANY, -1), F.transform(found, one))).otherwise(text)
-    names = name_words(found)
-    capitals = F.regexp_extract_all(out, F.lit(CAPITAL), 0)
+    def bare(names: Column, c: Column) -> Column:
+        return _let(F.filter(names, lambda e: e["value"] == c), lambda own: F.when(F.size(own) > 0, word(F.element_at(own, 1))).otherwise(c))
 
-    def bare(c: Column) -> Column:
-        own = F.filter(names, lambda e: e["value"] == c)
-        return F.when(F.size(own) > 0, word(F.element_at(own, 1))).otherwise(c)
+    def later(names: Column, t: Column) -> Column:
+        return _weave(F.split(t, CAPITAL, -1), F.transform(F.regexp_extract_all(t, F.lit(CAPITAL), 0), lambda c: bare(names, c)))
 
-    return F.when(F.size(names) > 0, weave(F.split(out, CAPITAL, -1), F.transform(capitals, bare))).otherwise(out)
+    # Computed once a text: what a lambda takes from outside it is computed anew for every element.
+    both = F.struct(out.alias("out"), name_words(found).alias("names"))
+    return _let(both, lambda x: F.when(F.size(x["names"]) > 0, later(x["names"], x["out"])).otherwise(x["out"]))
 
 
-def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """docs with the text rewritten, and n_entities (mentions replaced; 0 for null texts, which stay null).
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that no column of `taken` has, in any case of letters."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
 
-    Every other column is kept, but for input columns of the names n_entities, found and redrawn, which must not be there.
-    Repeated rows are rewritten alike. Texts without entities come out unchanged. Only the distinct entities are shuffled, and
-    of documents only those with an entity that had to be drawn anew.
+
+#: Copies of a text with redrawn entities are dealt over so many keys.
+SPREAD = 16
+
+
+def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
+    """docs with the text rewritten, and count_col (int: mentions replaced; 0 for null texts, which stay null).
+
+    Every other column is kept, whatever its name; one that has the name count_col in any case of letters gives way to the
+    count. Empty texts stay empty, an empty table gives no rows, repeated rows and equal mentions are rewritten alike. Texts
+    without entities come out unchanged, and no text is cut: patterns and rewriting take time in proportion to its length.
+    Only the distinct entities are shuffled, and of documents only those with an entity that had to be drawn anew.
     """
-    clash = {"n_entities", "found", "redrawn"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are this operator's own")
-    marked = docs.withColumn("found", mentions(F.col(text_col)))
-    again = redraws(entities(marked.where(F.size("found") > 0)), key)
-    first = lambda e: F.lit(0)
+    kept = [c for c in docs.columns if c.lower() != count_col.lower()]
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in kept}
+    found, copy, again_at, redrawn = (_free(c, docs.columns) for c in ("found", "copy", "attempts", "redrawn"))
+    text, seen = quoted[text_col], F.col(found)
+    marked = docs.select(*quoted.values(), mentions(text).alias(found))
+    some = marked.where(F.size(found) > 0)
+    again = redraws(entities(some.select(seen.alias("found"))), key)
+
+    def rewritten(df: DataFrame, attempt) -> DataFrame:
+        return df.select(*(_rewrite(text, seen, attempt, key).alias(c) if c == text_col else quoted[c] for c in kept), F.size(found).alias(count_col))
+
     if again is None:
-        return marked.select(*(_rewrite(F.col(text_col), F.col("found"), first, key).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.size("found").alias("n_entities"))
-    none = marked.where(F.size("found") == 0).select(*docs.columns, F.lit(0).alias("n_entities"))
-    some = marked.where(F.size("found") > 0).withColumn("redrawn", F.md5(text_col))
+        return rewritten(marked, lambda e: F.lit(0))
+    none = marked.where(F.size(found) == 0).select(*quoted.values(), F.lit(0).alias(count_col))
+    some = some.withColumns({redrawn: F.md5(text), copy: F.floor(F.rand(1) * SPREAD).cast("int")})
     each = F.concat(F.filter("found", lambda e: e["kind"] != "name"), name_words(F.col("found")))
-    own = some.select("redrawn", F.explode(F.array_distinct(F.transform(each, lambda e: F.struct(e["kind"], e["norm"])))).alias("e")).select("redrawn", "e.kind", "e.norm").distinct()
-    table = own.join(again, ["kind", "norm"]).groupBy("redrawn").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("attempts"))
-    some = some.join(table, "redrawn", "left")
-    later = lambda e: F.coalesce(F.element_at(F.col("attempts"), F.concat_ws("|", e["kind"], e["norm"])), F.lit(0))
-    some = some.select(*(_rewrite(F.col(text_col), F.col("found"), later, key).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.size("found").alias("n_entities"))
-    return none.unionByName(some)
+    own = some.select(F.col(redrawn).alias("redrawn"), seen.alias("found")).select("redrawn", F.explode(F.array_distinct(F.transform(each, lambda e: F.struct(e["kind"], e["norm"])))).alias("e")).select("redrawn", "e.kind", "e.norm").distinct()
+    table = own.join(again, ["kind", "norm"]).groupBy("redrawn").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias(again_at))
+    table = table.select(F.col("redrawn").alias(redrawn), again_at, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias(copy))
+    some = some.join(table, [redrawn, copy], "left")
+    later = lambda e: F.coalesce(F.element_at(F.col(again_at), F.concat_ws("|", e["kind"], e["norm"])), F.lit(0))
+    return none.unionByName(rewritten(some, later))
