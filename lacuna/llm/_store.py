@@ -7,14 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group, all of which a writing task holds in memory.
+ROW_GROUP = 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The folder named by spark.checkpoint.dir. One of this machine is set only where that is unset and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             folder = current.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="lacuna-")
             spark.sparkContext.setCheckpointDir(folder)
@@ -25,15 +30,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lacuna-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files behind a frame that came from materialise()."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if path.getName().startswith("lacuna-"):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the files behind a frame that came from materialise(); nothing that still reads it may be left."""
+    spark, path = df.sparkSession, df.written_to
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -32,19 +32,27 @@ _BYTE = mix(np.arange(1, 257, dtype=U) * U(_GOLD))
 _BASE = 0xD6E8FEB86659FD93
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _COEF = mix(np.arange(1001, 1006, dtype=U) * U(_GOLD)) | U(1)
-_powers = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
+#: Positions whose powers a worker keeps; those of a longer text are made for it alone.
+KEPT = (1 << 20) + 1
+_powers: list[np.ndarray] = []
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n, base, dtype=U)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
+    """The first n powers at least of the base and of its inverse."""
+
+    def made(base: int, size: int) -> np.ndarray:
+        steps = np.full(size, base, dtype=U)
+        steps[0] = 1
+        return np.cumprod(steps)
+
+    if n > KEPT:
+        return made(_BASE, n), made(_BASE_INVERSE, n)
+    if not _powers:
+        _powers[:] = made(_BASE, KEPT), made(_BASE_INVERSE, KEPT)
     return _powers[0], _powers[1]
 
 
-def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of whole texts with at most `most` bytes, or one longer text."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     texts = pc.fill_null(texts, "").cast(pa.large_string())
