@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm._store import materialise
 from lacuna.llm.decontaminate import contamination
-from lacuna.llm.jaccard_join import jaccard_components
+from lacuna.llm.jaccard_join import one_of_each
 from lacuna.llm.language import UNDETERMINED, identify_languages, train_languages
 from lacuna.llm.pieces import encode_pieces
 from lacuna.llm.queries import KEY, N_BEST, PERCENT, WINDOW, table, tokenizer
@@ -24,11 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest id stays, once; rows without an id all stay."""
-    stay = jaccard_components(docs, PERCENT).where("doc_id = component_id").select("doc_id").distinct()
-    copy = F.row_number().over(Window.partitionBy("doc_id", F.md5("text")).orderBy("doc_id"))
-    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").withColumn("copy", copy).where("copy = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each component of linked documents the one with the smallest id stays, once, whatever its id; texts without words stay."""
+    return one_of_each(docs, PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
