@@ -15,12 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._memory import returning
+from ._store import materialise
 from ._words import slices
 
 SPAN = 64
 HIDDEN = 8
-#: Training sample: rows of each language and spans of each row.
-ROWS, SPANS = 400, 8
+#: Training sample: rows of each language, with their whole texts.
+ROWS = 400
+#: Spans that are read at once.
+WIDE = 4096
 STEPS, BATCH, RATE = 500, 256, 0.02
 UNDETERMINED = "und"
 #: Byte positions that count in pooling: ASCII letters and all bytes of other characters.
@@ -156,17 +160,21 @@ class Network:
         owner = np.repeat(np.arange(len(size)), per)
         begin = offsets[owner] + SPAN * (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per))
         n = np.minimum(offsets[owner + 1] - begin, SPAN)
-        place = begin[None, :] + np.arange(SPAN)[:, None]
-        own = data[np.minimum(place, max(len(data) - 1, 0))] if len(data) else np.zeros((SPAN, 0), dtype=np.uint8)
-        inside = (np.arange(SPAN)[:, None] < n).astype(np.float32)
-        weight = LETTER[own] * inside
-        total = np.zeros((len(self.languages), len(owner)), dtype=np.float32)
-        named = np.zeros_like(total)
-        for t, y in self.probabilities(own, inside):
-            total += y * weight[t]
-            named += (y >= y.max(axis=0)) * weight[t]
-        add = lambda x: np.stack([np.bincount(owner, row, minlength=len(size)) for row in x], axis=1)
-        return add(total), add(named), np.bincount(owner, weight.sum(axis=0), minlength=len(size))
+        total, named, letters = np.zeros((len(size), len(self.languages))), np.zeros((len(size), len(self.languages))), np.zeros(len(size))
+        for at in range(0, len(owner), WIDE):
+            some, first = owner[at : at + WIDE], begin[at : at + WIDE]
+            place = first[None, :] + np.arange(SPAN)[:, None]
+            own = data[np.minimum(place, len(data) - 1)]
+            inside = (np.arange(SPAN)[:, None] < n[at : at + WIDE]).astype(np.float32)
+            weight = LETTER[own] * inside
+            sums = np.zeros((2, len(self.languages), len(some)), dtype=np.float32)
+            for t, y in self.probabilities(own, inside):
+                sums[0] += y * weight[t]
+                sums[1] += (y >= y.max(axis=0)) * weight[t]
+            for out, rows in ((total, sums[0]), (named, sums[1]), (letters[:, None], weight.sum(axis=0)[None, :])):
+                for k, row in enumerate(rows):
+                    out[:, k] += np.bincount(some, row, minlength=len(size))
+        return total, named, letters
 
 
 def held_out(doc_id) -> object:
@@ -174,32 +182,44 @@ def held_out(doc_id) -> object:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All spans of the texts, with their languages."""
     for batch in batches:
         lang, out = [], []
-        for name, seed, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw, rng = text.encode(), np.random.default_rng(seed & 0xFFFFFFFF)
-            starts = rng.choice(-(-len(raw) // SPAN), min(SPANS, -(-len(raw) // SPAN)), replace=False) * SPAN
-            out += [raw[s : s + SPAN] for s in sorted(starts.tolist())]
-            lang += [name] * len(starts)
+        for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = text.encode()
+            out += [raw[at : at + SPAN] for at in range(0, len(raw), SPAN)]
+            lang += [name] * (len(out) - len(lang))
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(out, pa.binary())], ["lang", "span"])
 
 
 def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> Network | None:
-    """A network from at most `rows` rows of each language (those with the least hash of id), SPANS spans of each.
+    """A network from the whole texts of at most `rows` distinct rows of each language: those with the least hashes of id and text.
 
-    Only rows with text and language that are not held out. None if there are no such rows.
+    Only rows with text and language that are not held out; a row repeated with equal id and text counts once, and rows of
+    one id with several texts count each. Every such language is learned, however many rows it has. None if there are no
+    such rows. Other columns are not read.
     """
-    own = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
-    # Counts first, then the share of hash values that holds about four times the rows wanted: no other text is shuffled.
-    counts = own.groupBy("lang").agg(F.count("*").alias("n"))
-    own = own.join(F.broadcast(counts), "lang").where(F.col("h") / 2.0**64 + 0.5 <= F.lit(4.0 * rows) / F.col("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    own = own.withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "h", "t")
-    found = sorted((r["lang"], bytes(r["span"])) for r in own.mapInArrow(_sample, "lang string, span binary").toLocalIterator())
-    languages = sorted({lang for lang, _ in found})
-    if not languages:
+    own = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t"))
+    # Distinct rows are counted first; then the share of hash values that holds about four times the rows wanted is taken, so
+    # that no other text is shuffled.
+    shares = own.groupBy("lang").agg(F.least(F.lit(4.0 * rows) / F.approx_count_distinct("h", 0.03), F.lit(1.0)).alias("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+
+    def least(of: DataFrame) -> DataFrame:
+        return of.groupBy("lang", "h").agg(F.min("t").alias("t")).withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "t")
+
+    share = {r["lang"]: r["share"] for r in shares.collect()}  # a row for each language, which are the network's outputs
+    if not share:
         return None
+    within = own.join(F.broadcast(shares.sparkSession.createDataFrame(list(share.items()), "lang string, share double")), "lang")
+    sample = materialise(least(within.where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))), "language-sample")
+    got = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    short = [lang for lang, x in share.items() if x < 1 and got.get(lang, 0) < rows]  # hashes that came out uneven: take all rows
+    if short:
+        sample = sample.where(~F.col("lang").isin(short)).union(least(own.where(F.col("lang").isin(short))))
+    found = sorted((r["lang"], bytes(r["span"])) for r in sample.mapInArrow(_spans, "lang string, span binary").toLocalIterator())
+    languages = sorted(share)
     network = Network.fresh(languages)
     network.train([s for _, s in found], np.array([languages.index(lang) for lang, _ in found]))
     return network
@@ -230,5 +250,5 @@ def identify_languages(docs: DataFrame, network: Network | None, keep: tuple[str
     shared = docs.sparkSession.sparkContext.broadcast(network)
     kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
     source = docs.select(F.lit(0).alias("o"), F.col(text_col).alias("t"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
-    out = source.mapInArrow(lambda b: _predict(b, shared.value), ", ".join([*kinds, "lang_pred string", "score double", "labelled double"]))
+    out = source.mapInArrow(returning(lambda b: _predict(b, shared.value)), ", ".join([*kinds, "lang_pred string", "score double", "labelled double"]))
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "labelled")
