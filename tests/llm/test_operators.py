@@ -176,9 +176,9 @@ def test_contamination_in_blocks(spark, docs, monkeypatch):
     import lacuna.llm.decontaminate as d
 
     items = spark.createDataFrame([(1, "hello world it s 5"), (2, "a"), (3, None), (4, "O'CLOCK")], "item_id long, text string")
-    whole = sorted(map(str, contamination(docs, items, 3).drop("spans").collect()))
+    whole = sorted(map(str, contamination(docs, items, 3, within=4).collect()))
     monkeypatch.setattr(d, "BLOCK_BYTES", 1)
-    assert sorted(map(str, contamination(docs, items, 3).drop("spans").collect())) == whole
+    assert sorted(map(str, contamination(docs, items, 3, within=4).collect())) == whole
     by = {(r.doc_id, r.n_words): r for r in contamination(docs, items, 3).collect()}
     assert by[4, 7].items == ["1", "4"] and by[4, 7].n_hit == 7 and by[3, 1].items == ["2"] and by[0, 0].n_hit == 0
     assert contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
@@ -211,7 +211,7 @@ def test_surrogates(spark, docs):
     assert replace_entities(df.limit(0), "k").count() == 0
 
 
-def test_language_sample_is_the_rows_of_least_hash(spark):
+def test_language_sample_takes_few_of_many_rows(spark):
     from pyspark.sql import functions as F
 
     from lacuna.llm.language import held_out, train_languages
