@@ -241,14 +241,25 @@ def _predict(batches: Iterator[pa.RecordBatch], network: Network | None) -> Iter
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[2:]), pa.array(lang), pa.array(score), pa.array(share)], [f"k{i}" for i in range(batch.num_columns - 2)] + ["lang_pred", "score", "labelled"])
 
 
+def _identified(docs: DataFrame, network: Network | None, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """Columns k0, k1, ... as in `keep`, lang_pred, score and labelled."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    source = docs.select(F.lit(0).alias("o"), quoted(text_col).alias("t"), *(quoted(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    return source.mapInArrow(returning(lambda b: _predict(b, shared.value)), ", ".join([*kinds, "lang_pred string", "score double", "labelled double"]))
+
+
 def identify_languages(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns in `keep` and lang_pred, score (mean probability of it) and labelled (share of positions with that label).
 
     Texts that are null or have no letter, or all without a network, are `und` with score 0. Equal probabilities go to the
     first language by name. One narrow pass; repeated rows are predicted each; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(network)
-    kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    source = docs.select(F.lit(0).alias("o"), F.col(text_col).alias("t"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
-    out = source.mapInArrow(returning(lambda b: _predict(b, shared.value)), ", ".join([*kinds, "lang_pred string", "score double", "labelled double"]))
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "labelled")
+    return _identified(docs, network, keep, text_col).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "labelled")
+
+
+def in_known_languages(docs: DataFrame, network: Network | None, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, in all their columns, whatever these are named, whose language is found with at least that score."""
+    found = _identified(docs, network, tuple(docs.columns), text_col).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._memory import returning
+
 SPACE = "▁"
 #: Stands for a space mark in the text itself, which only bytes can spell; no word is empty.
 LITERAL = ""
@@ -369,5 +371,5 @@ def encode_pieces(docs: DataFrame, path: str, n_best: int = 4, text_col: str = "
                 )
 
     source = docs.select(*(F.col(c).alias(k) for c, (k, _) in zip(keep, kinds, strict=True)), F.col(text_col).alias("t"))
-    out = source.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kinds) + ", piece_ids array<int>, n_pieces int, nbest_ids array<array<int>>, nbest_scores array<double>, decoded string")
+    out = source.mapInArrow(returning(run), ", ".join(f"{k} {t}" for k, t in kinds) + ", piece_ids array<int>, n_pieces int, nbest_ids array<array<int>>, nbest_scores array<double>, decoded string")
     return out.select(*(F.col(k).alias(c) for c, (k, _) in zip(keep, kinds, strict=True)), "piece_ids", "n_pieces", "nbest_ids", "nbest_scores", "decoded")

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._memory import returning
+
 #: The pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose counts a worker remembers; the memory is emptied when full, so it is bounded and changes no result.
@@ -122,6 +124,6 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
 
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long").select(
+    return source.mapInArrow(returning(run), f"id {kind}, n_bytes long, n_tokens long").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
