@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm._store import materialise
-from lacuna.llm.decontaminate import contamination
+from lacuna.llm.decontaminate import uncontaminated
 from lacuna.llm.jaccard_join import one_of_each
-from lacuna.llm.language import UNDETERMINED, identify_languages, train_languages
+from lacuna.llm.language import in_known_languages, train_languages
 from lacuna.llm.pieces import encode_pieces
 from lacuna.llm.queries import KEY, N_BEST, PERCENT, WINDOW, table, tokenizer
 from lacuna.llm.surrogates import replace_entities
@@ -19,8 +19,7 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language stay: those without a letter, or on which the network decides nothing, go."""
-    found = identify_languages(docs, train_languages(docs), keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return in_known_languages(docs, train_languages(docs), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +29,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any benchmark window go."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), WINDOW, keep=tuple(docs.columns))
-    return found.where("n_hit = 0").select(*docs.columns)
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"), WINDOW)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced by surrogates; n_chars follows the new text."""
-    done = replace_entities(docs, KEY)
+    count = "n_replaced"
+    while count in map(str.lower, docs.columns):
+        count += "_"
+    done = replace_entities(docs, KEY, count_col=count)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+        done = done.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.drop(count)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
