@@ -6,6 +6,7 @@ made; JSON records of mixed layouts are fingerprinted row by row from the shape
 
 from __future__ import annotations
 
+import functools
 import zlib
 from dataclasses import dataclass
 
@@ -47,7 +48,8 @@ def fingerprint(paths: list[str]) -> int:
 
 @dataclass(frozen=True)
 class Layout:
-    """How a layout becomes turns: parts of (role, path) in order, or a list at `turns` whose items hold role and text."""
+    """How a layout becomes turns: parts of (role, path) in order, or a list at `turns` whose items hold role and text, or,
+    with `order`, a row for each turn that holds role and text and its place in the conversation."""
 
     paths: tuple[str, ...]
     parts: tuple[tuple[str, str], ...] = ()
@@ -55,6 +57,7 @@ class Layout:
     role: str = ""
     text: str = ""
     roles: tuple[tuple[str, str], ...] = ()
+    order: str = ""
 
     @property
     def key(self) -> int:
@@ -64,6 +67,8 @@ class Layout:
 #: Names of roles in public layouts.
 NAMED = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
 LAYOUTS = (
+    Layout(("turn", "role", "text"), order="turn", role="role", text="text"),
+    Layout(("turn", "role", "content"), order="turn", role="role", text="content"),
     Layout(("messages[].role", "messages[].content"), turns="messages", role="role", text="content"),
     Layout(("conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value", roles=NAMED),
     Layout(("prompt", "completion"), (("user", "prompt"), ("assistant", "completion"))),
@@ -73,8 +78,6 @@ LAYOUTS = (
     Layout(("instruction", "input", "output"), (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout(("system", "prompt", "response"), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
 )
-#: The layout of a table with a row for each turn.
-ROWS = ("conv_id", "turn", "role", "text")
 TURN = "array<struct<role:string,text:string>>"
 
 
@@ -121,18 +124,23 @@ def canonical_turns(records: DataFrame, json_col: str, layouts: tuple[Layout, ..
     turns = F.lit(None).cast(TURN)
     get = lambda path, kind: F.try_variant_get(body, f"$.{path}", kind)
     for layout in layouts:
+        if layout.order:  # one turn of a conversation makes no conversation
+            continue
         if layout.turns:
             items = get(layout.turns, f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
-            names = dict(layout.roles)
-
-            own = F.transform(items, _turn_reader(layout.role, layout.text, names))
+            own = F.transform(items, _turn_reader(layout.role, layout.text, dict(layout.roles)))
         else:
-            own = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(get(p, "string"), F.lit("")).alias("text"), F.lit(p == "input").alias("o")) for r, p in layout.parts))
-            own = F.transform(F.filter(own, lambda x: ~(x["o"] & (x["text"] == ""))), lambda x: F.struct(x["role"], x["text"]))
+            own = _parts(layout, lambda path: get(path, "string"))
         turns = F.when(key == layout.key, own.cast(TURN)).otherwise(turns)
     return records.withColumns({"fingerprint": key, "turns": turns})
 
 
+def _parts(layout: Layout, get) -> Column:
+    """The turns of a layout of parts; an empty optional `input` makes none."""
+    own = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(get(p), F.lit("")).alias("text"), F.lit(p == "input").alias("o")) for r, p in layout.parts))
+    return F.transform(F.filter(own, lambda x: ~(x["o"] & (x["text"] == ""))), lambda x: F.struct(x["role"], x["text"]))
+
+
 def _turn_reader(role_field: str, text_field: str, names: dict[str, str]):
     def turn(x: Column) -> Column:
         role = x[role_field]
@@ -143,20 +151,37 @@ def _turn_reader(role_field: str, text_field: str, names: dict[str, str]):
     return turn
 
 
-def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of a table with a row for each turn, whose fingerprint must be that of ROWS."""
-    if not set(ROWS) <= set(rows.columns) or fingerprint(field_paths(rows.select(*ROWS).schema)) != fingerprint(list(ROWS)):
-        raise ValueError("the schema is not a table of turns")
-    return rows.select(*ROWS)
+def layout_of(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout:
+    """The layout whose fingerprint a typed table has; of a table with further columns, that of the most of its field paths."""
+    paths, by_key = field_paths(schema), {x.key: x for x in layouts}
+    if fingerprint(paths) in by_key:
+        return by_key[fingerprint(paths)]
+    for layout in sorted(layouts, key=lambda x: -len(x.paths)):
+        if by_key.get(fingerprint([p for p in paths if p in layout.paths])) is layout:
+            return layout
+    raise ValueError(f"no known layout has the field paths {paths}")
+
+
+def turns_of(table: DataFrame, id_col: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """conv_id, turn, role, text of a typed table of conversations, by the mapping that the fingerprint of its schema selects."""
+    layout = layout_of(T.StructType([f for f in table.schema.fields if f.name != id_col]), layouts)
+    key = F.col(id_col).cast("long").alias("conv_id")
+    if layout.order:
+        read = _turn_reader(layout.role, layout.text, dict(layout.roles))
+        return table.select(key, F.col(layout.order).cast("long").alias("turn"), read(F.struct(layout.role, layout.text)).alias("x")).select("conv_id", "turn", "x.role", "x.text")
+    turns = F.transform(F.col(layout.turns), _turn_reader(layout.role, layout.text, dict(layout.roles))) if layout.turns else _parts(layout, F.col)
+    return table.select(key, F.posexplode(turns).alias("turn", "x")).select("conv_id", F.col("turn").cast("long").alias("turn"), "x.role", "x.text")
 
 
-def format_turns(rows: DataFrame) -> DataFrame:
+def format_turns(*tables: DataFrame) -> DataFrame:
     """conv_id, formatted and loss_spans (start from 1 and length, in characters, of each assistant text as written).
 
-    Rows are ordered by turn, then role and text, so ties have a fixed order; null roles and texts are empty, a null turn is
-    first, a null conv_id is a conversation of its own. A conversation is one output row, so it must fit one.
+    The tables may have different layouts; each is read by the mapping of its fingerprint, other columns are not read. Rows
+    are ordered by turn, then role and text, so ties and repeated rows have a fixed order; null roles and texts are empty, a
+    null turn is first, rows without a conv_id are together one conversation with a null id. An empty table gives no rows. A
+    conversation is one output row, so it must fit one.
     """
-    rows = turns_of_rows(rows).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = functools.reduce(DataFrame.unionByName, map(turns_of, tables)).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit(OPEN), escape(F.col("role"), breaks=True), F.lit("\n"))
     rows = rows.select("conv_id", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import ROWS, format_turns, loss_text, read_turns
+from .chat import format_turns, loss_text, read_turns
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 from .language import held_out, identify_languages, train_languages
@@ -58,8 +58,9 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
-    done = format_turns(table(spark, sf_dir, "conversations").select(*ROWS).unionByName(extra))
+    turns = f"array(named_struct('role', 'user', 'content', '{hard}'), named_struct('role', 'assistant', 'content', '{hard}'))"
+    extra = spark.sql(f"SELECT -1L AS conv_id, {turns} AS messages")  # another layout than that of the table
+    done = format_turns(table(spark, sf_dir, "conversations"), extra)
     turns = read_turns(F.col("formatted"))
     done = done.select("conv_id", "formatted", turns.alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

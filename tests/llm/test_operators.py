@@ -157,6 +157,22 @@ def test_chat(spark):
     assert got[2] == ([("", "")], "") and got[None] == ([("assistant", "n\n~")], "n\n~")
     with pytest.raises(ValueError):
         format_turns(df.drop("role"))
+    assert format_turns(df.limit(0)).count() == 0
+
+
+def test_chat_of_mixed_layouts(spark):
+    """Every registered layout, as a typed table with extra columns, gives the same conversation."""
+    rows = spark.createDataFrame([(1, 1, "assistant", "a"), (1, 0, "user", "q"), (None, 0, "user", "x"), (None, 1, "user", "y")], "conv_id long, turn int, role string, text string")
+    lists = spark.sql("SELECT 2L conv_id, array(named_struct('role', 'user', 'content', 'q'), named_struct('role', 'assistant', 'content', 'a')) messages, 'z' `text`")
+    named = spark.sql("SELECT 3L conv_id, array(named_struct('from', 'human', 'value', 'q'), named_struct('from', 'gpt', 'value', 'a')) conversations, 7 turn")
+    parts = spark.sql("SELECT 4L conv_id, 'q' prompt, 'a' completion, 1 turn UNION ALL SELECT 5, 'q', null, 2")
+    order = spark.sql("SELECT 6L conv_id, 'q' instruction, '' input, 'a' output")
+    given = spark.sql("SELECT 7L conv_id, 's' `system`, 'q' prompt, 'a' response, 'extra' formatted")
+    content = spark.sql("SELECT 8L conv_id, 0 turn, 'user' role, 'q' content UNION ALL SELECT 8L, 1, 'assistant', 'a'")
+    out = format_turns(rows, lists, named, parts, order, given, content)
+    got = {r.conv_id: [(t.role, t.text) for t in r.t] for r in out.select("conv_id", read_turns(F.col("formatted")).alias("t")).collect()}
+    same = [("user", "q"), ("assistant", "a")]
+    assert got == {1: same, 2: same, 3: same, 4: same, 5: [("user", "q"), ("assistant", "")], 6: same, 7: [("system", "s"), *same], 8: same, None: [("user", "x"), ("user", "y")]}
 
 
 def test_layouts(spark):
