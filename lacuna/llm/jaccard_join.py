@@ -363,9 +363,9 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def connected(members: DataFrame, limit: int, fetch: Callable[[DataFrame], DataFrame], judge: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """EDGES that connect what `judge` links in each group g of members (g, node, w), in tasks of about 2 `limit` weight at most.
+    """EDGES that connect what `judge` links in each group g of members (g, node, w, ...), in tasks of about 2 `limit` weight at most.
 
-    fetch adds rep and what judge needs to rows (cell, node, role, label), cell first; judge sees them sorted by it. A group beyond the
+    fetch makes what judge needs, cell first, of rows (cell, node, role, label, ...); judge sees them sorted by cell. A group beyond the
     limit is dealt into blocks by node. Neighbouring blocks of the ring meet first, which joins a group of near copies whole;
     what is then outside its group's largest component meets every block, so no pair of two components goes unseen.
     """
@@ -377,15 +377,16 @@ def connected(members: DataFrame, limit: int, fetch: Callable[[DataFrame], DataF
 
     weights = members.groupBy("g").agg(F.sum("w").alias("w"))
     big = materialise(weights.where(F.col("w") > limit).select("g", F.ceil(F.col("w") / limit).alias("blocks")), "big")
-    plain = lambda df: df.select(F.col("g").alias("cell"), "node", F.lit(-1).alias("role"), none.alias("label"))
+    more = [F.col(c) for c in members.columns if c not in ("g", "node", "w")]
+    plain = lambda df: df.select(F.col("g").alias("cell"), "node", F.lit(-1).alias("role"), none.alias("label"), *more)
     if big.isEmpty():
         return edges(plain(members))
     small = edges(plain(members.join(big, "g", "left_anti")))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    large = materialise(members.join(big, "g").select("g", "node", "w", "blocks", block.alias("block")), "blocks")
+    large = materialise(members.join(big, "g").select("g", "node", "w", *more, "blocks", block.alias("block")), "blocks")
     meets = F.when(F.col("blocks") == 2, F.array(F.lit(0).cast("long"))).otherwise(F.array("block", F.pmod(F.col("block") - 1, F.col("blocks"))))
-    ring = large.select(F.col("g").alias("group"), F.explode(meets).alias("i"), "node")
-    first = materialise(edges(ring.select(F.xxhash64("group", "i").alias("cell"), "node", F.lit(-1).alias("role"), none.alias("label"))), "ring")
+    ring = large.select(F.col("g").alias("group"), F.explode(meets).alias("turn"), "node", *more)
+    first = materialise(edges(ring.select(F.xxhash64("group", "turn").alias("cell"), "node", F.lit(-1).alias("role"), none.alias("label"), *more)), "ring")
     labels = smallest_label(first.select("a", "b"))
     large = large.where("blocks > 3").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = large.groupBy("g", "label").agg(F.count("*").alias("n"))
@@ -397,8 +398,8 @@ def connected(members: DataFrame, limit: int, fetch: Callable[[DataFrame], DataF
     asked = rest.groupBy("g").agg(F.ceil(F.sum("w") / limit).alias("asks"))
     name = lambda i, j: F.xxhash64("g", F.lit(1), i, j).alias("cell")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = rest.join(asked, "g").select("*", upto("blocks").alias("j")).select(name(F.pmod(F.xxhash64("node", F.lit(2)), F.col("asks")), F.col("j")), "node", F.lit(0).alias("role"), "label")
-    right = large.join(asked, "g").select("*", upto("asks").alias("i")).select(name(F.col("i"), F.col("block")), "node", F.lit(1).alias("role"), "label")
+    left = rest.join(asked, "g").select("*", upto("blocks").alias("j")).select(name(F.pmod(F.xxhash64("node", F.lit(2)), F.col("asks")), F.col("j")), "node", F.lit(0).alias("role"), "label", *more)
+    right = large.join(asked, "g").select("*", upto("asks").alias("i")).select(name(F.col("i"), F.col("block")), "node", F.lit(1).alias("role"), "label", *more)
     return small.union(first).union(edges(left.union(right)))
 
 
@@ -459,7 +460,7 @@ class Joined:
         groups = smallest_label(near.select("a", "b")).withColumnRenamed("label", "g")
         groups = materialise(groups.join(classes.select("node", "rep", "h", F.col("n").alias("w")), "node"), "groups")
         texts = materialise(self._texts(source, groups), "texts")
-        links = connected(groups.select("g", "node", "w"), GROUP, lambda rows: rows.join(texts, "node").select("cell", "node", "role", "label", "rep", "t"), lambda b: _verify(b, percent))
+        links = connected(texts, GROUP, lambda rows: rows.select("cell", "node", "role", "label", "rep", "t"), lambda b: _verify(b, percent))
         # Nodes in order of their ids, so that the first node of a component has its smallest id: nothing meets by component.
         ranked = lambda rep, node: F.struct(F.col(rep).isNull().alias("none"), F.col(rep).alias("rep"), F.col(node).alias("node"))
         labels = smallest_label(links.select(ranked("rep_a", "a").alias("a"), ranked("rep_b", "b").alias("b")))
@@ -469,11 +470,16 @@ class Joined:
 
     @staticmethod
     def _texts(source: DataFrame, groups: DataFrame) -> DataFrame:
-        """node, rep and the text of each node: one row with its id and text hash, taken before anything is joined to it."""
-        asked = groups.select(F.col("rep").alias("id"), "h").distinct().alias("a")
-        same = lambda x, key: (F.col(f"{x}.h") == F.col("a.h")) & F.col(f"{x}.{key}").eqNullSafe(F.col("a.id"))
-        found = source.alias("s").join(asked, same("s", "id"), "left_semi").groupBy("id", "h").agg(F.min("t").alias("t"))
-        return groups.alias("g").join(found.alias("a"), same("g", "rep")).select("g.node", "g.rep", "a.t")
+        """g, node, w, rep and the text of each node: one row with its id and text hash, taken before anything is joined to it.
+
+        All by one key, so that texts travel once; the sides are never broadcast, whatever the size, as they grow alike.
+        """
+        key = lambda row: F.xxhash64(row, "h").alias("k")
+        asked = groups.select(key("rep")).distinct().hint("merge")
+        found = source.select(key("id"), "h", "t").join(asked, "k", "left_semi").groupBy("k", "h").agg(F.min("t").alias("t"))
+        same = F.col("g.h").bitwiseXOR(F.col("f.h")) == 0  # no join key of its own: the rows are dealt by k already
+        both = groups.select(key("rep"), "*").alias("g").join(found.alias("f").hint("merge"), (F.col("g.k") == F.col("f.k")) & same)
+        return both.select("g.g", "g.node", "g.w", "g.rep", "f.t")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
