@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import CLOSE, CONTROLS, ESCAPE, OPEN
-from .queries import HOST_RULES, PERCENT, SHARD_BYTES, WINDOW, WORDS
+from .queries import HOST_RULES, PERCENT, SHARD_BYTES, WINDOW, filter_lines
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -73,16 +73,23 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 def _urls() -> str:
     import re
 
+    from .url_rules import filter_rule
+
     nested = sorted(HOST_RULES, key=lambda r: -len(r[0]))
     fits = lambda r: r"regexp_matches(host || path, '^([^/]*\.)?" + re.escape(r[0]) + "')"
     rule = " ".join(f"WHEN {fits(r)} THEN '{r[0]}'" for r in nested)
     verdict = " ".join(f"WHEN {fits(r)} THEN '{r[1]}'" for r in nested)
-    words = " ".join(f"WHEN regexp_matches(host || path, '(^|[/._-]){w}([/._-]|$)') THEN '*{w}*'" for w in WORDS)
+    lines = [filter_rule(line) for line in filter_lines()]
+    rows = ", ".join(f"({i}, '{r.name}', '{r.verdict}', '{r.expression}')" for i, r in enumerate(lines))
+    # Constant alternations first: only the few URLs that fit any are held against each line.
+    some = " OR ".join("regexp_matches(url, '" + "|".join(f"(?i:{r.expression.removeprefix('(?i)')})" for r in lines[i : i + 100]) + "')" for i in range(0, len(lines), 100))
     return f"""
-WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-u AS (SELECT page_id, {LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-p AS (SELECT *, CASE {rule} END AS rule, CASE {words} END AS pattern FROM u)
-SELECT page_id, host, path, rule, pattern, CASE {verdict} WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM p
+WITH r AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, url, {LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+l(i, name, verdict, expression) AS (VALUES {rows}),
+near AS (SELECT DISTINCT url FROM u WHERE instr(url, '://') > 0 AND ({some})),
+p AS (SELECT url, first(name ORDER BY verdict, i) AS pattern, first(verdict ORDER BY verdict, i) AS says FROM near JOIN l ON regexp_matches(url, expression) GROUP BY url)
+SELECT page_id, host, path, CASE {rule} END AS rule, pattern, CASE {verdict} ELSE coalesce(says, 'allow') END AS verdict FROM u LEFT JOIN p USING (url)
 """
 
 

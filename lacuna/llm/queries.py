@@ -14,7 +14,7 @@ from .pieces import encode_pieces
 from .sharding import shard_rows
 from .surrogates import replace_entities
 from .token_counts import token_counts
-from .url_rules import host_rule, judge_urls, word_rule
+from .url_rules import filter_rule, host_rule, judge_urls
 
 SHARD_BYTES = 1 << 20
 TOKEN_LIMIT = 512
@@ -23,9 +23,18 @@ PERCENT = 75
 NEIGHBOURS = 5
 N_BEST = 3
 KEY = "lacuna surrogate key 1"
-#: Longest host rule first in each chain of nested rules; words that mark pages of no use for training.
+#: Host rules, longest first in each chain of nested rules.
 HOST_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+#: Words that mark pages of no use for training, and the filter lines made of each; {n} runs over ten numbers, {t} over domains.
 WORDS = ("ad", "ads", "adserver", "banner", "casino", "click", "doubleclick", "download", "login", "pixel", "popup", "porn", "signup", "track", "tracker", "xxx")
+SHAPES = ("||{w}.", "||{w}-", "-{w}.", "-{w}-", "^{w}^", "/{w}-", "-{w}^", "_{w}^", "/{w}_", "/{w}.", "||{w}{n}.", "/{w}{n}^", "||{w}{n}-*.{t}^", "||cdn{n}.{w}.{t}^", "/{w}/*/{n}.gif|", "@@||help.{t}/{w}{n}^")
+DOMAINS = ("com", "net", "org", "info", "biz")
+
+
+def filter_lines() -> list[str]:
+    """The filter list of the query: each shape for each word, number and domain that it names."""
+    made = (s.format(w=w, n=n, t=t) for s in SHAPES for w in WORDS for n in (range(10) if "{n}" in s else [""]) for t in (DOMAINS if "{t}" in s else [""]))
+    return [*made, "|ftp://*/Private/$match-case"]
 
 
 def tokenizer(name: str) -> str:
@@ -96,7 +105,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [host_rule(*r) for r in HOST_RULES] + [word_rule(w) for w in WORDS]
+    rules = [host_rule(*r) for r in HOST_RULES] + [filter_rule(line) for line in filter_lines()]
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 

@@ -15,7 +15,7 @@ from lacuna.llm.queries import tokenizer
 from lacuna.llm.sharding import shard_rows
 from lacuna.llm.surrogates import replace_entities
 from lacuna.llm.token_counts import token_counts
-from lacuna.llm.url_rules import host_rule, judge_urls, word_rule
+from lacuna.llm.url_rules import filter_rule, host_rule, judge_urls
 
 TEXTS = [None, "", " ", "a", "Hello  world.\n\nIt's 5 o'clock", "été ▁ 日本 🎉", "x" * 20000, "a", "a", "b <|endoftext|> c"]
 
@@ -201,12 +201,62 @@ def test_contamination_in_blocks(spark, docs, monkeypatch):
 
 
 def test_urls(spark):
-    rules = [host_rule("org/", "allow"), host_rule("example.org/en/1", "block"), word_rule("ads")]
-    rows = [(1, "https://A.Example.org/en/12?x"), (2, "http://x.org"), (3, None), (4, "no scheme/ads"), (5, "ftp://h.net/ads/1"), (6, "http://x.org/ads"), (6, "http://x.org/ads")]
-    got = [tuple(r) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).orderBy("page_id").collect()]
-    assert got[0] == (1, "a.example.org", "/en/12", "example.org/en/1", None, "block")
-    assert got[1] == (2, "x.org", "", None, None, "allow") and got[2] == (3, "", "", None, None, "allow") and got[3] == (4, "", "", None, None, "allow")
-    assert got[4] == (5, "h.net", "/ads/1", None, "*ads*", "block") and got[5] == got[6] == (6, "x.org", "/ads", "org/", "*ads*", "allow")
+    rules = [host_rule("org/", "allow"), host_rule("example.org/en/1", "block"), filter_rule("^ads^")]
+    rows = [(1, "https://A.Example.org/en/12?x"), (2, "http://x.org"), (3, None), (4, "no scheme/ads"), (5, "ftp://h.net/ads/1"), (6, "http://x.org/ads"), (6, "http://x.org/ads"), (None, "ftp://h.net/ads/1")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "token": F.lit(2), "i": F.lit(3)})
+    got = sorted((tuple(r) for r in judge_urls(df, rules).collect()), key=str)
+    assert got == sorted(
+        [(1, "a.example.org", "/en/12", "example.org/en/1", None, "block"), (2, "x.org", "", None, None, "allow"), (3, "", "", None, None, "allow"), (4, "", "", None, None, "allow")]
+        + [(5, "h.net", "/ads/1", None, "^ads^", "block"), (None, "h.net", "/ads/1", None, "^ads^", "block")]
+        + [(6, "x.org", "/ads", "org/", "^ads^", "allow")] * 2,
+        key=str,
+    )
+    assert judge_urls(df.limit(0), rules).collect() == [] and {r.verdict for r in judge_urls(df, []).collect()} == {"allow"}
+
+
+def fits_by_hand(line, url):
+    """Filter syntax character by character, without expressions or an index."""
+    body, _, options = line.removeprefix("@@").partition("$")
+    if not options:
+        body, url = body.lower(), url.lower()
+    starts = range(len(url) + 1)
+    if body.startswith("||"):
+        body, a = body[2:], url.index("://") + 3
+        host = len(url[a:]) - len(url[a:].lstrip("".join(c for c in map(chr, range(33, 127)) if c not in "/?#")))
+        starts = [a, *(a + k + 1 for k in range(host) if url[a + k] == ".")]
+    elif body.startswith("|"):
+        body, starts = body[1:], [0]
+    end = body.endswith("|")
+    body = body[:-1] if end else body
+
+    def match(i, j):
+        if i == len(body):
+            return not end or j == len(url)
+        if body[i] == "*":
+            return any(match(i + 1, k) for k in range(j, len(url) + 1))
+        if body[i] == "^":
+            return j == len(url) and match(i + 1, j) or j < len(url) and not (url[j].isalnum() or url[j] in "_.%-") and match(i + 1, j + 1)
+        return j < len(url) and url[j] == body[i] and match(i + 1, j + 1)
+
+    return any(match(0, s) for s in starts)
+
+
+@pytest.mark.parametrize("index_bytes", [32 << 20, -1])
+def test_filter_lines_against_matching_by_hand(spark, monkeypatch, index_bytes):
+    import random
+
+    import lacuna.llm.url_rules as U
+
+    monkeypatch.setattr(U, "INDEX_BYTES", index_bytes)
+    rng = random.Random(6)
+    parts = ["ads", "ad", "x", "img", "Ads", "1", "track"]
+    lines = [rng.choice(["", "||", "|http://", "@@", "@@||"]) + rng.choice(["", "*", "^", "/", "."]) + rng.choice(parts) + rng.choice(["", "*", "^", "/", ".", "-*"]) + rng.choice(["", *parts]) + rng.choice(["", "|", "^", "$match-case"]) for _ in range(300)]
+    urls = ["http://" + "".join(rng.choice(parts) + rng.choice(["", ".", "/", "-", "_", "?", "//"]) for _ in range(rng.randrange(1, 6))) for _ in range(200)]
+    lines = sorted({x for x in lines if x.strip("@|*$")}, key=lambda x: (len(x), x))
+    got = {r.page_id: r for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [filter_rule(x) for x in lines]).collect()}
+    for k, url in enumerate(urls):
+        hits = sorted((not x.startswith("@@"), i, x) for i, x in enumerate(lines) if fits_by_hand(x, url))
+        assert (got[k].pattern, got[k].verdict) == ((hits[0][2], "block" if hits[0][0] else "allow") if hits else (None, "allow")), url
 
 
 def test_surrogates(spark, docs):
