@@ -55,8 +55,10 @@ def shard_rows(docs: DataFrame, limit: int, key: str = "doc_id", size: Column |
         full = cells.withColumns({"h1": F.call_function("shiftleft", F.col("c1"), F.lit(max(BITS - depth, 0))), "h2": F.call_function("shiftleft", F.col("c2"), F.lit(2 * BITS - max(depth, BITS)))})
         levels = full.select("c1", "c2", "h1", "h2", "b", "n", F.explode(F.sequence(F.lit(low + 1), F.lit(depth))).alias("d")).withColumns({"p1": _prefix(F.col("d"), 1), "p2": _prefix(F.col("d"), 2)})
         sums = levels.groupBy("d", "p1", "p2").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows")).where(F.col("shard_bytes") <= limit)
+        sums = materialise(sums, "shard-sums")
         first = F.min(F.struct("d", "p1", "p2", "shard_bytes", "shard_rows")).alias("own")
-        directory = levels.select("c1", "c2", "d", "p1", "p2").join(sums, ["d", "p1", "p2"]).groupBy("c1", "c2").agg(first)
+        least = sums.agg(F.min("d")).first()[0]  # no shard is shorter, and the prefixes of few bits would meet in few tasks
+        directory = levels.where(F.col("d") >= F.lit(depth if least is None else least)).select("c1", "c2", "d", "p1", "p2").join(sums, ["d", "p1", "p2"]).groupBy("c1", "c2").agg(first)
         here = small.withColumns({"c1": _prefix(depth, 1), "c2": _prefix(depth, 2)})
         shard = F.concat_ws("-", F.col("own.d"), F.col("own.p1"), F.when(F.col("own.d") > BITS, F.col("own.p2")))
         out = out.unionByName(here.join(directory, ["c1", "c2"]).select("k", "n_bytes", shard.alias("shard"), F.col("own.d").alias("depth"), "own.shard_bytes", "own.shard_rows", F.lit(False).alias("oversized")))
