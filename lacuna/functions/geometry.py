@@ -76,6 +76,11 @@ def inside_box(low: tuple, high: tuple, p: tuple = AXES) -> Column:
     return out
 
 
+def expanded(low: tuple, high: tuple, by: float) -> tuple[tuple, tuple]:
+    """A box wider by the same length on all sides."""
+    return tuple(c - by for c in low), tuple(c + by for c in high)
+
+
 def inside_key_box(centre: tuple, half: float, resolution: float = DEFAULT.resolution, keys: tuple = ("kx", "ky", "kz")) -> Column:
     """Inside a box of keys, borders included."""
     low = lambda c: math.floor((c - half) / resolution) + KEY_OFFSET
@@ -185,3 +190,12 @@ def ball_points(spark, n: int, radius: float, shell: float = 0.0) -> DataFrame:
     share = F.pmod((F.col("i") + 0.5) * 0.7548776662466927, F.lit(1.0))
     r = F.cbrt(shell**3 + share * (radius**3 - shell**3))
     return fibonacci_directions(spark, n).select("i", (F.col("dx") * r).alias("x"), (F.col("dy") * r).alias("y"), (F.col("dz") * r).alias("z"))
+
+
+def camera_ends(spark, n: int, corner: tuple[float, float, float], optic: bool = False) -> DataFrame:
+    """n ray ends (i, x, y, z) spread over a camera's view with that corner, from fixed low-discrepancy numbers in place of
+    random ones: at depth x (optic frames: z) and between plus and minus the corner in the other two axes."""
+    u = F.pmod((F.col("id") + 0.5) * 0.7548776662466927, F.lit(1.0)) * 2 - 1
+    v = F.pmod((F.col("id") + 0.5) * 0.5698402909980532, F.lit(1.0)) * 2 - 1
+    x, y, z = (F.lit(float(c)) for c in corner)
+    return spark.range(n).select(F.col("id").alias("i"), *((x * u, y * v, z) if optic else (x, y * u, z * v))).toDF("i", *AXES)

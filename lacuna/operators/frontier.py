@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.operators.iterate import components, shortest
-from lacuna.operators.spatial import pairs_within, top_by
+from lacuna.functions.geometry import AXES, square_distance
+from lacuna.operators.iterate import components, shortest, written
+from lacuna.operators.spatial import nearest_site, pairs_within, thin, top_by
+from lacuna.operators.voxels import exploration_value
 
 
 def dbscan(groups: DataFrame, reach: float = 6.0, least: int = 500, least_weight: int = 0) -> DataFrame:
@@ -44,3 +46,32 @@ def spread_value(segments: DataFrame, portal_steps: DataFrame, source: int, most
     start = segments.where(F.col("segment_id") == source).select(F.col("segment_id").alias("id"), F.lit(0.0).alias("dist"))
     found = shortest(start, portal_steps, most).withColumnRenamed("id", "segment_id")
     return segments.select("segment_id").join(found, "segment_id", "left").select("segment_id", F.coalesce(1 - (F.col("dist") / most) * (F.col("dist") / most), F.lit(0.0)).alias("value"))
+
+
+def groups_of(points: DataFrame, reach: float = 4.0, order: str = "id") -> DataFrame:
+    """(id, x, y, z, weight): greedy groups of points(id, x, y, z) in the order given. A point farther than `reach` from all
+    groups so far founds one; weight is the number of points of which it is the first group in reach."""
+    heads = thin(points, reach, order=order)
+    near = pairs_within(points, heads, reach, (square_distance("a", "b") < reach * reach) | (F.col("a.id") == F.col("b.id")))
+    own = near.groupBy(F.col("a.id").alias("p")).agg(F.min(F.struct(F.col(f"b.{order}").alias("order"), F.col("b.id").alias("id")))["id"].alias("id"))
+    return heads.select("id", *AXES).join(own.groupBy("id").agg(F.count("*").alias("weight")), "id")
+
+
+def cluster_sizes(groups: DataFrame) -> DataFrame:
+    """(cluster, n_groups, n_elements) of groups(cluster, weight); noise (-1) counts as a cluster of its own."""
+    return groups.groupBy("cluster").agg(F.count("*").alias("n_groups"), F.sum("weight").cast("long").alias("n_elements"))
+
+
+def exploration_points(groups: DataFrame, offsets: DataFrame, obstacles: DataFrame, voxels: DataFrame, directions: DataFrame, reach: float = 10.0, clearance: float = 0.8) -> DataFrame:
+    """(cluster, id, x, y, z, unknown_share, ux, uy, uz): where to look at each cluster of groups(id, cluster, x, y, z) from.
+
+    Candidates are the offsets (a cylinder's samples, say) around every group that keep `clearance` from obstacles; those
+    whose rays end both in unknown space and at obstacles count, and of each cluster and sector the one that sees most is kept.
+    """
+    many = offsets.select(F.monotonically_increasing_id().alias("i"), *(F.col(c).alias(f"o{c}") for c in AXES))
+    places = groups.where("cluster >= 0").select("cluster", F.col("id").alias("group"), *AXES).join(F.broadcast(many))  # a stated, fixed set of offsets
+    places = written(places.select((F.col("group") * 10_000 + F.col("i")).alias("id"), "cluster", *((F.col(c) + F.col(f"o{c}")).alias(c) for c in AXES)))
+    clear = nearest_site(places, obstacles, "id", clearance, clearance).where(F.col("odist") >= clearance)
+    seen = exploration_value(places.join(clear, "id"), voxels, directions, reach)
+    both = places.join(seen, "id").withColumns({"score": F.col("unknown_share"), "direction": F.atan2("uy", "ux")})
+    return best_by_direction(both).select("cluster", "id", *AXES, "unknown_share", "ux", "uy", "uz")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.config import DEFAULT, MapConfig
-from lacuna.functions.geometry import AXES, connectable, square_distance
+from lacuna.functions.geometry import AXES, connectable, packed_key, square_distance, to_key
 from lacuna.operators.iterate import components
 from lacuna.operators.spatial import pairs_within, top_by
 
@@ -50,6 +50,13 @@ def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return dangling.join(oneway).join(edges.agg(F.count("*").alias("n_edges")))  # three single rows
 
 
+def wrong_keys(nodes: DataFrame, config: MapConfig = DEFAULT) -> DataFrame:
+    """(n_wrong, n_shared): nodes whose key is not that of their place, and voxels with more than one node."""
+    key = packed_key(*(to_key(c, config.resolution) for c in AXES)).cast("long")
+    own = nodes.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("key") != key).alias("wrong"))
+    return own.agg(F.coalesce(F.sum("wrong"), F.lit(0)).cast("long").alias("n_wrong"), F.count_if(F.col("n") > 1).alias("n_shared"))
+
+
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
     return nodes.select("id").join(n, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.geometry import heat_color, segment_color
+from lacuna.functions.geometry import from_key, heat_color, segment_color
+from lacuna.operators.voxels import FACES
 
 POINT = F.struct  # of x, y, z
 
@@ -86,3 +87,35 @@ def arrow_markers(points: DataFrame, length: float = 1.0) -> DataFrame:
 def group_markers(groups: DataFrame) -> DataFrame:
     """Frontier groups(id, x, y, z, weight, cluster): a sphere each, coloured by cluster, wider with the root of its weight."""
     return marker(groups, "frontier_groups", F.col("id"), "sphere", F.array(at("x", "y", "z")), segment_color("cluster"), F.sqrt("weight") / 10)
+
+
+def facet_markers(faces: DataFrame, resolution: float = 0.2, as_points: bool = False) -> DataFrame:
+    """Unexplored faces(region, kx, ky, kz, o; o as in FACES): an arrow out of each, or its middle as a point."""
+    key = F.xxhash64("kx", "ky", "kz", "o")
+    out = lambda axis: F.element_at(F.array(*(F.lit(f[axis]) for f in FACES)), F.col("o") + 1)
+    centre = [from_key(k, resolution) for k in ("kx", "ky", "kz")]
+    face = F.struct(*((c + out(i) * (resolution / 2)).alias(n) for i, (c, n) in enumerate(zip(centre, "xyz", strict=True))))
+    tip = F.struct(*((c + out(i) * (1.5 * resolution)).alias(n) for i, (c, n) in enumerate(zip(centre, "xyz", strict=True))))
+    return marker(faces, "facets", key, "point" if as_points else "arrow", F.array(face) if as_points else F.array(face, tip), segment_color("region"), resolution / 2)
+
+
+def border_markers(borders: DataFrame, resolution: float = 0.2, inside: bool = False) -> DataFrame:
+    """A cube for each border cell of borders(region, kx, ky, kz, is_border), or for each inner one."""
+    own = borders.where(~F.col("is_border") if inside else F.col("is_border"))
+    point = F.array(F.struct(*(from_key(k, resolution).alias(n) for k, n in zip(("kx", "ky", "kz"), "xyz", strict=True))))
+    return marker(own, "inside" if inside else "borders", F.xxhash64("region", "kx", "ky", "kz"), "cube", point, segment_color("region"), resolution)
+
+
+def nav_graph_markers(centres: DataFrame, portals: DataFrame) -> DataFrame:
+    """Regions' navigation centres(region, x, y, z), and lines between those of connected regions(id1, id2) by way of their portals(x, y, z)."""
+    dots = marker(centres, "nav_nodes", F.col("region"), "sphere", F.array(at("x", "y", "z")), segment_color("region"), 0.4)
+    named = lambda i: centres.select(F.col("region").alias(f"id{i}"), *(F.col(c).alias(f"{c}{i}") for c in "xyz"))
+    own = portals.join(named(1), "id1").join(named(2), "id2")
+    lines = marker(own, "nav_edges", F.xxhash64("id1", "id2"), "line", F.array(at("x1", "y1", "z1"), at("x", "y", "z"), at("x2", "y2", "z2")), [F.lit(0.0), F.lit(1.0), F.lit(0.0)], 0.1)
+    return dots.unionByName(lines)
+
+
+def coverage_markers(segments: DataFrame) -> DataFrame:
+    """Segments(segment_id, cx, cy, cz, coverage from 0 to 1): spheres from red (not covered) to green."""
+    share = F.least(F.greatest("coverage", F.lit(0.0)), F.lit(1.0)) / 3
+    return marker(segments, "coverage", F.col("segment_id"), "sphere", F.array(at("cx", "cy", "cz")), heat_color(share), 0.8)

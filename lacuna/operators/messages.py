@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.config import DEFAULT, MapConfig
+from lacuna.operators.spatial import pairs_within
 
 #: Fixed scales of the eight-bit codes: full angle and full half size.
 FULL_ANGLE, FULL_SIZE = math.pi, 50.0
@@ -57,19 +58,24 @@ def fragments(packed: DataFrame, robot: int, message_index: int) -> DataFrame:
     return rows.join(F.broadcast(total)).select(F.lit(robot).alias("robot"), F.lit(message_index).cast("long").alias("message_index"), "fragment_index", "num_total", "segs", "portals")
 
 
+MESSAGE = ("robot", "message_index")
+
+
 def decode(frags: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments (idx over the sorted fragments, centre, yaw, half sizes, bounding radius) and portals at middle points.
+    """robot, message_index and segments (idx over the message's sorted fragments, centre, yaw, half sizes, bounding radius),
+    and portals at middle points.
 
-    A portal whose number has no segment is an error in the message and is not decoded.
+    Every message is numbered by itself. A portal whose number has no segment is an error in the message and is not decoded.
+    Null lists have no items; a fragment that is there twice counts twice, as reassembly drops duplicates.
     """
-    flat = frags.select("fragment_index", F.posexplode("segs").alias("pos", "s"))
-    idx = F.row_number().over(Window.orderBy("fragment_index", "pos")) - 1
+    flat = frags.select(*MESSAGE, "fragment_index", F.posexplode("segs").alias("pos", "s"))
+    idx = F.row_number().over(Window.partitionBy(*MESSAGE).orderBy("fragment_index", "pos")) - 1
     back = lambda c, full: (F.col(f"s.{c}") * full / 255).alias(c)
-    segs = flat.select(idx.alias("idx"), "s.cx", "s.cy", "s.cz", back("alpha", FULL_ANGLE), *(back(c, FULL_SIZE) for c in "abc"))
+    segs = flat.select(*MESSAGE, idx.alias("idx"), "s.cx", "s.cy", "s.cz", back("alpha", FULL_ANGLE), *(back(c, FULL_SIZE) for c in "abc"))
     segs = segs.withColumn("radius", F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c")))
-    ports = frags.select(F.explode("portals").alias("p")).select("p.id1", "p.id2")
-    named = lambda i: segs.select(F.col("idx").alias(f"id{i}"), *(F.col(f"c{c}").alias(f"{c}{i}") for c in "xyz"))
-    ports = ports.join(named(1), "id1").join(named(2), "id2").select("id1", "id2", *(((F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(c) for c in "xyz"))
+    ports = frags.select(*MESSAGE, F.explode("portals").alias("p")).select(*MESSAGE, "p.id1", "p.id2")
+    named = lambda i: segs.select(*MESSAGE, F.col("idx").alias(f"id{i}"), *(F.col(f"c{c}").alias(f"{c}{i}") for c in "xyz"))
+    ports = ports.join(named(1), [*MESSAGE, "id1"]).join(named(2), [*MESSAGE, "id2"]).select(*MESSAGE, "id1", "id2", *(((F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(c) for c in "xyz"))
     return segs, ports
 
 
@@ -83,13 +89,33 @@ def reassemble(frags: DataFrame) -> DataFrame:
 
 
 def membership(points: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(id, segment_id, m, p) of points inside blocks (segment_id, cx, cy, cz, alpha, a, b, c): p falls over the outer fifth."""
-    d = [F.col(c) - F.col(f"c{c}") for c in "xyz"]
-    u = F.abs(d[0] * F.cos("alpha") + d[1] * F.sin("alpha")) / F.col("a")
-    v = F.abs(-d[0] * F.sin("alpha") + d[1] * F.cos("alpha")) / F.col("b")
-    m = F.greatest(u, v, F.abs(d[2]) / F.col("c"))
-    pairs = points.join(blocks, sum((x * x for x in d), F.lit(0.0)) <= F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
-    return pairs.withColumn("m", m).where("m < 1").select("id", "segment_id", "m", F.least(F.lit(1.0), (1 - F.col("m")) / 0.2).alias("p"))
+    """(id, segment_id, m, p) of points inside blocks (segment_id, cx, cy, cz, alpha, a, b, c): p falls over the outer fifth.
+
+    Blocks are joined to the points' grid cells by classes of their radii, powers of two (a few dozen at most), so that a
+    large block makes no wide grid for the small ones.
+    """
+    radius = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
+    sized = blocks.where(radius > 0).withColumn("class", F.ceil(F.log2(radius)).cast("int"))
+    classes = [r["class"] for r in sized.select("class").distinct().collect()]
+    own = sized.select("segment_id", "class", *(F.col(f"c{c}").alias(c) for c in "xyz"), "alpha", "a", "b", "c")
+    out = None
+    for k in sorted(classes):
+        pairs = pairs_within(points.select("id", *"xyz"), own.where(F.col("class") == k), 2.0**k * (1 + 1e-9))
+        d = [F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"]
+        u = F.abs(d[0] * F.cos("b.alpha") + d[1] * F.sin("b.alpha")) / F.col("b.a")
+        v = F.abs(-d[0] * F.sin("b.alpha") + d[1] * F.cos("b.alpha")) / F.col("b.b")
+        m = F.greatest(u, v, F.abs(d[2]) / F.col("b.c"))
+        one = pairs.select(F.col("a.id").alias("id"), F.col("b.segment_id").alias("segment_id"), m.alias("m")).where("m < 1")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = points.select("id", F.lit(None).cast(blocks.schema["segment_id"].dataType).alias("segment_id"), F.lit(None).cast("double").alias("m")).where("false")
+    return out.withColumn("p", F.least(F.lit(1.0), (1 - F.col("m")) / 0.2))
+
+
+def most_probable(points: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(id, p): the greatest probability that a point belongs to some block, 0 outside all."""
+    best = membership(points, blocks).groupBy("id").agg(F.max("p").alias("p"))
+    return points.select("id").join(best, "id", "left").select("id", F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
 def exploredness(points: DataFrame, maps: DataFrame) -> DataFrame:

@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.config import DEFAULT, MapConfig
-from lacuna.functions.geometry import linear_safety_cost, unsafety
+from lacuna.functions.geometry import AXES, linear_safety_cost, unsafety
+from lacuna.operators.iterate import cheapest_paths
+
+#: Rows of each of the map's tables up to which a task holds it whole.
+MOST = 200_000
 
 
 def node_unsafety(r: float, config: MapConfig) -> float:
@@ -106,7 +110,9 @@ def plan_paths(requests: DataFrame, safe: DataFrame, edges: DataFrame, connectio
 
     The start snaps to the nearest sphere; the goal tries the nearest sphere of each segment in order of distance. With stored
     paths the search is over portals: a path is the start leg, stored legs and a goal leg. Each block of requests reads the map
-    tables as one group; requests are spread over many groups.
+    tables as one group; requests are spread over many groups. A map with a table of over MOST rows is searched by rounds of
+    joins instead, for the cheapest path of the whole graph, so that every request is answered at any size. Requests without a
+    sphere near start or goal, or with null coordinates, do not succeed; repeated requests are answered each.
     """
     from lacuna.operators.graph import nearest_node, nearest_per_segment
 
@@ -116,8 +122,8 @@ def plan_paths(requests: DataFrame, safe: DataFrame, edges: DataFrame, connectio
     asked = requests.select("query_id", "goal_id", F.struct("query_id", "goal_id").alias("pid")).join(start.select("pid", F.col("id").alias("start")), "pid", "left").join(goals, "pid", "left")
     asked = asked.select("query_id", "goal_id", "start", F.coalesce(F.col("goals.id"), F.array().cast("array<long>")).alias("goals"))
     # The map of one robot is small (a few thousand spheres); it is read once to the driver behind a check of its size.
-    if safe.limit(200_001).count() > 200_000:
-        raise ValueError("the map is too large for one search group; plan inside its segments with stored_paths()")
+    if max(t.limit(MOST + 1).count() for t in (safe, edges, connection, stored)) > MOST:
+        return _plan_by_rounds(asked, safe, edges, config)
     spark = requests.sparkSession
     tables = spark.sparkContext.broadcast((safe.select("id", "segment_id", "x", "y", "z", "radius").toPandas(), edges.select("src", "dst", "s1", "s2").toPandas(), connection.toPandas(), stored.select("seg", "nb1", "nb2", "path", "total_unsafety", "min_safedist", "length").toPandas()))
     schema = "query_id long, goal_id int, success boolean, message string, path array<long>, length double, cost double"
@@ -143,6 +149,26 @@ def plan_paths(requests: DataFrame, safe: DataFrame, edges: DataFrame, connectio
     return asked.mapInPandas(run, schema)
 
 
+def _plan_by_rounds(asked: DataFrame, safe: DataFrame, edges: DataFrame, config: MapConfig) -> DataFrame:
+    """The same answers for maps that no task can hold: cheapest paths over the whole graph, by relaxation of joined tables."""
+    size = safe.select("id", *AXES, "radius")
+    step = edges.select("src", "dst").join(size.withColumnsRenamed({"id": "src", "x": "x1", "y": "y1", "z": "z1"}).drop("radius"), "src").join(size.withColumnRenamed("id", "dst"), "dst")
+    length = F.sqrt(sum(((F.col(f"{c}1") - F.col(c)) * (F.col(f"{c}1") - F.col(c)) for c in AXES), F.lit(0.0)))
+    risk = F.when(F.col("radius") < config.full_safe, config.safety_bias + config.safety_weight * unsafety("radius", config)).otherwise(0.0)
+    costs = step.select("src", "dst", (length + risk).alias("w"))
+    found = cheapest_paths(asked.where("start is not null").select(F.struct("query_id", "goal_id").alias("q"), F.col("start").alias("id")), costs)
+    ends = asked.select(F.struct("query_id", "goal_id").alias("q"), F.posexplode("goals").alias("rank", "id"))
+    twice = F.when(F.size("path") == 1, F.concat("path", "path")).otherwise(F.col("path")).alias("path")  # start and goal at one sphere
+    best = ends.join(found.select("q", "id", "cost", twice), ["q", "id"]).groupBy("q").agg(F.min(F.struct("rank", "cost", "path")).alias("b"))
+    points = best.select("q", F.posexplode("b.path").alias("pos", "id")).join(size, "id")
+    before = Window.partitionBy("q").orderBy("pos")
+    leg = F.sqrt(sum(((F.col(c) - F.lag(c).over(before)) * (F.col(c) - F.lag(c).over(before)) for c in AXES), F.lit(0.0)))
+    lengths = points.withColumn("leg", F.coalesce(leg, F.lit(0.0))).groupBy("q").agg(F.sum("leg").alias("length"))
+    done = asked.select("query_id", "goal_id", F.struct("query_id", "goal_id").alias("q")).join(best, "q", "left").join(lengths, "q", "left")
+    good = F.col("b").isNotNull()
+    return done.select("query_id", "goal_id", good.alias("success"), F.when(good, "success!").otherwise("could not find path!").alias("message"), F.col("b.path").alias("path"), "length", F.col("b.cost").alias("cost"))
+
+
 class Planner:
     def __init__(self, nodes, edges, connection, stored, config: MapConfig):
         self.config = config

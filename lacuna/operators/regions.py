@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,3 +182,56 @@ def pushed_away(points: DataFrame, obstacles: DataFrame, clearance: float, round
         state = written(state.join(near, "id", "left").select("id", *move))
     left = pairs_within(state, obstacles.select(*AXES), clearance, square_distance("a", "b") < clearance * clearance).select(F.col("a.id").alias("id"), F.lit(True).alias("hit")).distinct()
     return state.join(left, "id", "left").select("id", *AXES, F.col("hit").isNull().alias("safe"))
+
+
+def inside_block(cells: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id1, id2, inside) of pairs: whether all border cells(region, kx, ky, kz) of id2 lie in the block(segment_id, cx, cy, cz,
+    alpha, a, b, c) of id1, borders included. A region without cells is inside any block."""
+    axes = [(F.cos("alpha"), F.sin("alpha"), F.lit(0.0)), (-F.sin("alpha"), F.cos("alpha"), F.lit(0.0)), (F.lit(0.0), F.lit(0.0), F.lit(1.0))]
+    own = pairs.join(blocks.withColumnRenamed("segment_id", "id1"), "id1").join(cells.select(F.col("region").alias("id2"), *KEYS), "id2")
+    d = [from_key(k) - F.col(c) for k, c in zip(KEYS, CENTRE, strict=True)]
+    fits = F.lit(True)
+    for axis, size in zip(axes, "abc", strict=True):
+        fits = fits & (F.abs(sum((x * a for x, a in zip(d, axis, strict=True)), F.lit(0.0))) <= F.col(size))
+    found = own.groupBy("id1", "id2").agg(F.bool_and(fits).alias("inside"))
+    return pairs.join(found, ["id1", "id2"], "left").select("id1", "id2", F.coalesce("inside", F.lit(True)).alias("inside"))
+
+
+def blocked_below(points: DataFrame, obstacles: DataFrame, radius: float, floor: float, angle: float) -> DataFrame:
+    """(id, blocked): whether, of the obstacles nearest to some place on the vertical below a point, one lies between floor and point.
+
+    Places are 2 radius sin(angle) apart, from the point down to above the floor; ties of nearness go to the least obstacle.
+    Each place is a point of a nearest-site join; a point at or below the floor is not blocked.
+    """
+    gap = 2 * radius * math.sin(angle)
+    depth = F.ceil((F.col("z") - floor) / gap).cast("int") - 1
+    places = points.where(F.col("z") > floor).select("id", F.col("z").alias("top"), "x", "y", F.explode(F.sequence(F.lit(0), depth)).alias("i"), "z")
+    places = written(places.withColumn("z", F.col("z") - F.col("i") * gap).select(F.struct("id", "i").alias("place"), "top", *AXES))
+    clear = nearest_site(places, obstacles, "place", 4 * radius)
+    reach = places.join(clear, "place").where(F.col("odist").isNotNull())
+    most = reach.agg(F.max("odist")).first()[0]
+    if most is None:
+        return points.select("id", F.lit(False).alias("blocked"))
+    near = pairs_within(reach, obstacles.select(*AXES), most + 1e-6, F.sqrt(square_distance("a", "b")) <= F.col("a.odist") + 1e-9)
+    one = near.select(F.col("a.place").alias("place"), F.col("a.top").alias("top"), F.struct(*(F.col(f"b.{c}").alias(c) for c in AXES)).alias("o")).groupBy("place", "top").agg(F.min("o").alias("o"))
+    hit = one.groupBy(F.col("place.id").alias("id")).agg(F.bool_or((F.col("o.z") > floor) & (F.col("o.z") < F.col("top"))).alias("b"))
+    return points.select("id").join(hit, "id", "left").select("id", F.coalesce("b", F.lit(False)).alias("blocked"))
+
+
+def unexplored(cells: DataFrame, voxels: DataFrame) -> DataFrame:
+    """(region, kx, ky, kz, o): the faces, numbered as in FACES, of regions' cells behind which nothing is known."""
+    near = cells.withColumn("f", offsets(FACES)).select("region", *KEYS, F.col("f.o").alias("o"), *((F.col(k) + F.col(f"f.d{c}")).cast("int").alias(f"n{k}") for k, c in zip(KEYS, AXES, strict=True)))
+    return near.join(voxels.select(*(F.col(k).alias(f"n{k}") for k in KEYS)), [f"n{k}" for k in KEYS], "left_anti").select("region", *KEYS, "o")
+
+
+def growth_positions(nodes: DataFrame, n: int = 2) -> DataFrame:
+    """(segment_id, id, dist, rank): of each segment the n members farthest from its centre, the places to grow on from; ties to the least id."""
+    mean = nodes.groupBy("segment_id").agg(*(F.avg(c).alias(f"c{c}") for c in AXES))
+    off = F.sqrt(sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in AXES), F.lit(0.0)))
+    far = nodes.join(mean, "segment_id").select("segment_id", "id", off.alias("dist"))
+    return top_by(far, ["segment_id"], [F.desc(F.round("dist", 9)), F.col("id")], n)
+
+
+def chosen(df: DataFrame, group: list[str], n: int, seed: int, key: str = "id") -> DataFrame:
+    """n rows of each group in an order drawn from the seed and the key, the same on every run; equal keys in any order."""
+    return top_by(df.withColumn("_draw", F.xxhash64(F.lit(seed), key)), group, ["_draw", key], n).drop("_draw", "rank")

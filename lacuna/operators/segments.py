@@ -33,29 +33,31 @@ def portals(edges: DataFrame) -> DataFrame:
     return edges.where("s1 <> s2 and s1 > 0 and s2 > 0").select(F.least("s1", "s2").alias("id1"), F.greatest("s1", "s2").alias("id2")).distinct()
 
 
-def block_fit(nodes: DataFrame) -> DataFrame:
-    """Yaw and half sizes of each segment's block: five rounds halve a search step around the yaw of least a * b."""
+def block_fit(nodes: DataFrame, margin: float = 0.5, with_radius: bool = True) -> DataFrame:
+    """Yaw and half sizes of each segment's block: five rounds halve a search step around the yaw of least a * b.
+
+    The yaws that the rounds can reach are known beforehand, so all their sizes come from one aggregation, and the rounds
+    choose among them. with_radius: radii count as parts of the members (False, with a margin of 0.8, for the variant without).
+    """
     mean = nodes.groupBy("segment_id").agg(*(F.avg(c).alias(f"c{c}") for c in AXES))
-    d = nodes.join(mean, "segment_id").select("segment_id", *((F.col(c) - F.col(f"c{c}")).alias(c) for c in AXES), "radius")
-
-    def sizes(df: DataFrame, alphas: dict[str, object]) -> DataFrame:
-        """Greatest absolute projections, radius added along the axis, for each named yaw column."""
-        out = []
-        for name, a in alphas.items():
-            out.append(F.max(F.abs(F.col("x") * F.cos(a) + F.col("y") * F.sin(a) + F.col("radius"))).alias(f"a_{name}"))
-            out.append(F.max(F.abs(-F.col("x") * F.sin(a) + F.col("y") * F.cos(a) + F.col("radius"))).alias(f"b_{name}"))
-        return df.groupBy("segment_id", "alpha").agg(*out)
-
-    state = d.select("segment_id").distinct().withColumn("alpha", F.lit(math.pi / 4))
-    step = math.pi / 8
-    for _ in range(5):
-        own = sizes(d.join(state, "segment_id"), {"low": F.col("alpha") - step, "high": F.col("alpha") + step})
-        go = F.when(F.col("a_low") * F.col("b_low") <= F.col("a_high") * F.col("b_high"), F.col("alpha") - step).otherwise(F.col("alpha") + step)
-        state = own.select("segment_id", go.alias("alpha"))
-        step /= 2
-    own = sizes(d.join(state, "segment_id"), {"fit": F.col("alpha")})
-    tall = d.groupBy("segment_id").agg(F.max(F.abs(F.col("z") + F.col("radius"))).alias("c"))
-    return own.join(tall, "segment_id").select("segment_id", "alpha", (F.col("a_fit") + 0.5).alias("a"), (F.col("b_fit") + 0.5).alias("b"), (F.col("c") + 0.5).alias("c"))
+    r = F.col("radius") if with_radius else F.lit(0.0)
+    d = nodes.join(mean, "segment_id").select("segment_id", *((F.col(c) - F.col(f"c{c}")).alias(c) for c in AXES), r.alias("r"))
+    sizes: dict[str, object] = {"c": F.max(F.abs(F.col("z") + F.col("r")))}
+
+    def search(alpha: float, step: float, rounds: int, name: str):
+        """The sizes at alpha and at all yaws that later rounds can reach go to `sizes`; gives the chosen (alpha, a, b)."""
+        own = F.struct(F.lit(alpha).alias("alpha"), F.col(f"a{name}").alias("a"), F.col(f"b{name}").alias("b"))
+        sizes[f"a{name}"] = F.max(F.abs(F.col("x") * F.cos(F.lit(alpha)) + F.col("y") * F.sin(F.lit(alpha)) + F.col("r")))
+        sizes[f"b{name}"] = F.max(F.abs(-F.col("x") * F.sin(F.lit(alpha)) + F.col("y") * F.cos(F.lit(alpha)) + F.col("r")))
+        if not rounds:
+            return own
+        low, high = search(alpha - step, step / 2, rounds - 1, name + "l"), search(alpha + step, step / 2, rounds - 1, name + "h")
+        return F.when(F.col(f"a{name}l") * F.col(f"b{name}l") <= F.col(f"a{name}h") * F.col(f"b{name}h"), low).otherwise(high)
+
+    chosen = search(math.pi / 4, math.pi / 8, 5, "_")
+    own = d.groupBy("segment_id").agg(*(x.alias(name) for name, x in sizes.items()))
+    own = own.select("segment_id", chosen.alias("fit"), "c")
+    return own.select("segment_id", "fit.alpha", (F.col("fit.a") + margin).alias("a"), (F.col("fit.b") + margin).alias("b"), (F.col("c") + margin).alias("c"))
 
 
 def merge_candidates(nodes: DataFrame, edges: DataFrame, config: MapConfig = DEFAULT, first_only: bool = False) -> DataFrame:
@@ -65,7 +67,8 @@ def merge_candidates(nodes: DataFrame, edges: DataFrame, config: MapConfig = DEF
     """
     pairs = portals(edges)
     one = nodes.select("segment_id", *AXES)
-    members = pairs.join(one, (F.col("segment_id") == F.col("id1")) | (F.col("segment_id") == F.col("id2")))
+    ends = pairs.select("id1", "id2", F.col("id1").alias("segment_id")).unionByName(pairs.select("id1", "id2", F.col("id2").alias("segment_id")))
+    members = ends.join(one, "segment_id")
     mean = members.groupBy("id1", "id2").agg(*(F.avg(c).alias(f"c{c}") for c in AXES))
     off = sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in AXES), F.lit(0.0))
     far = members.join(mean, ["id1", "id2"]).where(F.col("segment_id") == F.col("id1") if first_only else F.lit(True)).groupBy("id1", "id2").agg(F.sqrt(F.max(off)).alias("radius"))
@@ -122,7 +125,7 @@ def grow(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, radius: float | N
         nodes = written(nodes.join(taken, "id", "left").withColumn("segment_id", F.coalesce("to", "segment_id")).drop("to"))
 
 
-def segmentation(nodes: DataFrame, edges: DataFrame, config: MapConfig = DEFAULT, last: int = 0) -> DataFrame:
+def segmentation(nodes: DataFrame, edges: DataFrame, config: MapConfig = DEFAULT, last: int = 0, merge: bool = True) -> DataFrame:
     """Spread the known segments, then seed and grow new ones from what is left, then merge.
 
     Seeds are the nodes without a segment that have the greatest radius among such neighbours (then the least id); they take
@@ -138,7 +141,7 @@ def segmentation(nodes: DataFrame, edges: DataFrame, config: MapConfig = DEFAULT
         near = edges.select("src", "dst").join(free.withColumnsRenamed({"id": "src", "radius": "r1"}), "src").join(free.withColumnsRenamed({"id": "dst", "radius": "r2"}), "dst")
         lower = near.where(rank("dst", "r2") < rank("src", "r1")).select(F.col("src").alias("id")).distinct()
         seed = written(free.join(lower, "id", "left_anti").select("id"))
-        last = max(last, nodes.agg(F.max("segment_id")).first()[0])
+        last = max(last, nodes.agg(F.max("segment_id")).first()[0] or 0)
         from pyspark.sql import Window
 
         block = seed.withColumn("p", F.spark_partition_id())
@@ -148,4 +151,46 @@ def segmentation(nodes: DataFrame, edges: DataFrame, config: MapConfig = DEFAULT
         fresh = written(fresh)
         nodes = written(nodes.join(fresh, "id", "left").withColumn("segment_id", F.coalesce("to", "segment_id")).drop("to"))
         nodes = grow(nodes, edges, fresh.select(F.col("to").alias("segment_id")), config=config)
-    return merge_all(nodes, edges, config)
+    return merge_all(nodes, edges, config) if merge else nodes
+
+
+def radius_range(nodes: DataFrame) -> DataFrame:
+    """Least and greatest radius of each segment's members."""
+    return nodes.where("segment_id > 0").groupBy("segment_id").agg(F.min("radius").alias("least_radius"), F.max("radius").alias("greatest_radius"))
+
+
+def first_seen(changes: DataFrame) -> DataFrame:
+    """(segment_id, seq) of changes(segment_id, seq): every segment once, where it came first; order by seq for the list."""
+    return changes.groupBy("segment_id").agg(F.min("seq").alias("seq"))
+
+
+def remove(nodes: DataFrame, connection: DataFrame, portal: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, connections and portals without the segments of gone(segment_id): members become free, and what led there goes, on both sides.
+
+    Ids that no segment has change nothing.
+    """
+    gone = gone.select("segment_id").distinct()
+    named = lambda c: gone.withColumnRenamed("segment_id", c)
+    free = nodes.join(gone.withColumn("gone", F.lit(True)), "segment_id", "left").withColumn("segment_id", F.when(F.col("gone"), 0).otherwise(F.col("segment_id"))).select(nodes.columns)
+    left = connection.join(named("seg"), "seg", "left_anti").join(named("other"), "other", "left_anti").select(connection.columns)
+    return free, left, portal.join(named("id1"), "id1", "left_anti").join(named("id2"), "id2", "left_anti").select(portal.columns)
+
+
+def resegmented(nodes: DataFrame, edges: DataFrame, position: tuple[float, float, float], half: float, reset: bool = False, config: MapConfig = DEFAULT) -> DataFrame:
+    """Full segmentation of the free nodes in a box of half side 2 `half` around the position, segments up to 10 m (merge_radius).
+
+    reset: segments with a member in the box of half side `half` are dissolved first (the compatible mode, False, keeps them).
+    Seeds are the free nodes of greatest radius among such neighbours; nodes outside stay free. Nothing is merged.
+    """
+    from dataclasses import replace
+
+    near = lambda h: F.greatest(*(F.abs(F.col(c) - F.lit(float(p))) for c, p in zip(AXES, position, strict=True))) <= h
+    if reset:
+        gone = nodes.where(near(half) & (F.col("segment_id") > 0)).select("segment_id").distinct().withColumn("gone", F.lit(True))
+        nodes = nodes.join(gone, "segment_id", "left").withColumn("segment_id", F.when(F.col("gone"), 0).otherwise(F.col("segment_id"))).select(nodes.columns)
+    nodes = written(nodes)
+    last = nodes.agg(F.max("segment_id")).first()[0] or 0
+    work = written(nodes.where(near(2 * half) & (F.col("segment_id") <= 0)))
+    inner = edges.join(work.select(F.col("id").alias("src")), "src", "left_semi").join(work.select(F.col("id").alias("dst")), "dst", "left_semi")
+    done = segmentation(work, inner, replace(config, grow_radius=config.merge_radius), last, merge=False)
+    return nodes.join(work.select("id"), "id", "left_anti").select(nodes.columns).unionByName(done.select(nodes.columns))

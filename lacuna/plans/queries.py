@@ -12,8 +12,9 @@ from lacuna.operators import frontier as fr
 from lacuna.operators import graph, markers, messages, paths, regions, segments, tick, voxels
 from lacuna.operators.iterate import components, written
 from lacuna.operators.spatial import nearest_site, pairs_within, thin
+from lacuna.sources import maps
 from lacuna.sources.maps import Views, dense_box, occupied_points
-from lacuna.streaming import robots
+from lacuna.streaming import robots, service
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -207,9 +208,10 @@ def stored_paths(v: Views) -> DataFrame:
 
 
 def path_requests(v: Views) -> DataFrame:
-    own = v.obstacle.where("label = 0").select("id", *geo.AXES)
-    goal = own.select((F.col("id") - F.col("id") % 10).alias("g"), *(F.col(c).alias(f"g{c}") for c in geo.AXES), F.col("id").alias("goal"))
-    return own.where("id % 10 = 0").join(goal, F.col("id") == F.col("g")).select(F.col("id").alias("query_id"), F.col("goal").cast("int").alias("goal_id"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "gx", "gy", "gz")
+    """Two goals for every obstacle: 12 m along x, and 12 m against y."""
+    own = v.obstacle.select(F.col("id").alias("query_id"), *(F.col(c).alias(f"s{c}") for c in geo.AXES))
+    goals = F.explode(F.array(F.struct(F.lit(0).alias("goal_id"), F.lit(12.0).alias("dx"), F.lit(0.0).alias("dy")), F.struct(F.lit(1).alias("goal_id"), F.lit(0.0).alias("dx"), F.lit(-12.0).alias("dy")))).alias("g")
+    return own.select("*", goals).select("query_id", "g.goal_id", "sx", "sy", "sz", (F.col("sx") + F.col("g.dx")).alias("gx"), (F.col("sy") + F.col("g.dy")).alias("gy"), F.col("sz").alias("gz"))
 
 
 @query
@@ -252,12 +254,22 @@ def path_traversible(v: Views) -> DataFrame:
 
 @query
 def voxel_frontier(v: Views) -> DataFrame:
-    return voxels.frontier(v.corridor())
+    return voxels.frontier(v.vox)
 
 
 @query
 def voxel_coarse_unknown(v: Views) -> DataFrame:
-    return voxels.coarse_unknown(v.corridor())
+    return voxels.coarse_unknown(v.vox)
+
+
+@query
+def frontier_scan(v: Views) -> DataFrame:
+    return voxels.frontier_scan(v.vox)
+
+
+@query
+def obstacles_with_frontier(v: Views) -> DataFrame:
+    return rounded(voxels.with_frontier(v.obstacle, v.vox))
 
 
 @query
@@ -266,42 +278,57 @@ def voxel_key_roundtrip(v: Views) -> DataFrame:
     return rounded(k.select("id", "kx", "ky", "kz", "kx14", *(geo.from_key(f"k{c}").alias(f"c{c}") for c in geo.AXES), geo.from_key("kx", depth=14).alias("cx14")))
 
 
-def corridor_points(v: Views) -> DataFrame:
-    """A point in every third voxel of the corridor's middle."""
-    own = v.corridor().where("not occupied and (kx + ky + kz) % 3 = 0")
-    return own.select((F.col("kx") * 100 + F.col("ky") * 10 + F.col("kz")).cast("long").alias("id"), *(geo.from_key(k).alias(c) for k, c in zip(voxels.KEYS, geo.AXES, strict=True)))
-
-
 @query
 def point_safe(v: Views) -> DataFrame:
-    return voxels.point_safe(corridor_points(v), v.corridor(), 0.5)
+    return voxels.point_safe(v.safe, v.vox, 0.5)
 
 
 @query
 def dense_box_points(v: Views) -> DataFrame:
-    return rounded(dense_box(v.corridor(), (-2, 0, 0), (5, 9, 9)))
+    low, high = geo.KEY_OFFSET - 12, geo.KEY_OFFSET + 12
+    return rounded(dense_box(v.vox, (low, low, low), (high, high, high)))
 
 
 @query
 def occupied_voxel_points(v: Views) -> DataFrame:
-    return rounded(occupied_points(v.corridor()))
+    return rounded(occupied_points(v.vox))
 
 
 @query
 def ray_first_hit(v: Views) -> DataFrame:
-    """Rays along x and y from points of the corridor: into the open end, and into the wall."""
-    p = corridor_points(v)
-    along = p.select(F.struct("id", F.lit("x").alias("axis")).alias("ray"), *(F.col(c).alias(f"o{c}") for c in geo.AXES), (F.col("x") + 20).alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
-    across = p.select(F.struct("id", F.lit("y").alias("axis")).alias("ray"), *(F.col(c).alias(f"o{c}") for c in geo.AXES), F.col("x").alias("tx"), (F.col("y") + 20).alias("ty"), F.col("z").alias("tz"))
-    hit = voxels.cast_rays(along.union(across), v.corridor())
-    return hit.select(F.col("ray.id").alias("id"), F.col("ray.axis").alias("axis"), F.col("step").cast("long").alias("step"), "kind", F.col("last_free").cast("long").alias("last_free"))
+    """Rays of 4 m along x and y from every safe sphere."""
+    one = lambda axis: v.safe.select(F.struct("id", F.lit(axis).alias("axis")).alias("ray"), *(F.col(c).alias(f"o{c}") for c in geo.AXES), *((F.col(c) + (4.0 if c == axis else 0.0)).alias(f"t{c}") for c in geo.AXES))
+    hit = voxels.ray_hits(one("x").union(one("y")), v.vox)
+    return hit.select(F.col("ray.id").alias("id"), F.col("ray.axis").alias("axis"), F.col("step").cast("long").alias("step"), "kind", F.col("last_free").cast("long").alias("last_free"), *voxels.KEYS)
 
 
 @query
 def mutual_visibility(v: Views) -> DataFrame:
-    p = corridor_points(v)
-    pairs = p.select(F.col("id").alias("ray"), *(F.col(c).alias(f"o{c}") for c in geo.AXES), geo.from_key(F.lit(10)).alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
-    return voxels.mutually_visible(pairs, v.corridor()).select(F.col("ray").alias("id"), "visible")
+    """Along every edge of the sphere graph."""
+    named = lambda n, p: v.safe.select(F.col("id").alias(n), *(F.col(c).alias(f"{p}{c}") for c in geo.AXES))
+    pairs = edges_of(v).where("src < dst").select("src", "dst").join(named("src", "o"), "src").join(named("dst", "t"), "dst")
+    seen = voxels.mutually_visible(pairs.withColumn("ray", F.struct("src", "dst")), v.vox)
+    return seen.select("ray.src", "ray.dst", "visible")
+
+
+def directions_of(v: Views) -> DataFrame:
+    return geo.fibonacci_directions(v.spark, 24)
+
+
+@query
+def exploration_value(v: Views) -> DataFrame:
+    """Frontier data of every safe sphere; the world is known to 0.6 m around them."""
+    return rounded(voxels.exploration_value(v.safe, v.vox, directions_of(v), 2.0))
+
+
+@query
+def exploration_percent(v: Views) -> DataFrame:
+    return rounded(voxels.exploration_percent(v.safe, v.vox, directions_of(v), 0.5))
+
+
+@query
+def frontier_spheres(v: Views) -> DataFrame:
+    return voxels.flag_frontier(v.safe, v.vox, directions_of(v), 0.5).select("id", "is_frontier")
 
 
 def sent_segments(v: Views) -> tuple[DataFrame, DataFrame]:
@@ -319,8 +346,21 @@ def fragment_pack(v: Views) -> DataFrame:
 def fragment_decode(v: Views) -> DataFrame:
     segs, ports = sent_segments(v)
     frags = messages.fragments(messages.pack(segs, ports), 0, 1)
-    own, _ = messages.decode(written(frags))
-    return rounded(own.select(F.col("idx").cast("long").alias("idx"), "cx", "cy", "cz", "alpha", "a", "b", "c", "radius"))
+    own, _ = messages.decode(written(frags.unionByName(frags.withColumn("robot", F.lit(1)))))
+    return rounded(own.select("robot", F.col("idx").cast("long").alias("idx"), "cx", "cy", "cz", "alpha", "a", "b", "c", "radius"))
+
+
+@query
+def fragment_decode_portals(v: Views) -> DataFrame:
+    segs, ports = sent_segments(v)
+    frags = messages.fragments(messages.pack(segs, ports), 0, 1)
+    _, own = messages.decode(written(frags))
+    return rounded(own.select(F.col("id1").cast("long").alias("id1"), F.col("id2").cast("long").alias("id2"), "x", "y", "z"))
+
+
+@query
+def message_counters(v: Views) -> DataFrame:
+    return service.message_counters(v.frag)
 
 
 @query
@@ -343,14 +383,14 @@ def exploredness(v: Views) -> DataFrame:
 
 @query
 def visited_dwell(v: Views) -> DataFrame:
-    return rounded(robots.visited_batch(v.traj))
+    return rounded(robots.visited_batch(v.traj).select("robot", "node", "x", "y", "z", "dwell_s"))
 
 
 @query
 def visitation_value(v: Views) -> DataFrame:
-    points = v.traj.where("event_id % 20 = 0").select(F.col("event_id").alias("id"), (F.col("x") + 0.05).alias("x"), "y", "z")
-    sites = v.traj.where("event_id % 3 = 0").select("x", "y", "z")
-    return rounded(robots.visitation_value(points, sites))
+    """Every position, moved a little, against all positions."""
+    points = v.traj.select(F.col("event_id").alias("id"), (F.col("x") + 0.05).alias("x"), "y", "z")
+    return rounded(robots.visitation_value(points, v.traj.select("x", "y", "z")))
 
 
 @query
@@ -423,8 +463,8 @@ def sphere_pairs_in_reach(v: Views) -> DataFrame:
 
 
 def cells_of(v: Views) -> DataFrame:
-    """Three regions along the corridor."""
-    return v.corridor().where("not occupied").select(F.floor(F.col("kx") / 10).cast("int").alias("region"), *voxels.KEYS)
+    """The free voxels around the spheres, by the least segment."""
+    return v.cells.select("region", *voxels.KEYS)
 
 
 @query
@@ -439,8 +479,136 @@ def region_borders(v: Views) -> DataFrame:
 
 @query
 def region_best_portal(v: Views) -> DataFrame:
-    """The portal's clearance; several places share it, so the place is left to the tests."""
-    return rounded(regions.best_portals(cells_of(v), occupied_points(v.corridor()), 0.3).select("id1", "id2", "odist"))
+    return rounded(regions.best_portals(cells_of(v), occupied_points(v.vox), 0.3))
+
+
+@query
+def region_unexplored(v: Views) -> DataFrame:
+    return regions.unexplored(cells_of(v), v.vox)
+
+
+@query
+def region_joined_borders(v: Views) -> DataFrame:
+    """Segments 2 and 3, and 4 and 5, as one region each."""
+    pairs = v.spark.sql("SELECT * FROM VALUES (2, 3), (4, 5) AS t(id1, id2)")
+    return regions.joined_borders(cells_of(v), pairs)
+
+
+@query
+def region_new_connections(v: Views) -> DataFrame:
+    """Adjacent regions that no edge of the sphere graph connects."""
+    return regions.new_connections(cells_of(v), segments.portals(edges_of(v)))
+
+
+@query
+def nearest_region(v: Views) -> DataFrame:
+    centres = segments.centroids(v.safe).select(F.col("segment_id").alias("region"), *(F.col(f"c{c}").alias(c) for c in geo.AXES))
+    own = v.keys(v.obstacle)
+    return regions.nearest_region(own, cells_of(v), centres, 30.0)
+
+
+@query
+def segment_inside_block(v: Views) -> DataFrame:
+    blocks, ports = sent_segments(v)
+    both = ports.unionByName(ports.select(F.col("id2").alias("id1"), F.col("id1").alias("id2")))
+    return regions.inside_block(cells_of(v), blocks, both)
+
+
+@query
+def growth_positions(v: Views) -> DataFrame:
+    return rounded(regions.growth_positions(v.safe).withColumn("rank", F.col("rank").cast("long")))
+
+
+@query
+def segment_radius_range(v: Views) -> DataFrame:
+    return rounded(segments.radius_range(v.safe))
+
+
+@query
+def segments_first_seen(v: Views) -> DataFrame:
+    """The order in which the bands of the tracks are first entered."""
+    return segments.first_seen(v.traj.select(F.floor(F.col("y") / 4).cast("int").alias("segment_id"), F.col("event_id").alias("seq")))
+
+
+@query
+def segment_removed(v: Views) -> DataFrame:
+    """The map's connections without segments 2 and 5."""
+    edges = written(edges_of(v))
+    _, left, _ = segments.remove(v.safe, segments.connections(edges), segments.portals(edges), v.spark.sql("SELECT * FROM VALUES (2), (5) AS t(segment_id)"))
+    return rounded(left)
+
+
+@query
+def wrong_keys(v: Views) -> DataFrame:
+    """Keys of the next voxel along x: all are wrong."""
+    return graph.wrong_keys(tick.as_spheres(v.safe).withColumn("key", F.col("key") + F.lit(1 << 32)))
+
+
+@query
+def most_probable_block(v: Views) -> DataFrame:
+    blocks, _ = sent_segments(v)
+    return rounded(messages.most_probable(v.obstacle.select("id", *geo.AXES), blocks))
+
+
+@query
+def blocked_below(v: Views) -> DataFrame:
+    """Columns of 4 m under the probes, in places 1 m apart."""
+    import math
+
+    asks = probes(v).withColumnRenamed("pid", "id")
+    return regions.blocked_below(asks.where("z > -20"), v.obstacle, 1.0, -20.0, math.pi / 6)
+
+
+@query
+def frontier_groups(v: Views) -> DataFrame:
+    return rounded(fr.groups_of(v.pt, 4.0))
+
+
+@query
+def frontier_cluster_sizes(v: Views) -> DataFrame:
+    own = v.pt.select("id", *geo.AXES, (1 + F.col("id") % 7).alias("weight"))
+    return fr.cluster_sizes(fr.dbscan(own, 6.0, 40).join(own.select("id", "weight"), "id"))
+
+
+@query
+def exploration_points(v: Views) -> DataFrame:
+    groups = v.safe.select("id", F.col("segment_id").alias("cluster"), *geo.AXES)
+    offsets = geo.cylinder_samples(v.spark, 6, 0.2, 0.3, 3, 1)
+    return rounded(fr.exploration_points(groups, offsets, v.obstacle, v.vox, directions_of(v), 2.0).select("cluster", "id", *geo.AXES, "unknown_share"))
+
+
+@query
+def latest_odometry(v: Views) -> DataFrame:
+    own = v.traj.select("robot", "ts", F.lit("map").alias("frame"), "x", "y", "z")
+    return rounded(maps.latest_odometry(own.groupBy("robot", "ts", "frame").agg(*(F.max(c).alias(c) for c in geo.AXES))))
+
+
+@query
+def transformed_points(v: Views) -> DataFrame:
+    """Obstacles in a frame turned by a right angle about z and moved; and back."""
+    frames = v.spark.sql("SELECT 'map' target, 'turned' source, array(0D, -1D, 0D, 1D, 0D, 0D, 0D, 0D, 1D) r, array(1D, 2D, 3D) t")
+    return rounded(geo.to_frame(v.obstacle.select(F.when(F.col("label") == 0, "turned").otherwise("map").alias("frame"), "id", *geo.AXES), frames, "map"))
+
+
+@query
+def ellipsoid_members(v: Views) -> DataFrame:
+    axes = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
+    return v.sphere.select("id", geo.ellipsoid_inside(geo.AXES, (1.0, 2.0, 0.0), axes, (10.0, 12.0, 8.0)).alias("inside"))
+
+
+@query
+def ball_points(v: Views) -> DataFrame:
+    return rounded(geo.ball_points(v.spark, 50, 2.0, 1.0))
+
+
+@query
+def camera_ends(v: Views) -> DataFrame:
+    return rounded(geo.camera_ends(v.spark, 50, (10.0, 4.0, 3.0)))
+
+
+@query
+def fragment_drip(v: Views) -> DataFrame:
+    return robots.drip(v.frag.select("event_id", "robot", "message_index", "fragment_index").withColumn("fragment_index", F.col("event_id"))).select("event_id", "robot", F.round("at_s", 4).alias("at_s"))
 
 
 @query
@@ -485,6 +653,6 @@ def segment_covariance(v: Views) -> DataFrame:
 
 @query
 def map_tick(v: Views) -> DataFrame:
-    """One update around the origin, without voxels: sizes of the segments it leaves."""
-    state = tick.tick(tick.as_spheres(v.sphere), v.obstacle, (0.0, 0.0, 0.0), geo.fibonacci_directions(v.spark, 4), reach=2.0)
+    """One whole update around the origin: 50 rays to the border of the box, leaf samples, pinning, segments."""
+    state = tick.tick(tick.as_spheres(v.sphere), v.obstacle, (0.0, 0.0, 0.0), geo.fibonacci_directions(v.spark, 50), v.leaves)
     return rounded(state.spheres.groupBy("segment_id").agg(F.count("*").alias("n_nodes"), F.min("radius").alias("least_radius")))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.config import DEFAULT, MapConfig
-from lacuna.functions.geometry import AXES, from_key
+from lacuna.functions.geometry import AXES, from_key, inside_key_box, to_key
+from lacuna.operators.iterate import written
 from lacuna.operators.spatial import nearest_site
 
 ODOMETRY = "robot INT, ts TIMESTAMP, frame STRING, x DOUBLE, y DOUBLE, z DOUBLE"
@@ -26,6 +27,24 @@ def read_points(spark: SparkSession, path: str, kind: str = "parquet") -> DataFr
     return lines.select(*(parts[i].cast("double").alias(c) for i, c in enumerate(AXES)))
 
 
+def replay(spark: SparkSession, path: str, schema, files_a_trigger: int = 1) -> DataFrame:
+    """A recording (a folder of Parquet files) as a stream, some files a trigger, in order of their times."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+
+
+def other_maps(maps: DataFrame, robot: int) -> DataFrame:
+    """Received maps without the own one; rows of unknown robots stay."""
+    return maps.where(~F.col("robot").eqNullSafe(F.lit(robot)))
+
+
+def decoded(voxels: DataFrame, position: tuple[float, float, float], config: MapConfig = DEFAULT, resolution: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(voxels, obstacle points) of the newest snapshot inside the work box, whose size follows the map's resolution."""
+    resolution = config.resolution if resolution is None else resolution
+    half = config.box_half(resolution)
+    near = newest_snapshot(voxels).where(inside_key_box(position, half, resolution))
+    return near, occupied_points(near, resolution=resolution)
+
+
 def newest_snapshot(voxels: DataFrame) -> DataFrame:
     """The voxels of the newest version."""
     last = voxels.agg(F.max("version").alias("version"))
@@ -62,6 +81,8 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str, config: MapConfig = DEFAULT):
         self.spark, self.dir, self.config = spark, sf_dir, config
+        self._safe: DataFrame | None = None
+        self._vox: DataFrame | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -82,7 +103,10 @@ class Views:
 
     @property
     def safe(self) -> DataFrame:
-        return self.sphere.where(F.col("radius") >= self.config.min_safe)
+        """Written once: a distance join lies behind it, and edges read it twice."""
+        if self._safe is None:
+            self._safe = written(self.sphere.where(F.col("radius") >= self.config.min_safe))
+        return self._safe
 
     @property
     def traj(self) -> DataFrame:
@@ -98,8 +122,33 @@ class Views:
         late = F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)
         return own.select("event_id", "robot", "ts", "rn", F.greatest(F.floor(F.col("rn") / 6.0) - late, F.lit(0)).cast("long").alias("message_index"), (F.col("event_id") % 4).cast("int").alias("fragment_index"), F.lit(4).alias("num_total"))
 
-    def corridor(self) -> DataFrame:
-        """A world of free voxels in a tube of occupied ones."""
-        edge = F.col("ky").isin(0, 9) | F.col("kz").isin(0, 9)
-        grid = self.spark.range(3000).select((F.col("id") % 30).cast("int").alias("kx"), (F.floor(F.col("id") / 30) % 10).cast("int").alias("ky"), F.floor(F.col("id") / 300).cast("int").alias("kz"))
-        return grid.select(F.lit(1).cast("long").alias("version"), "kx", "ky", "kz", F.lit(16).alias("depth"), edge.alias("occupied"))
+    def keys(self, df: DataFrame) -> DataFrame:
+        return df.select("*", *(to_key(c).cast("int").alias(f"k{c}") for c in AXES))
+
+    @property
+    def cells(self) -> DataFrame:
+        """(kx, ky, kz, region): the voxels at most three keys from a safe sphere's centre in every axis, not occupied; region is the least segment."""
+        grid = self.keys(self.safe)
+        for k in ("kx", "ky", "kz"):
+            grid = grid.withColumn(k, F.explode(F.sequence(F.col(k) - 3, F.col(k) + 3)))
+        near = grid.groupBy("kx", "ky", "kz").agg(F.min("segment_id").alias("region"))
+        return near.join(self.keys(self.obstacle).select("kx", "ky", "kz"), ["kx", "ky", "kz"], "left_anti")
+
+    @property
+    def vox(self) -> DataFrame:
+        """Obstacles' voxels are occupied, cells are free, all else is unknown."""
+        if self._vox is None:
+            taken = self.keys(self.obstacle).select("kx", "ky", "kz", F.lit(True).alias("occupied")).distinct()
+            both = taken.unionByName(self.cells.select("kx", "ky", "kz", F.lit(False).alias("occupied")))
+            self._vox = written(both.select(F.lit(1).cast("long").alias("version"), "kx", "ky", "kz", F.lit(16).alias("depth"), "occupied"))
+        return self._vox
+
+    @property
+    def leaves(self) -> DataFrame:
+        """vox, and around its spheres free leaves of depth 14 wherever nothing of vox lies."""
+        grid = self.keys(self.safe)
+        for k in ("kx", "ky", "kz"):
+            grid = grid.withColumn(k, F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda o: (F.col(k) - F.pmod(F.col(k), F.lit(4)) + 4 * o).cast("int"))))  # noqa: B023
+        low = [(F.col(k) - F.pmod(F.col(k), F.lit(4))).cast("int").alias(k) for k in ("kx", "ky", "kz")]
+        free = grid.select("kx", "ky", "kz").distinct().join(self.vox.select(*low).distinct(), ["kx", "ky", "kz"], "left_anti")
+        return self.vox.unionByName(free.select(F.lit(1).cast("long").alias("version"), "kx", "ky", "kz", F.lit(14).alias("depth"), F.lit(False).alias("occupied")))

@@ -12,50 +12,75 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Fixed rules of visited positions: clearance to begin, reach of a dwell, least gap of a new node.
 CLEARANCE, DWELL, GAP = 0.2, 0.2, 0.5
-VISITED = "robot int, node int, x double, y double, z double, dwell_s double"
-
-
-def visit(nodes: list, last: float | None, rows: pd.DataFrame) -> tuple[list, float | None]:
-    """Nodes [x, y, z, dwell seconds] after more positions of a robot in order of time: the time since the last position is
-    added to the nodes within DWELL; a node is added if none is within GAP."""
-    for ts, x, y, z in zip(rows.ts, rows.x, rows.y, rows.z, strict=True):
-        t = pd.Timestamp(ts).timestamp()
-        near = [(math.dist((x, y, z), n[:3]), n) for n in nodes]
-        if last is not None:
-            for d, n in near:
-                if d <= DWELL:
-                    n[3] += t - last
-        if not near or min(d for d, _ in near) > GAP:
-            nodes.append([x, y, z, 0.0])
-        last = t
-    return nodes, last
-
-
-def _rows(robot: int, nodes: list) -> pd.DataFrame:
-    return pd.DataFrame([(robot, i, *n) for i, n in enumerate(nodes)], columns=[c.split()[0] for c in VISITED.split(", ")])
+VISITED = "robot int, node int, x double, y double, z double, dwell_s double, odist double, links array<int>"
+
+
+class Track:
+    """Visited nodes [x, y, z, dwell seconds, clearance] of one robot and their links, found by cells of GAP."""
+
+    def __init__(self, flat: list = (), links: list = (), last: float | None = None):
+        self.nodes = [list(flat[i : i + 5]) for i in range(0, len(flat), 5)]
+        self.links, self.last, self.cells = [list(x) for x in links], last, {}
+        for i, n in enumerate(self.nodes):
+            self.cells.setdefault(self.cell(n), []).append(i)
+
+    @staticmethod
+    def cell(p: list) -> tuple[int, int, int]:
+        return tuple(math.floor(c / GAP) for c in p[:3])
+
+    def around(self, p: tuple) -> list[tuple[float, int]]:
+        """Nodes in the cells around p, which hold all within GAP, with their distances."""
+        a, b, c = self.cell(p)
+        near = (i for x in (a - 1, a, a + 1) for y in (b - 1, b, b + 1) for z in (c - 1, c, c + 1) for i in self.cells.get((x, y, z), ()))
+        return sorted((math.dist(p, self.nodes[i][:3]), i) for i in near)
+
+    def take(self, rows: pd.DataFrame, reserve: float = 0.2) -> None:
+        """More positions in order of time. The time since the last position goes to the nodes within DWELL. A node is added if
+        none is within GAP; the first needs a clearance over CLEARANCE. It is linked to all nodes around whose free spheres
+        overlap its own by the reserve, else to the one before it. Without clearances (odist) all are taken as free."""
+        clear = rows.odist if "odist" in rows else [math.inf] * len(rows)
+        for ts, x, y, z, odist in zip(rows.ts, rows.x, rows.y, rows.z, clear, strict=True):
+            t, p = pd.Timestamp(ts).timestamp(), (x, y, z)
+            near = self.around(p)
+            if self.last is not None:
+                for d, i in near:
+                    if d <= DWELL:
+                        self.nodes[i][3] += t - self.last
+            if (self.nodes or odist > CLEARANCE) and not (near and near[0][0] <= GAP):
+                links = [i for d, i in near if math.isfinite(odist) and d < odist + self.nodes[i][4] - reserve]
+                self.links.append(links or ([len(self.nodes) - 1] if self.nodes else []))
+                self.cells.setdefault(self.cell(p), []).append(len(self.nodes))
+                self.nodes.append([x, y, z, 0.0, odist])
+            self.last = t
+
+    def rows(self, robot: int) -> pd.DataFrame:
+        own = [(robot, i, *n, k) for i, (n, k) in enumerate(zip(self.nodes, self.links, strict=True))]
+        return pd.DataFrame(own, columns=[c.split()[0] for c in VISITED.split(", ")])
 
 
 def visited_batch(positions: DataFrame) -> DataFrame:
-    """Visited nodes of each robot's positions (robot, ts, event_id, x, y, z): a robot's track is one ordered group."""
+    """Visited nodes of each robot's positions (robot, ts, event_id, x, y, z, and odist if known): a robot's track is one ordered
+    group, as every step depends on the ones before; its rows have six numbers each."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _rows(int(rows.robot.iloc[0]), visit([], None, rows.sort_values(["ts", "event_id"]))[0])
+        track = Track()
+        track.take(rows.sort_values(["ts", "event_id"]))
+        return track.rows(int(rows.robot.iloc[0]))
 
-    return positions.groupBy("robot").applyInPandas(run, VISITED)
+    columns = ["robot", "ts", "event_id", "x", "y", "z"] + ["odist"] * ("odist" in positions.columns)
+    return positions.select(*columns).groupBy("robot").applyInPandas(run, VISITED)
 
 
 def visited_stream(positions: DataFrame) -> DataFrame:
     """The same on a stream; every trigger emits the robot's nodes so far. Late positions are taken as they come."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flat, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        nodes = [flat[i : i + 4] for i in range(0, len(flat), 4)]
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        nodes, last = visit(nodes, last, rows)
-        state.update(([x for n in nodes for x in n], last))
-        yield _rows(int(key[0]), nodes)
+        track = Track(*state.get) if state.exists else Track()
+        track.take(pd.concat(list(batches)).sort_values(["ts", "event_id"]))
+        state.update(([float(x) for n in track.nodes for x in n], track.links, track.last))
+        yield track.rows(int(key[0]))
 
-    return positions.groupBy("robot").applyInPandasWithState(run, VISITED, "nodes array<double>, last double", "update", GroupStateTimeout.NoTimeout)
+    return positions.groupBy("robot").applyInPandasWithState(run, VISITED, "nodes array<double>, links array<array<int>>, last double", "update", GroupStateTimeout.NoTimeout)
 
 
 def visitation_value(points: DataFrame, visited: DataFrame, block: float = 0.2, decay: float = 0.4) -> DataFrame:
@@ -105,17 +130,36 @@ def drip(fragments: DataFrame, rate_hz: float = 10.0) -> DataFrame:
     return fragments.withColumn("at_s", n / rate_hz)
 
 
+def newest_version(spark, path: str) -> int | None:
+    """The version that the snapshot table at path holds, by the names of its folders; None before the first."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    own = [int(n.removeprefix("version=")) for n in names if n.startswith("version=") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return max(own, default=None)
+
+
 def keep_newest(spark, stream: DataFrame, path: str):
-    """Snapshot sink: of each micro-batch the newest version is kept, if it is newer than the table's."""
+    """Snapshot sink: of each micro-batch the newest version is kept, if it is newer than the table's.
+
+    Each version is a folder; a replayed micro-batch writes the same one again or nothing. read_newest() gives the last.
+    """
 
     def take(batch: DataFrame, _epoch: int) -> None:
-        newest = batch.agg(F.max("version")).first()[0]
-        if newest is not None:
-            batch.where(F.col("version") == newest).write.mode("overwrite").partitionBy("version").parquet(f"{path}/{newest}")
+        newest, held = batch.agg(F.max("version")).first()[0], newest_version(spark, path)
+        if newest is not None and (held is None or newest > held):
+            batch.where(F.col("version") == newest).write.mode("overwrite").parquet(f"{path}/version={newest}")
 
     return stream.writeStream.foreachBatch(take)
 
 
+def read_newest(spark, path: str, schema) -> DataFrame:
+    """The snapshot of the newest version at path; empty before the first."""
+    held = newest_version(spark, path)
+    return spark.createDataFrame([], schema) if held is None else spark.read.schema(schema).parquet(f"{path}/version={held}")
+
+
 def crossings(track: DataFrame) -> DataFrame:
     """Segment changes along tracks (robot, ts, event_id, segment_id): (id1, id2) with the number of crossings."""
     before = F.lag("segment_id").over(Window.partitionBy("robot").orderBy("ts", "event_id"))

@@ -11,7 +11,7 @@ from lacuna.config import DEFAULT
 from lacuna.functions import geometry as geo
 from lacuna.operators import graph, messages, paths, segments
 from lacuna.operators.spatial import nearest_site, thin
-from lacuna.streaming.robots import collect_fragments, visit, visitation_value, visited_batch, visited_stream
+from lacuna.streaming.robots import Track, collect_fragments, visitation_value, visited_batch, visited_stream
 
 CHAIN = [(1, 0.0, 0.0, 0.0, 1.0), (2, 1.5, 0.0, 0.0, 1.0), (3, 2.6, 0.0, 0.0, 0.85), (4, 3.5, 0.0, 0.0, 1.0), (5, 0.0, 0.0, 5.0, 0.9)]
 
@@ -61,7 +61,9 @@ def test_visitation(spark):
     points = spark.createDataFrame([(i, d, 0.0, 0.0) for i, d in enumerate((0.1, 0.3, 0.5))], "id long, x double, y double, z double")
     visited = spark.createDataFrame([(0.0, 0.0, 0.0)], "x double, y double, z double")
     assert [round(r.value, 6) for r in visitation_value(points, visited).orderBy("id").collect()] == [2.0, 0.25, 0.0]
-    assert visit([], None, pd.DataFrame(columns=["ts", "x", "y", "z"])) == ([], None)
+    track = Track()
+    track.take(pd.DataFrame(columns=["ts", "x", "y", "z"]))
+    assert (track.nodes, track.last) == ([], None)
 
 
 def test_thinning_is_the_greedy_one(spark):
