@@ -1,4 +1,8 @@
-"""Frontier groups: weighted density clustering, the best of each direction, values spread over segments."""
+"""Frontier groups: weighted density clustering, the best of each direction, values spread over segments.
+
+Groups with null coordinates are near nothing, not even themselves; null weights count 0 in sums. Ids are unique. Ties go to
+the least ids. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

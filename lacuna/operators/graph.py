@@ -1,4 +1,8 @@
-"""The sphere graph: edges, integrity, redundancy, connectivity and nearest nodes."""
+"""The sphere graph: edges, integrity, redundancy, connectivity and nearest nodes.
+
+Rows with null coordinates or radii overlap nothing and are near nothing. Node ids are unique in a map; of repeated nodes the
+edges repeat. Columns beside those named are kept where whole rows come out and not read elsewhere. Empty tables give none.
+"""
 
 from __future__ import annotations
 

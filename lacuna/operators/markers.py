@@ -1,4 +1,7 @@
-"""Marker tables for viewers: (ns, id, type, points, r, g, b, a, scale, lifetime_s)."""
+"""Marker tables for viewers: (ns, id, type, points, r, g, b, a, scale, lifetime_s).
+
+A row gives a marker, repeated rows too; null coordinates and colours stay null. Other columns are not read.
+"""
 
 from __future__ import annotations
 

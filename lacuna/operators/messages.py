@@ -1,4 +1,8 @@
-"""Lightweight map messages: quantised segments and portals in fragments of bounded size, and back."""
+"""Lightweight map messages: quantised segments and portals in fragments of bounded size, and back.
+
+Segments are unique by id; null angles and sizes give null codes. A map without segments has no fragments. Other columns
+are not read. Numbering a map's segments is one task's work: 2^16 at most by the index type.
+"""
 
 from __future__ import annotations
 

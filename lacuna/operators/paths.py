@@ -1,4 +1,8 @@
-"""Safety-aware paths: searches inside segments, stored paths between portals, the portal search, stitching and metrics."""
+"""Safety-aware paths: searches inside segments, stored paths between portals, the portal search, stitching and metrics.
+
+Nodes have unique ids; edges to ids without a node lead nowhere. Points of a path are ordered by seq, which is unique in it;
+null clearances make a path's sums null. Equal costs go to the path of least ids in rounds, and to the first found in a search.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Segments: centroids, connections, portals, blocks, growing and merging."""
+"""Segments: centroids, connections, portals, blocks, growing and merging.
+
+A segment of 0 or null is none: it has no connections or portals. Null coordinates count in no mean. Ties go to the least
+ids as each function says. Repeated nodes count each in sizes and means. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

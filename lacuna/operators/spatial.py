@@ -1,4 +1,8 @@
-"""Distance joins on an integer grid: an equi-join of cells in place of a nested loop."""
+"""Distance joins on an integer grid: an equi-join of cells in place of a nested loop.
+
+Rows with null or non-finite coordinates meet nothing. Repeated rows meet each. Input columns keep their names whatever
+they are; those of the grid take free names. Empty sides give empty joins.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Voxel operators: frontiers, point safety, rays and visibility. Unknown voxels have no row."""
+"""Voxel operators: frontiers, point safety, rays and visibility. Unknown voxels have no row.
+
+Voxels are unique by key and depth; null keys are none, a null state counts as occupied. Points and rays with null
+coordinates give no row. Frontiers and point safety read leaves of the finest depth; rays look pruned leaves up too.
+"""
 
 from __future__ import annotations
 

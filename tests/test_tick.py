@@ -21,9 +21,9 @@ def room(spark):
 def test_ticks_fill_a_room(spark, room):
     obstacles = occupied_points(room)
     start = as_spheres(spark.createDataFrame([(1.5, 1.9, 1.3, 1.0)], "x double, y double, z double, radius double"))
-    directions = geo.fibonacci_directions(spark, 8)
+    directions = geo.fibonacci_directions(spark, 50)  # rays start at the vehicle, which flies on between the ticks
     state = tick(start, obstacles, (1.5, 1.9, 1.3), directions, room)
-    state = tick(state.spheres, obstacles, (1.5, 1.9, 1.3), directions, room)
+    state = tick(state.spheres, obstacles, (3.7, 1.9, 1.3), directions, room)
     assert state.spheres.dtypes == spark.createDataFrame([], SPHERES).dtypes
     own = state.spheres.collect()
     walls = [(r.x, r.y, r.z) for r in obstacles.collect()]
