@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -41,17 +42,26 @@ class Graph:
         risk = config.safety_bias + config.safety_weight * node_unsafety(r, config) if r < config.full_safe else 0.0
         return math.dist(self.at[a], self.at[b]) + risk
 
-    def search(self, start: int, goal: int, config: MapConfig, exact: bool = True) -> list[int] | None:
-        """Nodes of a least-cost path. exact=False closes a node when it is first reached and ends when the goal is, as the
+    def search(self, start: int, goal: int, config: MapConfig, exact: bool = True, heuristic: Callable[[int], float] | None = None, is_goal: Callable[[int], bool] | None = None) -> list[int] | None:
+        """Nodes of a least-cost path to the goal, or to the first node that is_goal accepts (a node of some segment, say).
+
+        heuristic: least cost that is left from a node, by default the straight distance to the goal; it must not be too high.
+        exact=False closes a node when it is first reached and ends when the goal is, as the
         compatible mode does, so its path need not be the cheapest; neighbours are taken in order of key."""
         if start not in self.at or goal not in self.at:
             return None
-        if start == goal:
-            return [start, goal]
-        queue, cost, parent, done = [(math.dist(self.at[start], self.at[goal]), 0.0, start)], {start: 0.0}, {start: None}, set()
+        if is_goal is not None and heuristic is None:
+            heuristic = lambda _: 0.0
+        rest = heuristic or (lambda n: math.dist(self.at[n], self.at[goal]))
+        reached = is_goal or (lambda n: n == goal)
+        if reached(start):
+            return [start, start]
+        queue, cost, parent, done = [(rest(start), 0.0, start)], {start: 0.0}, {start: None}, set()
+        end = None
         while queue:
             _, g, node = heapq.heappop(queue)
-            if exact and node == goal:
+            if exact and reached(node):
+                end = node
                 break
             if node in done:
                 continue
@@ -61,13 +71,13 @@ class Graph:
                 if n in cost and (not exact or cost[n] <= new):
                     continue
                 cost[n], parent[n] = new, node
-                if not exact and n == goal:
-                    queue = []
+                if not exact and reached(n):
+                    queue, end = [], n
                     break
-                heapq.heappush(queue, (new + math.dist(self.at[n], self.at[goal]), new, n))
-        if goal not in parent:
+                heapq.heappush(queue, (new + rest(n), new, n))
+        if end is None:
             return None
-        out = [goal]
+        out = [end]
         while parent[out[-1]] is not None:
             out.append(parent[out[-1]])
         return out[::-1]

@@ -185,6 +185,7 @@ ORACLE = {
     "narrow_passages": _q(f"SELECT id, {_r('odist')} FROM od WHERE odist >= 0.8 AND odist < 1.6"),
     "path_crosses_box": _q("SELECT (robot * 1000000 + n // 20)::BIGINT AS path_id, bool_or(x > 2 AND x < 8 AND y > 4 AND y < 12 AND z > 1 AND z < 5) AS crosses FROM (SELECT *, row_number() OVER (PARTITION BY robot ORDER BY ts, event_id) - 1 AS n FROM traj) GROUP BY 1"),
     "segment_covariance": _q("SELECT segment_id, " + ", ".join(f"round(avg({c}), 4) + 0.0 AS c{c}" for c in "xyz") + ", " + ", ".join(f"round(covar_pop({a}, {b}), 4) + 0.0 AS v{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM sf GROUP BY 1"),
+    "trajectory_connections": _q("SELECT DISTINCT least(a, b) AS id1, greatest(a, b) AS id2 FROM (SELECT region AS a, lag(region) OVER (ORDER BY id) AS b, sum(step) OVER (ORDER BY id DESC) AS back FROM (SELECT t.id, region, coalesce(sqrt(pow(t.x - lag(t.x) OVER w, 2) + pow(t.y - lag(t.y) OVER w, 2) + pow(t.z - lag(t.z) OVER w, 2)), 0) AS step FROM sf t LEFT JOIN cel c ON c.kx = floor(t.x / 0.2)::BIGINT + 32768 AND c.ky = floor(t.y / 0.2)::BIGINT + 32768 AND c.kz = floor(t.z / 0.2)::BIGINT + 32768 WINDOW w AS (ORDER BY t.id))) WHERE a <> b AND back <= 2000", CELLS),
     "growth_positions": _q("SELECT segment_id, id, round(dist, 4) + 0.0 AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY round(dist, 9) DESC, id) AS rank FROM (SELECT segment_id, id, sqrt(pow(x - cx, 2) + pow(y - cy, 2) + pow(z - cz, 2)) AS dist FROM sf JOIN mean USING (segment_id))) WHERE rank <= 2"),
     "segment_radius_range": _q("SELECT segment_id, round(min(radius), 4) + 0.0 AS least_radius, round(max(radius), 4) + 0.0 AS greatest_radius FROM sf WHERE segment_id > 0 GROUP BY 1"),
     "segments_first_seen": _q("SELECT floor(y / 4)::INTEGER AS segment_id, min(event_id) AS seq FROM traj GROUP BY 1"),

@@ -398,6 +398,13 @@ def trajectory_crossings(v: Views) -> DataFrame:
     return robots.crossings(v.traj.withColumn("segment_id", F.floor(F.col("y") / 4).cast("int")))
 
 
+@query
+def trajectory_connections(v: Views) -> DataFrame:
+    """Regions of the spheres' cells that a flight through all spheres, by id, crosses between."""
+    track = v.safe.select(F.lit(0).alias("robot"), F.timestamp_seconds(F.col("id") * 0).alias("ts"), F.col("id").alias("event_id"), *geo.AXES)
+    return robots.free_crossings(track, cells_of(v), None, 2000.0)
+
+
 @query
 def frontier_dbscan(v: Views) -> DataFrame:
     groups = v.pt.select("id", *geo.AXES, (1 + F.col("id") % 7).alias("weight"))

@@ -167,6 +167,26 @@ def crossings(track: DataFrame) -> DataFrame:
     return steps.groupBy(F.least("before", "segment_id").alias("id1"), F.greatest("before", "segment_id").alias("id2")).agg(F.count("*").alias("n"))
 
 
+def free_crossings(track: DataFrame, cells: DataFrame, known: DataFrame | None = None, limit: float = math.inf, resolution: float = 0.2) -> DataFrame:
+    """(id1, id2) of regions that some robot's track (robot, ts, event_id, x, y, z) went between, from one position straight to the
+    next, both in free cells(region, kx, ky, kz) of the regions, in the last `limit` metres of its track; without pairs of `known`.
+
+    Positions outside all cells part the track; a cell of several regions counts for the least. Null coordinates are outside.
+    """
+    from lacuna.functions.geometry import AXES, to_key
+
+    keys = ("kx", "ky", "kz")
+    own = cells.groupBy(*keys).agg(F.min("region").alias("region"))
+    order = Window.partitionBy("robot").orderBy("ts", "event_id")
+    step = F.sqrt(sum(((F.col(c) - F.lag(c).over(order)) * (F.col(c) - F.lag(c).over(order)) for c in AXES), F.lit(0.0)))
+    at = track.select("robot", "ts", "event_id", *AXES, *(to_key(c, resolution).cast("int").alias(k) for k, c in zip(keys, AXES, strict=True)))
+    at = at.join(own, list(keys), "left").withColumns({"step": F.coalesce(step, F.lit(0.0)), "before": F.lag("region").over(order)})
+    back = F.sum("step").over(Window.partitionBy("robot").orderBy(F.desc("ts"), F.desc("event_id")))
+    crossed = at.withColumn("back", back).where((F.col("back") <= limit) & (F.col("before") != F.col("region")))
+    found = crossed.select(F.least("before", "region").alias("id1"), F.greatest("before", "region").alias("id2")).distinct()
+    return found if known is None else found.join(known.select("id1", "id2"), ["id1", "id2"], "left_anti")
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str]) -> DataFrame:
     """left with the newest values of right at or before its time: both sides in one ordered window of the key."""
     kinds = {f.name: f.dataType for f in right.schema.fields}

@@ -240,3 +240,14 @@ def test_ticks_on_a_stream_equal_the_batch(spark, tmp_path):
     out.processAllAvailable()
     out.stop()
     assert spark.read.parquet(f"file://{tmp_path}/pub/spheres/epoch=0").count() == store.read(0).spheres.count()
+
+
+def test_search_with_other_goals_and_heuristics():
+    import pandas as pd
+
+    nodes = pd.DataFrame([(i, float(i), 0.0, 0.0, 3.0) for i in range(6)], columns=["id", "x", "y", "z", "radius"])
+    edges = pd.DataFrame([(a, b) for i in range(5) for a, b in ((i, i + 1), (i + 1, i))], columns=["src", "dst"])
+    g = paths.Graph(nodes, edges)
+    assert g.search(0, 5, DEFAULT) == [0, 1, 2, 3, 4, 5] == g.search(0, 5, DEFAULT, heuristic=lambda n: 0.0)
+    assert g.search(2, 5, DEFAULT, is_goal=lambda n: n in (0, 5)) == [2, 1, 0] and g.search(2, 2, DEFAULT) == [2, 2]
+    assert g.search(0, 5, DEFAULT, is_goal=lambda n: False) is None
