@@ -85,7 +85,8 @@ def rule_index(rules: DataFrame, urls: DataFrame) -> DataFrame:
     """The rules with `token`, the one of their tokens that the fewest rows of urls (tokens) have; of equals the least, none: ''."""
     each = rules.select("i", F.explode_outer("tokens").alias("token")).select("i", F.coalesce("token", F.lit("")).alias("token"))
     wanted = each.select("token").distinct()
-    seen = urls.select(F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    # Counted before anything is joined, so that a token of all URLs is one row of each task.
+    seen = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).join(wanted, "token", "left_semi")
     rarest = each.join(seen, "token", "left").groupBy("i").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
     return rules.drop("tokens").join(rarest, "i")
 
