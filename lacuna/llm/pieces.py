@@ -13,7 +13,7 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 from operator import itemgetter
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._memory import returning
+from ._memory import returning, uncollected
 
 SPACE = "▁"
 #: Stands for a space mark in the text itself, which only bytes can spell; no word is empty.
@@ -30,7 +30,7 @@ LITERAL = ""
 #: Score of a character that only its bytes can spell, below the lowest piece.
 UNKNOWN_STEP = 10.0
 #: Words whose results a worker remembers beside those of the batch at hand, none longer than LONG after it.
-REMEMBERED, LONG = 100_000, 48
+REMEMBERED, LONG = 300_000, 48
 #: Characters with a column in the table of piece beginnings, and words taken together through it.
 CHARACTERS, TOGETHER = 256, 8192
 #: Text bytes and rows of a batch; a longer text is a batch by itself.
@@ -227,7 +227,7 @@ class PieceLattice:
             found = list(map(SCORE, ranked)), [first, *(ids for _, ids in ranked if ids != first)][: len(ranked)]
             if len(word) > LONG:
                 return found
-            if len(self.ranked) >= REMEMBERED // 10:
+            if len(self.ranked) >= REMEMBERED // 30:
                 self.ranked.clear()
             self.ranked[word] = found
         return found
@@ -290,11 +290,13 @@ class PieceLattice:
         return out
 
     def rank(self, words: list[str]) -> tuple[list[bytes], list[float]]:
+        if not words:
+            return [b""], [0.0]
         n, own = self.n, list(map(self.known.__getitem__, words))
-        total = sum(map(SCORE, own))
+        values, steps, parts = zip(*own, strict=True)
+        total, steps = sum(values), list(steps)
         # A text's n best take a rank from each word's list; only the words with the n - 1 smallest first steps can leave rank 1.
         found: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]  # loss, and the words that leave rank 1 with their ids
-        steps = list(map(STEP, own))
         for _ in range(min(n - 1, len(steps))):
             least = min(steps)
             if least == float("inf"):
@@ -303,10 +305,10 @@ class PieceLattice:
             steps[i] = float("inf")
             scores, ids = self.best_of(words[i])
             found = heapq.nsmallest(n, [(x + scores[0] - y, left + ((i, k),) if r else left) for x, left in found for r, (y, k) in enumerate(zip(scores, ids, strict=True))], key=SCORE)
-        parts, begin = list(map(IDS, own)), [0]
-        for p in parts:
-            begin.append(begin[-1] + len(p))
         best = b"".join(parts)
+        if len(found) == 1:
+            return [best], [total]
+        begin = list(accumulate(map(len, parts), initial=0))
         lists = []
         for _, left in found:
             made, at = [], 0
@@ -347,29 +349,23 @@ def encode_pieces(docs: DataFrame, path: str, n_best: int = 4, text_col: str = "
         tool = PieceLattice(path, n_best)  # given up with the task: nothing stays in a worker that is used again
         for big in batches:
             for batch in portions(big, len(keep)):
-                ids, sizes, scores, decoded, ranks, ends = [], [0], [], [], [0], [0]
-                every = []
+                every, ranks, ends, scores, decoded = [], [0], [0], [], []
                 texts = batch.column(len(keep)).to_pylist()
                 done = iter(tool.encode_best([t for t in texts if t is not None]))
                 for text in texts:
                     lists, found = next(done) if text is not None else ([b""], None)
-                    own = lists[0]
-                    for one in lists if text else ():
-                        every.append(one)
-                        ends.append(ends[-1] + len(one) // 4)
+                    if text:
+                        every += lists
+                        for one in lists:
+                            ends.append(ends[-1] + len(one) // 4)
                     ranks.append(len(every))
-                    ids.append(own)
-                    sizes.append(sizes[-1] + len(own) // 4)
                     scores.append(found if text else found and [])
-                    decoded.append(None if text is None else tool.decode(own))
-                offsets = pa.array([None if t is None else s for t, s in zip(texts, sizes, strict=False)] + sizes[-1:], pa.int32())
+                    decoded.append(None if text is None else tool.decode(lists[0]))
                 nbest = pa.ListArray.from_arrays(pa.array([None if t is None else r for t, r in zip(texts, ranks, strict=False)] + ranks[-1:], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(every), dtype=np.int32))))
-                n = pa.array([b - a for a, b in zip(sizes, sizes[1:], strict=False)], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))), n, nbest, pa.array(scores, pa.list_(pa.float64())), pa.array(decoded, pa.string())],
-                    [*(k for k, _ in kinds), "piece_ids", "n_pieces", "nbest_ids", "nbest_scores", "decoded"],
-                )
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], nbest, pa.array(scores, pa.list_(pa.float64())), pa.array(decoded, pa.string())], [*(k for k, _ in kinds), "nbest_ids", "nbest_scores", "decoded"])
 
     source = docs.select(*(F.col(c).alias(k) for c, (k, _) in zip(keep, kinds, strict=True)), F.col(text_col).alias("t"))
-    out = source.mapInArrow(returning(run), ", ".join(f"{k} {t}" for k, t in kinds) + ", piece_ids array<int>, n_pieces int, nbest_ids array<array<int>>, nbest_scores array<double>, decoded string")
-    return out.select(*(F.col(k).alias(c) for c, (k, _) in zip(keep, kinds, strict=True)), "piece_ids", "n_pieces", "nbest_ids", "nbest_scores", "decoded")
+    out = source.mapInArrow(returning(uncollected(run)), ", ".join(f"{k} {t}" for k, t in kinds) + ", nbest_ids array<array<int>>, nbest_scores array<double>, decoded string")
+    first = F.when(F.col("nbest_ids").isNotNull(), F.coalesce(F.get("nbest_ids", F.lit(0)), F.array().cast("array<int>")))  # the best list travels once
+    out = out.withColumn("piece_ids", first)
+    return out.select(*(F.col(k).alias(c) for c, (k, _) in zip(keep, kinds, strict=True)), "piece_ids", F.when(F.col("piece_ids").isNull(), 0).otherwise(F.size("piece_ids")).alias("n_pieces"), "nbest_ids", "nbest_scores", "decoded")

@@ -93,7 +93,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "doc_id",
         F.col("n_pieces").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.xxhash64("piece_ids").alias("ids_hash"),
         "nbest_ids",
         "nbest_scores",
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
