@@ -7,6 +7,7 @@ fewest URLs contain; a URL's tokens fetch candidate rules by a join, and only th
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -71,8 +72,9 @@ def filter_rule(line: str) -> Rule:
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """i (from 1, in order), name, verdict, expression, tokens, length, on_url: what judge_urls() takes, from a list or a stored table."""
-    rows = [(i, r.name, r.verdict, r.expression, list(r.tokens), r.length, r.on_url) for i, r in enumerate(rules, 1)]
-    return spark.createDataFrame(rows, "i int, name string, verdict string, expression string, tokens array<string>, length int, on_url boolean")
+    kind = "i int, name string, verdict string, expression string, tokens array<string>, length int, on_url boolean"
+    rows = [{"i": i, "name": r.name, "verdict": r.verdict, "expression": r.expression, "tokens": r.tokens, "length": r.length, "on_url": r.on_url} for i, r in enumerate(rules, 1)]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>")))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
