@@ -119,7 +119,8 @@ def pinned(pairs: DataFrame, voxels: DataFrame, config: MapConfig = DEFAULT) ->
     unknown voxel) less than the small radius behind the small sphere, and not before its end."""
     d2 = sum(((F.col(f"s{c}") - F.col(f"l{c}")) * (F.col(f"s{c}") - F.col(f"l{c}")) for c in AXES), F.lit(0.0))
     near = pairs.withColumn("gap", F.sqrt(d2)).where((2 * F.col("sr") <= F.col("lr")) & (F.col("gap") < 2 * F.col("lr")) & (F.col("gap") > 0))
-    near = written(near)  # the rays' arrays are built of these columns, each of which would be computed again for every part
+    parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work a row
+    near = written(near.repartition(parts))  # the rays' arrays are built of these columns, each of which would be computed again for every part
     reach = (F.col("gap") + 2 * F.col("sr") + 2 * config.resolution) / F.col("gap")
     rays = near.select(F.struct("p", "gap", "sr", *(f"l{c}" for c in AXES)).alias("ray"), *(F.col(f"l{c}").alias(f"o{c}") for c in AXES), *((F.col(f"l{c}") + (F.col(f"s{c}") - F.col(f"l{c}")) * reach).alias(f"t{c}") for c in AXES))
     hit = voxel_ops.ray_hits(rays, voxels).where("kind is not null")

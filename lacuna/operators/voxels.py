@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.geometry import AXES, KEY_OFFSET, to_key
+from lacuna.operators.iterate import written
 from lacuna.operators.spatial import top_by
 
 KEYS = ("kx", "ky", "kz")
@@ -113,9 +114,10 @@ def mutually_visible(pairs: DataFrame, voxels: DataFrame) -> DataFrame:
 
 def look(points: DataFrame, voxels: DataFrame, directions: DataFrame, reach: float) -> DataFrame:
     """(id, i, dx, dy, dz, kind) of the rays from each point in a stated, fixed set of directions: how each ends (null: free)."""
-    rays = points.select("id", *AXES).join(F.broadcast(directions))  # the directions are a parameter, some dozen rows
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work a row
+    rays = points.select("id", *AXES).repartition(parts).join(F.broadcast(directions))  # the directions are a parameter, some dozen rows
     rays = rays.select(F.struct("id", "i", "dx", "dy", "dz").alias("ray"), *(F.col(c).alias(f"o{c}") for c in AXES), *((F.col(c) + F.col(f"d{c}") * reach).alias(f"t{c}") for c in AXES))
-    return cast_rays(rays, voxels).select("ray.*", "kind")
+    return cast_rays(written(rays), voxels).select("ray.*", "kind")  # each end is read many times by the cells' arrays
 
 
 def exploration_value(points: DataFrame, voxels: DataFrame, directions: DataFrame, reach: float) -> DataFrame:
