@@ -16,6 +16,18 @@ def cell(c: str, width: float) -> Column:
     return F.floor(F.col(c) / width)
 
 
+def shuffled(df: DataFrame, times: int | None = None) -> DataFrame:
+    """df, never broadcast in its next join; with `times`, only where so many times its estimated size passes Spark's threshold.
+
+    Spark takes the size of an explode for that of its input, and so would broadcast millions of rows made from a small table.
+    """
+    if times is not None:
+        most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) * times <= most:
+            return df
+    return df.hint("merge")
+
+
 def pairs_within(left: DataFrame, right: DataFrame, reach: float, on: Column | None = None, how: str = "inner") -> DataFrame:
     """Rows of left (alias a) with rows of right (alias b) at most `reach` away and meeting `on`; d2 is the squared distance.
 
