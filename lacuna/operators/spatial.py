@@ -65,7 +65,7 @@ def nearest_site(points: DataFrame, sites: DataFrame, key: str, reach: float, ca
     places = sites.select(*AXES)
     near = pairs_within(points.select(key, *AXES), places, reach).groupBy(F.col(f"a.{key}").alias(key)).agg(F.sqrt(F.min("d2")).alias("odist"))
     if cap is not None:
-        return points.select(key).join(near, key, "left").select(key, F.least(F.coalesce("odist", F.lit(cap)), F.lit(cap)).alias("odist"))
+        return points.select(key).join(shuffled(near), key, "left").select(key, F.least(F.coalesce("odist", F.lit(cap)), F.lit(cap)).alias("odist"))
     found = [written(near)]
     rest = written(points.select(key, *AXES).join(found[0], key, "left_anti"))
     if rest.isEmpty():
