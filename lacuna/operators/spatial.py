@@ -23,7 +23,7 @@ def shuffled(df: DataFrame, times: int | None = None) -> DataFrame:
     """
     if times is not None:
         most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-        if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) * times <= most:
+        if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * times <= most:
             return df
     return df.hint("merge")
 
@@ -32,14 +32,15 @@ def pairs_within(left: DataFrame, right: DataFrame, reach: float, on: Column | N
     """Rows of left (alias a) with rows of right (alias b) at most `reach` away and meeting `on`; d2 is the squared distance.
 
     Each right row is put into its cell and the 26 around it, so the join is on three integers and its output is the pairs of
-    neighbouring cells. Spark broadcasts or shuffles the sides by their sizes; dense cells split by AQE's skew join.
+    neighbouring cells. Spark broadcasts or shuffles the sides by their sizes, counting the right one 27 times; dense cells
+    split by AQE's skew join.
     """
     grid = "g"
     while any(c.lower().startswith(grid) for c in (*left.columns, *right.columns)):
         grid = "_" + grid  # input columns keep their names and values
     near = F.sequence(F.lit(-1), F.lit(1))
     a = left.withColumns({f"{grid}{c}": cell(c, reach) for c in AXES})
-    b = right
+    b = shuffled(right, 27)
     around = lambda home: F.explode(F.transform(near, lambda o: home + o))
     for c in AXES:
         b = b.withColumn(f"{grid}{c}", around(cell(c, reach)))

@@ -84,13 +84,27 @@ def visited_stream(positions: DataFrame) -> DataFrame:
 
 
 def visitation_value(points: DataFrame, visited: DataFrame, block: float = 0.2, decay: float = 0.4) -> DataFrame:
-    """(id, value): 2 within `block` of a visited node, else the greatest 1 - d / decay, at least 0."""
-    from lacuna.operators.spatial import pairs_within
+    """(id, value): 2 within `block` of a visited node, else the greatest 1 - d / decay, at least 0.
 
-    near = pairs_within(points.select("id", "x", "y", "z"), visited.select("x", "y", "z"), max(block, decay))
-    value = F.when(F.sqrt("d2") <= block, 2.0).otherwise(1 - F.sqrt("d2") / decay)
-    best = near.groupBy(F.col("a.id").alias("id")).agg(F.max(value).alias("v"))
-    return points.select("id").join(best, "id", "left").select("id", F.greatest(F.coalesce("v", F.lit(0.0)), F.lit(0.0)).alias("value"))
+    Points in a small cell with a visited node are within `block` of it and meet no nodes one by one; only the others do, and
+    repeated nodes count once.
+    """
+    from lacuna.operators.iterate import written
+    from lacuna.operators.spatial import cell, pairs_within, shuffled
+
+    axes = ("x", "y", "z")
+    width, plain = 0.99 * block / 3**0.5, F.lit(block > 0)  # the diagonal is shorter than `block` by more than rounding can change
+    for c in axes:
+        plain = plain & (F.abs(c) < 1e6 * block)  # no null, no NaN, and a cell's number is exact
+    at = [F.when(plain, cell(c, width)).alias(f"c{c}") for c in axes]
+    finite = " and ".join(f"abs({c}) < double('inf')" for c in axes)
+    sites = visited.select(*axes).where(finite).distinct()
+    held = shuffled(sites.where(plain).select(*at, F.lit(True).alias("own")).distinct())
+    state = written(points.select("id", *axes, *at).join(held, [f"c{c}" for c in axes], "left").select("id", *axes, "own"))
+    near = pairs_within(sites, state.where("own is null").where(finite).select("id", *axes), max(block, decay)).select(F.col("b.id").alias("id"), F.sqrt("d2").alias("d"))
+    best = state.where("own").select("id", F.lit(0.0).alias("d")).unionByName(near).groupBy("id").agg(F.min("d").alias("d"))
+    value = F.when(F.col("d") <= block, 2.0).otherwise(1 - F.col("d") / decay)
+    return state.select("id").join(shuffled(best), "id", "left").select("id", F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0)).alias("value"))
 
 
 COMPLETE = "robot int, message_index long, n_fragments int"

@@ -66,6 +66,26 @@ def test_visitation(spark):
     assert (track.nodes, track.last) == ([], None)
 
 
+def test_visitation_of_many_near_positions(spark, tmp_path):
+    rng = random.Random(6)
+    nodes = [(rng.uniform(0, 3), rng.uniform(0, 1), 0.0) for _ in range(60)] + [(0.5, 0.5, 0.0)] * 40 + [(None, 0.0, 0.0), (float("nan"), 0.0, 0.0), (float("inf"), 0.0, 0.0)]
+    asks = [(i, rng.uniform(-1, 4), rng.uniform(-1, 2), rng.uniform(-0.4, 0.4)) for i in range(300)] + [(900, float("nan"), 0.0, 0.0), (901, float("inf"), 0.0, 0.0), (902, None, 0.0, 0.0)]
+    spark.createDataFrame(nodes, "x double, y double, z double").write.parquet(str(tmp_path / "nodes"))
+    spark.createDataFrame(asks, "id long, x double, y double, z double").write.parquet(str(tmp_path / "asks"))
+    got = visitation_value(spark.read.parquet(str(tmp_path / "asks")), spark.read.parquet(str(tmp_path / "nodes")))
+    want = {i: 0.0 for i, *_ in asks}
+    for i, *p in asks[:300]:
+        d = min(math.dist(p, q) for q in nodes[:100])
+        want[i] = 2.0 if d <= 0.2 else max(0.0, 1 - d / 0.4)
+    assert {r.id: round(r.value, 9) for r in got.collect()} == {i: round(v, 9) for i, v in want.items()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")  # above the stored size, below that of the cells around every place
+    try:
+        got = visitation_value(spark.read.parquet(str(tmp_path / "asks")), spark.read.parquet(str(tmp_path / "nodes")))
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_thinning_is_the_greedy_one(spark):
     rng = random.Random(4)
     rows = [(i, rng.uniform(0, 10), rng.uniform(0, 10), rng.uniform(0, 3)) for i in range(200)]
