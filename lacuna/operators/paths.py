@@ -8,19 +8,25 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.config import DEFAULT, MapConfig
 from lacuna.functions.geometry import AXES, linear_safety_cost, unsafety
-from lacuna.operators.iterate import cheapest_paths
+from lacuna.operators.iterate import cheapest_paths, written
 
-#: Rows of each of the map's tables up to which a task holds it whole.
-MOST = 200_000
+#: Rows of each of the map's tables up to which a task holds it whole: 16 bytes an edge, and a list for each node that a search comes to.
+MOST = 2_000_000
+#: Nodes from which a whole-graph search knows the costs to all others, as bounds of what is left of a path.
+LANDMARKS = 16
+#: The planner that this Python worker has built last, by the name of its map.
+_BUILT: dict[str, Planner] = {}
 
 
 def node_unsafety(r: float, config: MapConfig) -> float:
@@ -33,9 +39,86 @@ class Graph:
     def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame):
         self.at = {int(i): (x, y, z) for i, x, y, z in zip(nodes.id, nodes.x, nodes.y, nodes.z, strict=True)}
         self.radius = dict(zip(map(int, nodes.id), nodes.radius, strict=True))
-        self.next = defaultdict(list)
-        for a, b in sorted(zip(map(int, edges.src), map(int, edges.dst), strict=True)):
-            self.next[a].append(b)
+        src, dst, ids = edges.src.to_numpy(np.int64), edges.dst.to_numpy(np.int64), nodes.id.to_numpy(np.int64)
+        known = np.isin(src, ids) & np.isin(dst, ids)
+        src, dst = src[known], dst[known]
+        order = np.lexsort((dst, src))
+        self.src, self.dst = src[order], dst[order]
+        self.ways: dict[MapConfig, dict[int, list[tuple[int, float]]]] = {}
+        self.parts: dict[int, int] | None = None
+        self.marks: dict[MapConfig, tuple | None] = {}
+
+    def out(self, a: int, config: MapConfig) -> list[tuple[int, float]]:
+        """Neighbours in order of key, and what a step to each costs."""
+        ways = self.ways.setdefault(config, {})
+        if a not in ways:
+            low, high = np.searchsorted(self.src, (a, a + 1))
+            ways[a] = [(b, self.step(a, b, config)) for b in self.dst[low:high].tolist()]
+        return ways[a]
+
+    def connected(self, a: int, b: int) -> bool:
+        """Whether edges, taken in both directions, lead from a to b; without that there is no path."""
+        if self.parts is None:
+            up = {n: n for n in self.at}
+
+            def top(n: int) -> int:
+                while up[n] != n:
+                    up[n] = n = up[up[n]]
+                return n
+
+            for x, y in zip(self.src.tolist(), self.dst.tolist(), strict=True):
+                x, y = top(x), top(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            self.parts = {n: top(n) for n in up}
+        return a in self.parts and self.parts.get(a) == self.parts.get(b)
+
+    def costs(self, start: int, config: MapConfig) -> dict[int, float]:
+        """Least costs from a node to all that it reaches."""
+        cost, queue = {}, [(0.0, start)]
+        while queue:
+            g, node = heapq.heappop(queue)
+            if node in cost:
+                continue
+            cost[node] = g
+            for n, w in self.out(node, config):
+                if n not in cost:
+                    heapq.heappush(queue, (g + w, n))
+        return cost
+
+    def bounds(self, goal: int, config: MapConfig) -> Callable[[int], float] | None:
+        """Lower bounds of the cost to the goal, from the costs of LANDMARKS nodes; None where an edge leads one way only.
+
+        A step costs its length and the risk of its end. With half the risk of both ends it costs the same in both directions, and
+        the costs of two nodes from a landmark differ by no more than the cost between them.
+        """
+        if config not in self.marks:
+            back = np.lexsort((self.src, self.dst))
+            if not self.at or not (np.array_equal(self.dst[back], self.src) and np.array_equal(self.src[back], self.dst)):
+                self.marks[config] = None
+            else:
+                place = {n: i for i, n in enumerate(self.at)}
+                risk = lambda r: config.safety_bias + config.safety_weight * node_unsafety(r, config) if r < config.full_safe else 0.0
+                half = np.array([risk(self.radius[n]) / 2 for n in self.at])
+                ids, rows, least = list(self.at), [], np.full(len(self.at), np.inf)
+                degree = np.bincount([place[n] for n in self.src.tolist()], minlength=len(ids))
+                one = ids[int(degree.argmax())]
+                for _ in range(LANDMARKS):
+                    row = np.full(len(ids), np.nan)
+                    for n, g in self.costs(one, config).items():
+                        row[place[n]] = g
+                    row += half[place[one]] - half
+                    rows.append(np.nan_to_num(row, nan=0.0))  # in another part no bound: 0 for a node and for its goal
+                    least = np.fmin(least, row)
+                    one = ids[int(np.where(np.isfinite(least), least, -1).argmax())]
+                self.marks[config] = place, np.array(rows), half
+        if self.marks[config] is None:
+            return None
+        place, rows, half = self.marks[config]
+        at = place[goal]
+        left = (np.abs(rows - rows[:, at : at + 1]).max(axis=0) - half + half[at]).tolist()
+        end = self.at[goal]
+        return lambda n: max(left[place[n]], math.dist(self.at[n], end))
 
     def step(self, a: int, b: int, config: MapConfig) -> float:
         r = self.radius[b]
@@ -66,8 +149,8 @@ class Graph:
             if node in done:
                 continue
             done.add(node)
-            for n in self.next[node]:
-                new = g + self.step(node, n, config)
+            for n, w in self.out(node, config):
+                new = g + w
                 if n in cost and (not exact or cost[n] <= new):
                     continue
                 cost[n], parent[n] = new, node
@@ -140,27 +223,34 @@ def plan_paths(requests: DataFrame, safe: DataFrame, edges: DataFrame, connectio
         return _plan_by_rounds(asked, safe, edges, config)
     spark = requests.sparkSession
     tables = spark.sparkContext.broadcast((safe.select("id", "segment_id", "x", "y", "z", "radius").toPandas(), edges.select("src", "dst", "s1", "s2").toPandas(), connection.toPandas(), stored.select("seg", "nb1", "nb2", "path", "total_unsafety", "min_safedist", "length").toPandas()))
-    schema = "query_id long, goal_id int, success boolean, message string, path array<long>, length double, cost double"
+    name, schema = uuid.uuid4().hex, "start long, goals array<long>, path array<long>, length double, cost double"
 
     def run(batches):
-        planner = Planner(*tables.value, config=config)
+        planner = _planner(name, tables, config)
         for batch in batches:
             out = []
-            for q, g, s, goals in zip(batch.query_id, batch.goal_id, batch.start, batch.goals, strict=True):
-                path = None
-                if not pd.isna(s):
-                    for end in goals:
-                        path = planner.portal_path(int(s), int(end)) if use_stored else planner.graph.search(int(s), int(end), config, exact)
-                        if path:
-                            break
-                if path:
-                    length, _, _ = planner.graph.summary(path, config)
-                    out.append((q, g, True, "success!", path, length, planner.graph.cost(path, config)))
-                else:
-                    out.append((q, g, False, "could not find path!", None, None, None))
+            for s, goals in zip(batch.start, batch.goals, strict=True):
+                for end in goals:
+                    path = planner.portal_path(int(s), int(end)) if use_stored else planner.whole_path(int(s), int(end), exact)
+                    if path:
+                        out.append((s, goals, path, planner.graph.summary(path, config)[0], planner.graph.cost(path, config)))
+                        break
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return asked.mapInPandas(run, schema)
+    # A search for each start and list of goals; tasks as many as cores, whatever few bytes the requests are.
+    asked = written(asked)
+    asks = asked.where("start is not null").select("start", "goals").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "start")
+    done = asked.join(written(asks.mapInPandas(run, schema)), ["start", "goals"], "left")
+    good = F.col("path").isNotNull()
+    return done.select("query_id", "goal_id", good.alias("success"), F.when(good, "success!").otherwise("could not find path!").alias("message"), "path", "length", "cost")
+
+
+def _planner(name: str, tables, config: MapConfig) -> Planner:
+    """The planner of a broadcast map, built once in each Python worker."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Planner(*tables.value, config=config)
+    return _BUILT[name]
 
 
 def _plan_by_rounds(asked: DataFrame, safe: DataFrame, edges: DataFrame, config: MapConfig) -> DataFrame:
@@ -188,12 +278,29 @@ class Planner:
         self.config = config
         self.graph = Graph(nodes, edges)
         self.segment = dict(zip(map(int, nodes.id), map(int, nodes.segment_id), strict=True))
-        self.inner = {s: Graph(n, edges[(edges.s1 == s) & (edges.s2 == s)]) for s, n in nodes.groupby("segment_id")}
+        inner = edges[edges.s1 == edges.s2]
+        self.inner = {s: Graph(n, inner[inner.s1 == s]) for s, n in nodes.groupby("segment_id")}
+        self.first: dict[tuple[int, int], list[int] | None] = {}
         self.links = defaultdict(dict)
         for seg, other, own, far in zip(connection.seg, connection.other, connection.own_key, connection.other_key, strict=True):
             self.links[int(seg)][int(other)] = (int(own), int(far))
         self.stored = {(int(s), int(a), int(b)): ([int(x) for x in p], u, m) for s, a, b, p, u, m in zip(stored.seg, stored.nb1, stored.nb2, stored.path, stored.total_unsafety, stored.min_safedist, strict=True)}
 
+    def whole_path(self, start: int, goal: int, exact: bool) -> list[int] | None:
+        """A path through the whole graph, without a look at segments."""
+        if not self.graph.connected(start, goal):
+            return None
+        return self.graph.search(start, goal, self.config, exact, self.graph.bounds(goal, self.config) if exact else None)
+
+    def inner_path(self, seg: int, start: int, goal: int) -> list[int] | None:
+        """A path inside a segment; legs between a portal's end and some node are asked for often, and kept."""
+        if (start, goal) not in self.first:
+            if len(self.first) >= 100_000:
+                self.first.clear()
+            graph = self.inner[seg]
+            self.first[start, goal] = graph.search(start, goal, self.config, exact=False) if graph.connected(start, goal) else None
+        return self.first[start, goal]
+
     def leg(self, seg: int, a: int, b: int) -> tuple[list[int], float, float] | None:
         """Stored path through a segment from the portal to a to the portal to b."""
         found = self.stored.get((seg, min(a, b), max(a, b)))
@@ -202,7 +309,7 @@ class Planner:
     def portal_path(self, start: int, goal: int) -> list[int] | None:
         s, t, at = self.segment[start], self.segment[goal], self.graph.at
         if s == t:
-            return self.inner[s].search(start, goal, self.config, exact=False)
+            return self.inner_path(s, start, goal)
         queue, parent, seen = [], {}, set()
 
         def push(g, seg, nb, before):
@@ -212,7 +319,7 @@ class Planner:
             parent.setdefault(state, before)
 
         for nb, (own, _) in sorted(self.links[s].items()):
-            path = self.inner[s].search(start, own, self.config, exact=False)
+            path = self.inner_path(s, start, own)
             if path:
                 push(self.inner[s].cost(path, self.config), s, nb, path)
         while queue:
@@ -222,7 +329,7 @@ class Planner:
             seen.add((min(seg, nb), max(seg, nb)))
             if nb == t:
                 own, far = self.links[seg][nb]
-                last = self.inner[t].search(far, goal, self.config, exact=False)
+                last = self.inner_path(t, far, goal)
                 if not last:
                     continue
                 path, state = last, (seg, nb)

@@ -165,6 +165,24 @@ def test_paths_of_large_maps_equal_those_of_small_ones(spark, monkeypatch):
     assert run() == small and small[50][0] is False and small[51][0]
 
 
+def test_tables_of_many_rows_are_answered_by_the_same_search(spark, monkeypatch):
+    rng = random.Random(18)
+    rows = [(i, 2 + i % 4, rng.uniform(0, 14), rng.uniform(0, 14), rng.uniform(0, 4), rng.uniform(0.8, 3)) for i in range(70)]
+    safe = spark.createDataFrame(rows, "id long, segment_id int, x double, y double, z double, radius double")
+    edges = graph.sphere_edges(safe)
+    link = segments.connections(edges)
+    stored = paths.stored_paths(safe, edges, link)
+    asks = [(i, 0, *(rng.uniform(0, 14) for _ in range(6))) for i in range(12)] + [(50, 0, 500.0, 0.0, 0.0, 1.0, 1.0, 1.0), (51, 0, None, 3.0, 1.0, 3.0, 3.0, 1.0)]
+    requests = spark.createDataFrame([*asks, asks[0]], "query_id long, goal_id int, sx double, sy double, sz double, gx double, gy double, gz double")
+    nowhere = spark.range(250_000).selectExpr("id % 70 src", "1000 + id dst", "2 s1", "2 s2", "1D dist", "1D safety")  # to ids without a node
+    run = lambda e, own: sorted(tuple(r) for r in paths.plan_paths(requests, safe, e, link, stored, use_stored=own, exact=not own).collect())
+    small = {own: run(edges, own) for own in (True, False)}
+    monkeypatch.setattr(paths, "_plan_by_rounds", None)
+    for own in (True, False):
+        assert run(edges.unionByName(nowhere), own) == small[own] and len(small[own]) == 15
+        assert sum(r[2] for r in small[own]) >= 10
+
+
 def test_messages_of_two_robots_do_not_mix(spark):
     segs = spark.createDataFrame([(i, 40, float(i), 0.0, 0.0, 2.0, 0.1, 1.0, 1.0, 1.0) for i in range(5)], "segment_id int, n_keys long, cx double, cy double, cz double, bounding_radius double, alpha double, a double, b double, c double")
     ports = spark.createDataFrame([(0, 1), (3, 4)], "id1 int, id2 int")
@@ -243,8 +261,7 @@ def test_ticks_on_a_stream_equal_the_batch(spark, tmp_path):
 
 
 def test_search_with_other_goals_and_heuristics():
-    import pandas as pd
-
+    
     nodes = pd.DataFrame([(i, float(i), 0.0, 0.0, 3.0) for i in range(6)], columns=["id", "x", "y", "z", "radius"])
     edges = pd.DataFrame([(a, b) for i in range(5) for a, b in ((i, i + 1), (i + 1, i))], columns=["src", "dst"])
     g = paths.Graph(nodes, edges)
