@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import pandas as pd
 import pytest
 
 from lacuna.config import DEFAULT
@@ -183,6 +184,26 @@ def test_tables_of_many_rows_are_answered_by_the_same_search(spark, monkeypatch)
         assert sum(r[2] for r in small[own]) >= 10
 
 
+def test_bounded_searches_find_the_cheapest_paths():
+    rng = random.Random(28)
+    spheres = [(i, rng.uniform(0, 30), rng.uniform(0, 30), rng.uniform(0, 5), rng.uniform(0.8, 3.5)) for i in range(300)]
+    both = [(a[0], b[0]) for a in spheres for b in spheres if a[0] != b[0] and math.dist(a[1:4], b[1:4]) < a[4] + b[4] - 0.8]
+    nodes, edges = pd.DataFrame(spheres, columns=["id", "x", "y", "z", "radius"]), pd.DataFrame([*both, (5, 4000)], columns=["src", "dst"])
+    g, cheaper = paths.Graph(nodes, edges), 0
+    for goal in range(0, 300, 20):
+        bound = g.bounds(goal, DEFAULT)
+        assert bound(goal) == 0
+        for start in range(0, 300, 7):
+            want = g.costs(start, DEFAULT).get(goal)
+            assert g.connected(start, goal) == (want is not None)
+            if want is not None and start != goal:
+                assert bound(start) <= want + 1e-9
+                assert math.isclose(g.cost(g.search(start, goal, DEFAULT, heuristic=bound), DEFAULT), want, rel_tol=1e-9)
+                cheaper += bound(start) > 1.5 * math.dist(g.at[start], g.at[goal])
+    assert cheaper > 100  # the bounds know the risks, of which the straight distance knows nothing
+    assert paths.Graph(nodes, edges.iloc[1:]).bounds(0, DEFAULT) is None  # one edge leads one way
+
+
 def test_messages_of_two_robots_do_not_mix(spark):
     segs = spark.createDataFrame([(i, 40, float(i), 0.0, 0.0, 2.0, 0.1, 1.0, 1.0, 1.0) for i in range(5)], "segment_id int, n_keys long, cx double, cy double, cz double, bounding_radius double, alpha double, a double, b double, c double")
     ports = spark.createDataFrame([(0, 1), (3, 4)], "id1 int, id2 int")
@@ -261,7 +282,8 @@ def test_ticks_on_a_stream_equal_the_batch(spark, tmp_path):
 
 
 def test_search_with_other_goals_and_heuristics():
-    
+    import pandas as pd
+
     nodes = pd.DataFrame([(i, float(i), 0.0, 0.0, 3.0) for i in range(6)], columns=["id", "x", "y", "z", "radius"])
     edges = pd.DataFrame([(a, b) for i in range(5) for a, b in ((i, i + 1), (i + 1, i))], columns=["src", "dst"])
     g = paths.Graph(nodes, edges)
