@@ -6,12 +6,12 @@ edges repeat. Columns beside those named are kept where whole rows come out and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.config import DEFAULT, MapConfig
 from lacuna.functions.geometry import AXES, connectable, packed_key, square_distance, to_key
-from lacuna.operators.iterate import components
+from lacuna.operators.iterate import components, written
 from lacuna.operators.spatial import pairs_within, top_by
 
 
@@ -72,28 +72,41 @@ def points_in_map(points: DataFrame, spheres: DataFrame, config: MapConfig = DEF
     return pairs_within(points, spheres.select(*AXES, "radius"), config.radius_cap, square_distance("a", "b") < inner * inner, "left_semi")
 
 
-def surface_candidates(points: DataFrame, spheres: DataFrame, reach: float, config: MapConfig = DEFAULT) -> DataFrame:
-    """(pid, id, segment_id, dist to the surface, gap) of spheres whose centre is in the box of half side reach + 3 m."""
-    wide = (reach + config.radius_cap) * 3**0.5
-    on = F.lit(True)
+def surface_candidates(points: DataFrame, spheres: DataFrame, reach: float, config: MapConfig = DEFAULT, also: Column | None = None) -> DataFrame:
+    """(pid, id, segment_id, dist to the surface) of spheres whose centre is in the box of half side reach + 3 m and that meet `also`."""
+    half = reach + config.radius_cap
+    on = F.lit(True) if also is None else also
     for c in AXES:
-        on = on & (F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= reach + config.radius_cap)
+        on = on & (F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= half)
     own = spheres.select("id", "segment_id", *AXES, "radius")
-    pairs = pairs_within(points, own, wide, on)
+    pairs = pairs_within(points, own, half * 3**0.5, on, width=half)
     return pairs.select(F.col("a.pid").alias("pid"), F.col("b.id").alias("id"), F.col("b.segment_id").alias("segment_id"), (F.sqrt("d2") - F.col("b.radius")).alias("dist"))
 
 
 def nearest_node(points: DataFrame, spheres: DataFrame, reach: float, enforce: bool = False, config: MapConfig = DEFAULT) -> DataFrame:
-    """Nearest sphere surface of each point; without `enforce` the box alone bounds it, not the distance."""
+    """Nearest sphere surface of each point, ties to the least id; without `enforce` the box alone bounds it, not the distance.
+
+    The least distance comes first and its spheres by a second look: nothing sorts the pairs, of which there are many in a box.
+    """
     near = surface_candidates(points, spheres, reach, config)
     near = near.where(F.col("dist") <= reach) if enforce else near
-    return top_by(near, ["pid"], ["dist", "id"]).drop("rank")
+    low = written(near.groupBy("pid").agg(F.min("dist").alias("least")))
+    asks = points.select("pid", *AXES).join(low.withColumnRenamed("pid", "of"), F.col("pid").eqNullSafe(F.col("of"))).drop("of")
+    dist = F.sqrt(square_distance("a", "b")) - F.col("b.radius")
+    best = surface_candidates(asks, spheres, reach, config, dist == F.col("a.least"))
+    return best.groupBy("pid").agg(F.min(F.struct("id", "segment_id", "dist")).alias("b")).select("pid", "b.id", "b.segment_id", "b.dist")
 
 
 def nearest_per_segment(points: DataFrame, spheres: DataFrame, reach: float, config: MapConfig = DEFAULT) -> DataFrame:
-    """For each point and segment its nearest sphere within reach, ranked by (dist, segment)."""
+    """For each point and segment its nearest sphere within reach, ranked by (dist, segment); ties to the least id."""
     near = surface_candidates(points, spheres, reach, config).where(F.col("dist") <= reach)
-    best = top_by(near, ["pid", "segment_id"], ["dist", "id"]).drop("rank")
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 62)))  # a map has no null key
+    low = written(near.groupBy("pid", known("segment_id").alias("seg")).agg(F.min("dist").alias("least")).where("least is not null"))
+    least = low.groupBy(F.col("pid").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("seg", "least"))).alias("least"))  # an entry a segment in reach
+    asks = points.select("pid", *AXES).join(least, F.col("pid").eqNullSafe(F.col("of"))).drop("of")
+    dist = F.sqrt(square_distance("a", "b")) - F.col("b.radius")
+    best = surface_candidates(asks, spheres, reach, config, dist == F.try_element_at("a.least", known("b.segment_id")))
+    best = best.groupBy("pid", "segment_id").agg(F.min(F.struct("id", "dist")).alias("b")).select("pid", "b.id", "segment_id", "b.dist")
     return top_by(best, ["pid"], ["dist", "segment_id"], 1 << 30)
 
 

@@ -28,22 +28,23 @@ def shuffled(df: DataFrame, times: int | None = None) -> DataFrame:
     return df.hint("merge")
 
 
-def pairs_within(left: DataFrame, right: DataFrame, reach: float, on: Column | None = None, how: str = "inner") -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, reach: float, on: Column | None = None, how: str = "inner", width: float | None = None) -> DataFrame:
     """Rows of left (alias a) with rows of right (alias b) at most `reach` away and meeting `on`; d2 is the squared distance.
 
     Each right row is put into its cell and the 26 around it, so the join is on three integers and its output is the pairs of
     neighbouring cells. Spark broadcasts or shuffles the sides by their sizes, counting the right one 27 times; dense cells
-    split by AQE's skew join.
+    split by AQE's skew join. width: of the cells, for an `on` that lets no coordinates differ by more than that.
     """
+    width = reach if width is None else width
     grid = "g"
     while any(c.lower().startswith(grid) for c in (*left.columns, *right.columns)):
         grid = "_" + grid  # input columns keep their names and values
     near = F.sequence(F.lit(-1), F.lit(1))
-    a = left.withColumns({f"{grid}{c}": cell(c, reach) for c in AXES})
+    a = left.withColumns({f"{grid}{c}": cell(c, width) for c in AXES})
     b = shuffled(right, 27)
     around = lambda home: F.explode(F.transform(near, lambda o: home + o))
     for c in AXES:
-        b = b.withColumn(f"{grid}{c}", around(cell(c, reach)))
+        b = b.withColumn(f"{grid}{c}", around(cell(c, width)))
     keys = [F.col(f"a.{grid}{c}") == F.col(f"b.{grid}{c}") for c in AXES]
     d2 = square_distance("a", "b")
     test = (d2 <= reach * reach) & keys[0] & keys[1] & keys[2]

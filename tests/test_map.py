@@ -66,6 +66,28 @@ def test_visitation(spark):
     assert (track.nodes, track.last) == ([], None)
 
 
+def test_nearest_nodes_sort_no_pairs(spark):
+    rng = random.Random(16)
+    place = lambda: [round(rng.uniform(0, 9)) * 1.0 for _ in range(3)]  # many ties
+    spheres = [(i, i % 3 or None, *place(), 1.0) for i in range(150)] + [(900, 1, None, 0.0, 0.0, 1.0)]
+    points = [(i, *place()) for i in range(40)] + [(90, None, 0.0, 0.0), (91, 500.0, 0.0, 0.0), (0, 0.0, 0.0, 0.0)]
+    points[0] = (0, 0.0, 0.0, 0.0)  # twice, at one place
+    own = spark.createDataFrame(spheres, "id long, segment_id int, x double, y double, z double, radius double")
+    asks = spark.createDataFrame(points, "pid long, x double, y double, z double")
+    want, each = {}, {}
+    for pid, *p in points:
+        for i, seg, *q, r in spheres[:150]:
+            if None not in p and all(abs(a - b) <= 5 for a, b in zip(p, q, strict=True)):
+                d = math.dist(p, q) - r
+                want[pid] = min(want.get(pid, (d, i)), (d, i))
+                if d <= 2:
+                    each[pid, seg] = min(each.get((pid, seg), (d, i)), (d, i))
+    first, ranked = graph.nearest_node(asks, own, 2.0), graph.nearest_per_segment(asks, own, 2.0)
+    assert {r.pid: (r.dist, r.id) for r in first.collect()} == want and first.count() == len(want)
+    assert {(r.pid, r.segment_id): (r.dist, r.id) for r in ranked.collect()} == each and ranked.count() == len(each)
+    assert "Window" not in first._jdf.queryExecution().executedPlan().toString()
+
+
 def test_visitation_of_many_near_positions(spark, tmp_path):
     rng = random.Random(6)
     nodes = [(rng.uniform(0, 3), rng.uniform(0, 1), 0.0) for _ in range(60)] + [(0.5, 0.5, 0.0)] * 40 + [(None, 0.0, 0.0), (float("nan"), 0.0, 0.0), (float("inf"), 0.0, 0.0)]
