@@ -30,11 +30,11 @@ LITERAL = ""
 #: Score of a character that only its bytes can spell, below the lowest piece.
 UNKNOWN_STEP = 10.0
 #: Words whose results a worker remembers beside those of the batch at hand, none longer than LONG after it.
-REMEMBERED, LONG = 300_000, 48
+REMEMBERED, LONG = 100_000, 48
 #: Characters with a column in the table of piece beginnings, and words taken together through it.
 CHARACTERS, TOGETHER = 256, 8192
 #: Text bytes and rows of a batch; a longer text is a batch by itself.
-BATCH_BYTES, BATCH_ROWS = 1 << 21, 2048
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 2048
 SCORE, STEP, IDS = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
@@ -227,7 +227,7 @@ class PieceLattice:
             found = list(map(SCORE, ranked)), [first, *(ids for _, ids in ranked if ids != first)][: len(ranked)]
             if len(word) > LONG:
                 return found
-            if len(self.ranked) >= REMEMBERED // 30:
+            if len(self.ranked) >= REMEMBERED // 10:
                 self.ranked.clear()
             self.ranked[word] = found
         return found
@@ -277,8 +277,9 @@ class PieceLattice:
 
     def encode_best(self, texts: list[str]) -> list[tuple[list[bytes], list[float]]]:
         """Of each text the ids of its up to n best segmentations, best first, as int32 bytes, and their scores."""
-        lists = list(map(self.words, texts))
-        fresh = set().union(*lists)
+        same: dict[str, str] = {}  # equal words are one string, so that the others' memory serves the next text
+        lists = [list(map(same.setdefault, words, words)) for words in map(self.words, texts)]
+        fresh = same.keys()
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
         fresh -= self.known.keys()
@@ -344,13 +345,14 @@ def encode_pieces(docs: DataFrame, path: str, n_best: int = 4, text_col: str = "
     an output and not in `keep` are not read. One narrow pass without shuffle; every row is taken by itself.
     """
     kinds = [(f"k{i}", docs.schema[c].dataType.simpleString()) for i, c in enumerate(keep)]
+    at = keep.index(text_col) if text_col in keep else len(keep)  # a text that is kept is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = PieceLattice(path, n_best)  # given up with the task: nothing stays in a worker that is used again
         for big in batches:
-            for batch in portions(big, len(keep)):
+            for batch in portions(big, at):
                 every, ranks, ends, scores, decoded = [], [0], [0], [], []
-                texts = batch.column(len(keep)).to_pylist()
+                texts = batch.column(at).to_pylist()
                 done = iter(tool.encode_best([t for t in texts if t is not None]))
                 for text in texts:
                     lists, found = next(done) if text is not None else ([b""], None)
@@ -364,7 +366,7 @@ def encode_pieces(docs: DataFrame, path: str, n_best: int = 4, text_col: str = "
                 nbest = pa.ListArray.from_arrays(pa.array([None if t is None else r for t, r in zip(texts, ranks, strict=False)] + ranks[-1:], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(every), dtype=np.int32))))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], nbest, pa.array(scores, pa.list_(pa.float64())), pa.array(decoded, pa.string())], [*(k for k, _ in kinds), "nbest_ids", "nbest_scores", "decoded"])
 
-    source = docs.select(*(F.col(c).alias(k) for c, (k, _) in zip(keep, kinds, strict=True)), F.col(text_col).alias("t"))
+    source = docs.select(*(F.col(c).alias(k) for c, (k, _) in zip(keep, kinds, strict=True)), *([F.col(text_col).alias("t")] if at == len(keep) else []))
     out = source.mapInArrow(returning(uncollected(run)), ", ".join(f"{k} {t}" for k, t in kinds) + ", nbest_ids array<array<int>>, nbest_scores array<double>, decoded string")
     first = F.when(F.col("nbest_ids").isNotNull(), F.coalesce(F.get("nbest_ids", F.lit(0)), F.array().cast("array<int>")))  # the best list travels once
     out = out.withColumn("piece_ids", first)

@@ -67,6 +67,22 @@ def test_pieces_of_many_words_at_once():
     assert parts == [whole, (b"", [0.0]), whole] and tool.decode(whole[0]) == text
 
 
+def test_pieces_send_a_kept_text_once_and_remember_few_words(docs):
+    path = tokenizer("piece_bpe_32k.model")
+    for keep, columns in ((("doc_id", "text"), 2), (("doc_id",), 2), (("text", "doc_id", "lang"), 3)):
+        got = encode_pieces(docs, path, 4, keep=keep)
+        plan = got._jdf.queryExecution().optimizedPlan()
+        while plan.nodeName() != "MapInArrow":
+            plan = plan.children().head()
+        assert plan.children().head().output().size() == columns
+        assert sorted(r.decoded or "" for r in got.collect()) == sorted(r.text or "" for r in docs.collect())
+    tool, most = PieceLattice(path, 2), 0
+    for batch in range(12):
+        tool.encode([" ".join(f"w{batch}x{i}" for i in range(10_000))])
+        most = max(most, len(tool.known))
+    assert most <= 100_000
+
+
 def test_sharding(spark, docs):
     many = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("y" * 50).alias("text")).union(docs.select("doc_id", "text")).union(spark.range(300).select(F.lit(7).cast("long"), F.lit("z" * 40)))
     got = shard_rows(many, 1000).collect()
