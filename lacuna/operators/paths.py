@@ -46,7 +46,9 @@ class Graph:
         self.src, self.dst = src[order], dst[order]
         self.ways: dict[MapConfig, dict[int, list[tuple[int, float]]]] = {}
         self.parts: dict[int, int] | None = None
+        self.steps: dict[MapConfig, tuple] = {}
         self.marks: dict[MapConfig, tuple | None] = {}
+        self.left: tuple[int, MapConfig, Callable[[int], float]] | None = None
 
     def out(self, a: int, config: MapConfig) -> list[tuple[int, float]]:
         """Neighbours in order of key, and what a step to each costs."""
@@ -75,16 +77,28 @@ class Graph:
 
     def costs(self, start: int, config: MapConfig) -> dict[int, float]:
         """Least costs from a node to all that it reaches."""
-        cost, queue = {}, [(0.0, start)]
-        while queue:
-            g, node = heapq.heappop(queue)
-            if node in cost:
-                continue
-            cost[node] = g
-            for n, w in self.out(node, config):
-                if n not in cost:
-                    heapq.heappush(queue, (g + w, n))
-        return cost
+        return {n: g for n, g in zip(self.at, self.all_costs(start, config).tolist(), strict=True) if g < math.inf}
+
+    def all_costs(self, start: int, config: MapConfig) -> np.ndarray:
+        """Least costs from a node to all nodes, in their order; infinite to those it does not reach.
+
+        All edges from the nodes that improved are relaxed at once, until none improves; the sums are those of a search."""
+        if config not in self.steps:
+            place = {n: i for i, n in enumerate(self.at)}
+            src, dst = (np.array([place[n] for n in x.tolist()], dtype=np.int64) for x in (self.src, self.dst))
+            cost = np.array([self.step(a, b, config) for a, b in zip(self.src.tolist(), self.dst.tolist(), strict=True)])
+            order = np.argsort(dst, kind="stable")
+            src, dst, cost = src[order], dst[order], cost[order]
+            self.steps[config] = place, src, cost, np.flatnonzero(np.diff(dst, prepend=-1)), dst
+        place, src, cost, first, dst = self.steps[config]
+        best = np.full(len(self.at), np.inf)
+        best[place[start]] = 0.0
+        while len(first):
+            new = np.minimum(best[dst[first]], np.minimum.reduceat(best[src] + cost, first))
+            if np.array_equal(new, best[dst[first]]):
+                break
+            best[dst[first]] = new
+        return best
 
     def bounds(self, goal: int, config: MapConfig) -> Callable[[int], float] | None:
         """Lower bounds of the cost to the goal, from the costs of LANDMARKS nodes; None where an edge leads one way only.
@@ -104,21 +118,22 @@ class Graph:
                 degree = np.bincount([place[n] for n in self.src.tolist()], minlength=len(ids))
                 one = ids[int(degree.argmax())]
                 for _ in range(LANDMARKS):
-                    row = np.full(len(ids), np.nan)
-                    for n, g in self.costs(one, config).items():
-                        row[place[n]] = g
+                    row = self.all_costs(one, config)
+                    row[np.isinf(row)] = np.nan
                     row += half[place[one]] - half
                     rows.append(np.nan_to_num(row, nan=0.0))  # in another part no bound: 0 for a node and for its goal
                     least = np.fmin(least, row)
                     one = ids[int(np.where(np.isfinite(least), least, -1).argmax())]
-                self.marks[config] = place, np.array(rows), half
+                self.marks[config] = place, np.array(rows), half, np.array(list(self.at.values()))
         if self.marks[config] is None:
             return None
-        place, rows, half = self.marks[config]
-        at = place[goal]
-        left = (np.abs(rows - rows[:, at : at + 1]).max(axis=0) - half + half[at]).tolist()
-        end = self.at[goal]
-        return lambda n: max(left[place[n]], math.dist(self.at[n], end))
+        if self.left is None or self.left[:2] != (goal, config):  # requests with equal goals come one after another
+            place, rows, half, points = self.marks[config]
+            at = place[goal]
+            left = np.abs(rows - rows[:, at : at + 1]).max(axis=0) - half + half[at]
+            line = np.sqrt(np.square(points - points[at]).sum(axis=1))
+            self.left = goal, config, dict(zip(self.at, np.fmax(left, line).tolist(), strict=True)).__getitem__
+        return self.left[2]
 
     def step(self, a: int, b: int, config: MapConfig) -> float:
         r = self.radius[b]
@@ -239,7 +254,8 @@ def plan_paths(requests: DataFrame, safe: DataFrame, edges: DataFrame, connectio
 
     # A search for each start and list of goals; tasks as many as cores, whatever few bytes the requests are.
     asked = written(asked)
-    asks = asked.where("start is not null").select("start", "goals").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "start")
+    asks, tasks = asked.where("start is not null").select("start", "goals").distinct(), 4 * spark.sparkContext.defaultParallelism
+    asks = asks.repartition(tasks, "start") if use_stored else asks.repartitionByRange(tasks, "goals", "start").sortWithinPartitions("goals", "start")  # bounds are for a goal
     done = asked.join(written(asks.mapInPandas(run, schema)), ["start", "goals"], "left")
     good = F.col("path").isNotNull()
     return done.select("query_id", "goal_id", good.alias("success"), F.when(good, "success!").otherwise("could not find path!").alias("message"), "path", "length", "cost")

@@ -1,6 +1,7 @@
 """Expansion by the one-by-one rule, rays through pruned leaves, and the service on streams."""
 
 import datetime as dt
+import heapq
 import math
 import random
 
@@ -184,6 +185,23 @@ def test_tables_of_many_rows_are_answered_by_the_same_search(spark, monkeypatch)
         assert sum(r[2] for r in small[own]) >= 10
 
 
+def test_bounds_of_a_goal_are_made_once_and_costs_are_those_of_a_search():
+    rng = random.Random(31)
+    spheres = [(i, rng.uniform(0, 20), rng.uniform(0, 20), 0.0, rng.uniform(0.8, 3.0)) for i in range(120)] + [(900, math.nan, 0.0, 0.0, 1.0)]
+    both = [(a[0], b[0]) for a in spheres for b in spheres if a[0] != b[0] and math.dist(a[1:4], b[1:4]) < a[4] + b[4] - 0.8]
+    g = paths.Graph(pd.DataFrame(spheres, columns=["id", "x", "y", "z", "radius"]), pd.DataFrame(both, columns=["src", "dst"]))
+    assert g.bounds(7, DEFAULT) is g.bounds(7, DEFAULT) and g.bounds(8, DEFAULT)(8) == 0
+    for start in (0, 60, 900):
+        want, queue = {}, [(0.0, start)]
+        while queue:
+            cost, node = heapq.heappop(queue)
+            if node not in want:
+                want[node] = cost
+                for n, w in g.out(node, DEFAULT):
+                    heapq.heappush(queue, (cost + w, n))
+        assert g.costs(start, DEFAULT) == want
+
+
 def test_bounded_searches_find_the_cheapest_paths():
     rng = random.Random(28)
     spheres = [(i, rng.uniform(0, 30), rng.uniform(0, 30), rng.uniform(0, 5), rng.uniform(0.8, 3.5)) for i in range(300)]
