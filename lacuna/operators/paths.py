@@ -2,6 +2,7 @@
 
 Nodes have unique ids; edges to ids without a node lead nowhere. Points of a path are ordered by seq, which is unique in it;
 null clearances make a path's sums null. Equal costs go to the path of least ids in rounds, and to the first found in a search.
+Nodes of no segment (0 or null) count as one segment without portals.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import math
 import uuid
 from collections import defaultdict
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,20 +21,27 @@ from pyspark.sql import functions as F
 
 from lacuna.config import DEFAULT, MapConfig
 from lacuna.functions.geometry import AXES, linear_safety_cost, unsafety
-from lacuna.operators.iterate import cheapest_paths, written
+from lacuna.operators.iterate import cheapest_paths, forget, written
 
-#: Rows of each of the map's tables up to which a task holds it whole: 16 bytes an edge, and a list for each node that a search comes to.
+#: Rows of spheres and of edges up to which a task of whole-graph searches holds both: 16 bytes an edge, and a list for each node that a search comes to.
 MOST = 2_000_000
+#: Searches from which a group of them is divided; a segment's nodes and edges go to each of its groups.
+SEARCHES = 4_000
 #: Nodes from which a whole-graph search knows the costs to all others, as bounds of what is left of a path.
 LANDMARKS = 16
-#: The planner that this Python worker has built last, by the name of its map.
-_BUILT: dict[str, Planner] = {}
+#: The graph that this Python worker has built last, by the name of its map.
+_BUILT: dict[str, Graph] = {}
 
 
 def node_unsafety(r: float, config: MapConfig) -> float:
     return (1 - min((r - config.min_safe) / (config.full_safe - config.min_safe), 1)) ** 2
 
 
+def node_risk(r: float, config: MapConfig) -> float:
+    """What a step to a node of this radius costs beside its length."""
+    return config.safety_bias + config.safety_weight * node_unsafety(r, config) if r < config.full_safe else 0.0
+
+
 class Graph:
     """Positions, radii and neighbours of one group of nodes."""
 
@@ -75,6 +84,11 @@ class Graph:
             self.parts = {n: top(n) for n in up}
         return a in self.parts and self.parts.get(a) == self.parts.get(b)
 
+    def two_way(self) -> bool:
+        """Whether every edge leads both ways; then a path leads wherever nodes are connected."""
+        back = np.lexsort((self.src, self.dst))
+        return np.array_equal(self.dst[back], self.src) and np.array_equal(self.src[back], self.dst)
+
     def costs(self, start: int, config: MapConfig) -> dict[int, float]:
         """Least costs from a node to all that it reaches."""
         return {n: g for n, g in zip(self.at, self.all_costs(start, config).tolist(), strict=True) if g < math.inf}
@@ -107,13 +121,11 @@ class Graph:
         the costs of two nodes from a landmark differ by no more than the cost between them.
         """
         if config not in self.marks:
-            back = np.lexsort((self.src, self.dst))
-            if not self.at or not (np.array_equal(self.dst[back], self.src) and np.array_equal(self.src[back], self.dst)):
+            if not self.at or not self.two_way():
                 self.marks[config] = None
             else:
                 place = {n: i for i, n in enumerate(self.at)}
-                risk = lambda r: config.safety_bias + config.safety_weight * node_unsafety(r, config) if r < config.full_safe else 0.0
-                half = np.array([risk(self.radius[n]) / 2 for n in self.at])
+                half = np.array([node_risk(self.radius[n], config) / 2 for n in self.at])
                 ids, rows, least = list(self.at), [], np.full(len(self.at), np.inf)
                 degree = np.bincount([place[n] for n in self.src.tolist()], minlength=len(ids))
                 one = ids[int(degree.argmax())]
@@ -136,9 +148,7 @@ class Graph:
         return self.left[2]
 
     def step(self, a: int, b: int, config: MapConfig) -> float:
-        r = self.radius[b]
-        risk = config.safety_bias + config.safety_weight * node_unsafety(r, config) if r < config.full_safe else 0.0
-        return math.dist(self.at[a], self.at[b]) + risk
+        return math.dist(self.at[a], self.at[b]) + node_risk(self.radius[b], config)
 
     def search(self, start: int, goal: int, config: MapConfig, exact: bool = True, heuristic: Callable[[int], float] | None = None, is_goal: Callable[[int], bool] | None = None) -> list[int] | None:
         """Nodes of a least-cost path to the goal, or to the first node that is_goal accepts (a node of some segment, say).
@@ -221,10 +231,9 @@ def plan_paths(requests: DataFrame, safe: DataFrame, edges: DataFrame, connectio
     """query_id, goal_id, success, message, path (node ids), length, cost for requests(query_id, goal_id, sx..gz).
 
     The start snaps to the nearest sphere; the goal tries the nearest sphere of each segment in order of distance. With stored
-    paths the search is over portals: a path is the start leg, stored legs and a goal leg. Each block of requests reads the map
-    tables as one group; requests are spread over many groups. A map with a table of over MOST rows is searched by rounds of
-    joins instead, for the cheapest path of the whole graph, so that every request is answered at any size. Requests without a
-    sphere near start or goal, or with null coordinates, do not succeed; repeated requests are answered each.
+    paths the search is over portals: a path is the start leg, stored legs and a goal leg, by the same searches whatever the
+    map's size. Requests without a sphere near start or goal, or with null coordinates, do not succeed; repeated requests are
+    answered each.
     """
     from lacuna.operators.graph import nearest_node, nearest_per_segment
 
@@ -233,44 +242,229 @@ def plan_paths(requests: DataFrame, safe: DataFrame, edges: DataFrame, connectio
     goals = goal.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("goals"))  # at most one a segment in reach
     asked = requests.select("query_id", "goal_id", F.struct("query_id", "goal_id").alias("pid")).join(start.select("pid", F.col("id").alias("start")), "pid", "left").join(goals, "pid", "left")
     asked = asked.select("query_id", "goal_id", "start", F.coalesce(F.col("goals.id"), F.array().cast("array<long>")).alias("goals"))
-    # The map of one robot is small (a few thousand spheres); it is read once to the driver behind a check of its size.
-    if max(t.limit(MOST + 1).count() for t in (safe, edges, connection, stored)) > MOST:
+    if not use_stored and max(t.limit(MOST + 1).count() for t in (safe, edges)) > MOST:
+        if not exact:
+            raise ValueError(f"compatible whole-graph searches need maps of at most {MOST:,} spheres and edges; ask for exact ones")
         return _plan_by_rounds(asked, safe, edges, config)
-    spark = requests.sparkSession
-    tables = spark.sparkContext.broadcast((safe.select("id", "segment_id", "x", "y", "z", "radius").toPandas(), edges.select("src", "dst", "s1", "s2").toPandas(), connection.toPandas(), stored.select("seg", "nb1", "nb2", "path", "total_unsafety", "min_safedist", "length").toPandas()))
+    # A search for each start and list of goals.
+    asked = written(asked)
+    asks = asked.where("start is not null").select("start", "goals").distinct()
+    found = _by_portals(asks, safe, edges, connection, stored, config) if use_stored else _by_whole_graph(asks, safe, edges, config, exact)
+    done = asked.join(found, ["start", "goals"], "left")
+    good = F.col("path").isNotNull()
+    return done.select("query_id", "goal_id", good.alias("success"), F.when(good, "success!").otherwise("could not find path!").alias("message"), "path", "length", "cost")
+
+
+def _by_whole_graph(asks: DataFrame, safe: DataFrame, edges: DataFrame, config: MapConfig, exact: bool) -> DataFrame:
+    """(start, goals, path, length, cost) of paths without a look at segments; every task holds the graph."""
+    spark = asks.sparkSession
+    tables = spark.sparkContext.broadcast((safe.select("id", "x", "y", "z", "radius").toPandas(), edges.select("src", "dst").toPandas()))
     name, schema = uuid.uuid4().hex, "start long, goals array<long>, path array<long>, length double, cost double"
 
     def run(batches):
-        planner = _planner(name, tables, config)
+        graph = _graph(name, tables)
         for batch in batches:
             out = []
             for s, goals in zip(batch.start, batch.goals, strict=True):
                 for end in goals:
-                    path = planner.portal_path(int(s), int(end)) if use_stored else planner.whole_path(int(s), int(end), exact)
+                    path = graph.search(int(s), int(end), config, exact, graph.bounds(int(end), config) if exact else None) if graph.connected(int(s), int(end)) else None
                     if path:
-                        out.append((s, goals, path, planner.graph.summary(path, config)[0], planner.graph.cost(path, config)))
+                        out.append((s, goals, path, graph.summary(path, config)[0], graph.cost(path, config)))
                         break
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    # A search for each start and list of goals; tasks as many as cores, whatever few bytes the requests are.
-    asked = written(asked)
-    asks, tasks = asked.where("start is not null").select("start", "goals").distinct(), 4 * spark.sparkContext.defaultParallelism
-    asks = asks.repartition(tasks, "start") if use_stored else asks.repartitionByRange(tasks, "goals", "start").sortWithinPartitions("goals", "start")  # bounds are for a goal
-    done = asked.join(written(asks.mapInPandas(run, schema)), ["start", "goals"], "left")
-    good = F.col("path").isNotNull()
-    return done.select("query_id", "goal_id", good.alias("success"), F.when(good, "success!").otherwise("could not find path!").alias("message"), "path", "length", "cost")
+    # Tasks as many as cores, whatever few bytes the requests are; bounds are for a goal.
+    asks = asks.repartitionByRange(4 * spark.sparkContext.defaultParallelism, "goals", "start").sortWithinPartitions("goals", "start")
+    return written(asks.mapInPandas(run, schema))
 
 
-def _planner(name: str, tables, config: MapConfig) -> Planner:
-    """The planner of a broadcast map, built once in each Python worker."""
+def _graph(name: str, tables) -> Graph:
+    """The graph of a broadcast map, built once in each Python worker."""
     if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[name] = Planner(*tables.value, config=config)
+        _BUILT[name] = Graph(*tables.value)
     return _BUILT[name]
 
 
+def _by_portals(asks: DataFrame, safe: DataFrame, edges: DataFrame, connection: DataFrame, stored: DataFrame, config: MapConfig) -> DataFrame:
+    """(start, goals, path, length, cost) of portal searches: all try their nearest goal, then those that failed all others."""
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
+    nodes = safe.select("id", whole("segment_id").alias("seg"), *AXES, "radius")
+    inner = edges.where(whole("s1") == whole("s2")).select(whole("s1").alias("seg"), "src", "dst")
+    place = lambda key, p: nodes.select(F.col("id").alias(key), *(F.col(c).alias(f"{p}{c}") for c in AXES))
+    links = connection.select(F.col("seg").cast("long"), F.col("other").cast("long"), F.col("own_key").alias("own"), F.col("other_key").alias("far"))
+    links = written(links.join(place("own", "o"), "own").join(place("far", "f"), "far"))
+    legs = stored.select(F.col("seg").cast("long"), F.col("nb1").cast("long"), F.col("nb2").cast("long"), "path", "total_unsafety", "min_safedist")
+    tried = written(asks.select("start", "goals", F.posexplode("goals").alias("rank", "goal")))
+    first = tried.where("rank = 0")
+    hit = written(first.join(_portal_paths(first.select("start", "goal").distinct(), nodes, inner, links, legs, config), ["start", "goal"]).select("start", "goals", "path", "length", "cost"))
+    rest = written(tried.where("rank > 0").join(hit.select("start", "goals"), ["start", "goals"], "left_anti"))
+    if rest.isEmpty():
+        return hit
+    late = rest.join(_portal_paths(rest.select("start", "goal").distinct(), nodes, inner, links, legs, config), ["start", "goal"])
+    late = late.groupBy("start", "goals").agg(F.min_by(F.struct("path", "length", "cost"), "rank").alias("b")).select("start", "goals", "b.*")
+    return hit.unionByName(written(late))
+
+
+def _portal_paths(pairs: DataFrame, nodes: DataFrame, inner: DataFrame, links: DataFrame, legs: DataFrame, config: MapConfig) -> DataFrame:
+    """(start, goal, path, length, cost) of the pairs(start, goal) that a path inside their segment or through portals joins."""
+    asks = pairs.join(nodes.select(F.col("id").alias("start"), F.col("seg").alias("s")), "start")
+    asks = written(asks.join(nodes.select(F.col("id").alias("goal"), F.col("seg").alias("t"), *(F.col(c).alias(f"g{c}") for c in AXES)), "goal"))
+    far = asks.where("s <> t")
+    own = far.select("s", "start").distinct().join(links.select(F.col("seg").alias("s"), F.col("other").alias("nb"), "own"), "s")
+    ends = far.select("t", "goal").distinct().join(links.select(F.col("other").alias("t"), F.col("far").alias("end")), "t")
+    ask = lambda df, seg, a, b, path: df.select(F.col(seg).alias("seg"), F.col(a).alias("a"), F.col(b).alias("b"), F.lit(path).alias("whole"))
+    inside = ask(asks.where("s = t"), "s", "start", "goal", True).union(ask(own, "s", "start", "own", True)).union(ask(ends, "t", "end", "goal", False))
+    inside = written(_inner_paths(inside.distinct(), nodes, inner, config))
+    ways = lambda s, a, b: inside.where("whole").select(F.col("seg").alias(s), F.col("a").alias(a), F.col("b").alias(b), "path", "cost")
+    begin = own.join(ways("s", "start", "own"), ["s", "start", "own"]).groupBy("start").agg(F.collect_list(F.struct("nb", "own", "cost")).alias("b"))
+    close = inside.where("not whole").groupBy(F.col("b").alias("goal")).agg(F.collect_set("a").alias("ends"))
+    routes = _portal_routes(far.join(begin.select("start", "b.nb", "b.own", "b.cost"), "start").join(close, "goal"), links, legs, config)
+    last = _inner_paths(ask(routes, "t", "end", "goal", True).distinct(), nodes, inner, config).select(F.col("seg").alias("t"), F.col("a").alias("end"), F.col("b").alias("goal"), "path")
+    hop = lambda i: F.get("hops", F.col("pos") + i)
+    through = routes.where("size(hops) > 2").select("start", "goal", "hops", F.explode(F.sequence(F.lit(1), F.size("hops") - 2)).alias("pos")).select("start", "goal", "pos", hop(0).alias("seg"), F.least(hop(-1), hop(1)).alias("nb1"), F.greatest(hop(-1), hop(1)).alias("nb2"), (hop(-1) > hop(1)).alias("back"))
+    through = through.join(legs, ["seg", "nb1", "nb2"]).select("start", "goal", "pos", F.when(F.col("back"), F.reverse("path")).otherwise(F.col("path")).alias("path"))
+    parts = routes.join(ways("s", "start", "own"), ["s", "start", "own"]).select("start", "goal", F.lit(0).alias("pos"), "path").union(through)
+    parts = parts.union(routes.join(last, ["t", "end", "goal"]).select("start", "goal", F.size("hops").alias("pos"), "path"))
+    joined = parts.groupBy("start", "goal").agg(F.flatten(F.array_sort(F.collect_list(F.struct("pos", "path"))).path).alias("path"))
+    joined = joined.select("start", "goal", F.filter("path", lambda n, i: (i == 0) | (n != F.get("path", i - 1))).alias("path"))  # a leg begins where one ended
+    return _measured(joined.union(asks.where("s = t").join(ways("s", "start", "goal"), ["s", "start", "goal"]).select("start", "goal", "path")), nodes, config)
+
+
+def _inner_paths(asks: DataFrame, nodes: DataFrame, inner: DataFrame, config: MapConfig) -> DataFrame:
+    """(seg, a, b, whole, path, cost) of the asks(seg, a, b, whole) between whose ends a path inside the segment leads; only with `whole` it is searched for.
+
+    The compatible search. A segment's nodes are a group, as in stored_paths; one of many asks has several, each of as many asks as it has nodes or more.
+    """
+    size = asks.groupBy("seg").agg(F.count("*").alias("n")).join(nodes.groupBy("seg").agg(F.count("*").alias("m")), "seg")
+    size = size.select("seg", F.ceil(F.col("n") / F.greatest("m", F.lit(SEARCHES))).cast("int").alias("of"))
+    zero, nil = F.lit(0).cast("long"), F.lit(0.0)
+    held = nodes.select("seg", F.lit(0).alias("kind"), F.col("id").alias("a"), zero.alias("b"), *AXES, "radius", F.lit(False).alias("whole"))
+    held = held.union(inner.select("seg", F.lit(1), "src", "dst", nil, nil, nil, nil, F.lit(False)))
+    held = held.join(size, "seg").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    own = asks.select("seg", F.lit(2).alias("kind"), "a", "b", *(nil.alias(c) for c in AXES), nil.alias("radius"), "whole").join(size, "seg").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("of")).cast("int"))
+    schema = "seg long, a long, b long, whole boolean, path array<long>, cost double"
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        n, e, q = (rows[rows.kind == k] for k in range(3))
+        graph = Graph(n.rename(columns={"a": "id"}), e.rename(columns={"a": "src", "b": "dst"}))
+        both, out = graph.two_way(), []
+        for seg, a, b, whole in zip(q.seg, map(int, q.a), map(int, q.b), q.whole, strict=True):
+            if graph.connected(a, b):
+                path = graph.search(a, b, config, exact=False) if whole or not both else None
+                if path or (both and not whole):
+                    out.append((seg, a, b, whole, path if whole else None, graph.cost(path, config) if whole else None))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return held.union(own).repartition(4 * asks.sparkSession.sparkContext.defaultParallelism, "seg", "part").groupBy("seg", "part").applyInPandas(solve, schema)
+
+
+def portal_route(s: int, t: int, goal: tuple, first: list[tuple[int, float]], ends: set[int], known: set[int], links: dict, legs: dict, config: MapConfig) -> tuple[list[int] | None, set[int]]:
+    """The segments of the path that the portal search finds from s to t, and the segments without which that is not sure.
+
+    first: (neighbour, cost) of the legs from the start; ends: far ends of portals to t from which a leg leads to the goal; links:
+    for each known segment and neighbour the positions of both ends and the far one's id; legs: (unsafety, least radius) by
+    (segment, least and greatest neighbour). Behind an unknown segment it searches on as if that were closed, so as to name more of them.
+    """
+    queue, parent, seen, missing = [], {}, set(), set()
+
+    def push(g, seg, nb, before):
+        heapq.heappush(queue, (g + math.dist(links[seg][nb][1], goal), g, (seg, nb)))
+        parent.setdefault((seg, nb), before)
+
+    for nb, cost in first:
+        push(cost, s, nb, None)
+    while queue:
+        _, g, (seg, nb) = heapq.heappop(queue)
+        if (min(seg, nb), max(seg, nb)) in seen:
+            continue
+        seen.add((min(seg, nb), max(seg, nb)))
+        if nb == t:
+            if links[seg][nb][2] not in ends:
+                continue
+            hops, state = [t], (seg, nb)
+            while state:
+                hops.append(state[0])
+                state = parent[state]
+            return (None if missing else hops[::-1]), missing
+        if nb not in known:
+            missing.add(nb)
+            continue
+        for onward, (own, *_) in sorted(links.get(nb, {}).items()):
+            leg = legs.get((nb, min(seg, onward), max(seg, onward))) if onward != seg else None
+            if leg and (nb, onward) not in parent:
+                risk = config.safety_bias + config.safety_weight * leg[0] if leg[1] < config.full_safe else 0.0
+                push(g + math.dist(links[seg][nb][1], own) + risk, nb, onward, (seg, nb))
+    return None, missing
+
+
+def _portal_routes(asks: DataFrame, links: DataFrame, legs: DataFrame, config: MapConfig) -> DataFrame:
+    """(start, goal, s, t, hops, own, end): segments of the paths of asks(start, goal, s, t, gx, gy, gz, nb, own, cost, ends).
+
+    Asks with the same end segments are a group (or some) that holds the portals and legs of the segments around its starts. A
+    search that comes to others names them; in the next round its group has these and those near them too, until no search lacks any.
+    """
+    tasks, block = 4 * asks.sparkSession.sparkContext.defaultParallelism, ["s", "t", "part"]
+    size = asks.groupBy("s", "t").agg(F.ceil(F.count("*") / SEARCHES).alias("of"))
+    left = written(asks.join(size, ["s", "t"]).withColumn("part", F.pmod(F.xxhash64("start", "goal"), F.col("of"))).drop("of"))
+    near, known = links.select("seg", "other"), None
+    want = left.select(*block, F.col("s").alias("seg")).distinct()
+    zero, nil = F.lit(0).cast("long"), F.lit(0.0)
+    schema, found, rounds = "start long, goal long, s long, t long, part long, hops array<long>, own long, end long, missing array<long>", [], 0
+
+    def solve(asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        known, links, legs, out = set(held.seg[held.kind == 0].tolist()), defaultdict(dict), {}, []
+        for kind, seg, n1, n2, ox, oy, oz, fx, fy, fz in zip(*(held[c].tolist() for c in ("kind", "seg", "n1", "n2", "ox", "oy", "oz", "fx", "fy", "fz")), strict=True):
+            if kind == 1:
+                links[seg][n1] = (ox, oy, oz), (fx, fy, fz), n2
+            elif kind == 2:
+                legs[seg, n1, n2] = ox, oy
+        for start, goal, s, t, part, gx, gy, gz, nb, own, cost, ends in zip(*(asks[c].tolist() for c in ("start", "goal", "s", "t", "part", "gx", "gy", "gz", "nb", "own", "cost", "ends")), strict=True):
+            nb, own = [int(n) for n in nb], [int(n) for n in own]
+            hops, missing = portal_route(s, t, (gx, gy, gz), list(zip(nb, map(float, cost), strict=True)), set(map(int, ends)), known, links, legs, config)
+            out.append((start, goal, s, t, part, hops, hops and own[nb.index(hops[1])], hops and links[hops[-2]][t][2], sorted(missing)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"own": "Int64", "end": "Int64"})
+
+    while True:
+        rounds += 1
+        for _ in range(min(rounds, 4)):
+            want = want.union(want.join(near, "seg").select(*block, F.col("other").alias("seg"))).distinct()
+        fresh = written(want if known is None else known.union(want).distinct())
+        held = fresh.select(*block, "seg", F.lit(0).alias("kind"), zero.alias("n1"), zero.alias("n2"), *(nil.alias(f"{p}{c}") for p in "of" for c in AXES))
+        held = held.union(fresh.join(links, "seg").select(*block, "seg", F.lit(1), "other", "far", *(f"{p}{c}" for p in "of" for c in AXES)))
+        held = held.union(fresh.join(legs, "seg").select(*block, "seg", F.lit(2), "nb1", "nb2", "total_unsafety", "min_safedist", nil, nil, nil, nil))
+        out = written(left.repartition(tasks, *block).groupBy(*block).cogroup(held.repartition(tasks, *block).groupBy(*block)).applyInPandas(solve, schema))
+        found.append(out.where("hops is not null").select("start", "goal", "s", "t", "hops", "own", "end"))
+        lack = out.where("size(missing) > 0")
+        if lack.isEmpty():
+            return reduce(DataFrame.union, found)
+        after = written(left.join(lack.select("start", "goal"), ["start", "goal"], "left_semi"))
+        forget(left, *([known] if known is not None else []))
+        left, known, want = after, fresh, lack.select(*block, F.explode("missing").alias("seg")).distinct()
+
+
+def _measured(ways: DataFrame, nodes: DataFrame, config: MapConfig) -> DataFrame:
+    """(start, goal, path, length, cost) of ways(start, goal, path), the steps summed in their order."""
+    points = ways.select("start", "goal", F.posexplode("path").alias("pos", "id")).join(nodes, "id")
+    points = points.groupBy("start", "goal").agg(F.array_sort(F.collect_list(F.struct("pos", "id", *AXES, "radius"))).alias("p")).select("start", "goal", "p.id", *(f"p.{c}" for c in (*AXES, "radius")))
+    schema = "start long, goal long, path array<long>, length double, cost double"
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for start, goal, *lists in zip(*(batch[c] for c in ("start", "goal", "id", *AXES, "radius")), strict=True):
+                path, x, y, z, radius = (c.tolist() for c in lists)  # Python's sum is exact for its own floats only
+                at = list(zip(x, y, z, strict=True))
+                steps = [math.dist(a, b) for a, b in zip(at, at[1:], strict=False)]
+                cost = sum(d + node_risk(r, config) for d, r, a, b in zip(steps, radius[1:], path, path[1:], strict=False) if a != b)
+                out.append((start, goal, path, sum(steps), cost))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return points.mapInPandas(run, schema)
+
+
 def _plan_by_rounds(asked: DataFrame, safe: DataFrame, edges: DataFrame, config: MapConfig) -> DataFrame:
-    """The same answers for maps that no task can hold: cheapest paths over the whole graph, by relaxation of joined tables."""
+    """The same answers as of exact whole-graph searches, for maps that no task can hold: cheapest paths over the whole graph, by relaxation of joined tables."""
     size = safe.select("id", *AXES, "radius")
     step = edges.select("src", "dst").join(size.withColumnsRenamed({"id": "src", "x": "x1", "y": "y1", "z": "z1"}).drop("radius"), "src").join(size.withColumnRenamed("id", "dst"), "dst")
     length = F.sqrt(sum(((F.col(f"{c}1") - F.col(c)) * (F.col(f"{c}1") - F.col(c)) for c in AXES), F.lit(0.0)))
@@ -289,81 +483,6 @@ def _plan_by_rounds(asked: DataFrame, safe: DataFrame, edges: DataFrame, config:
     return done.select("query_id", "goal_id", good.alias("success"), F.when(good, "success!").otherwise("could not find path!").alias("message"), F.col("b.path").alias("path"), "length", F.col("b.cost").alias("cost"))
 
 
-class Planner:
-    def __init__(self, nodes, edges, connection, stored, config: MapConfig):
-        self.config = config
-        self.graph = Graph(nodes, edges)
-        self.segment = dict(zip(map(int, nodes.id), map(int, nodes.segment_id), strict=True))
-        inner = edges[edges.s1 == edges.s2]
-        self.inner = {s: Graph(n, inner[inner.s1 == s]) for s, n in nodes.groupby("segment_id")}
-        self.first: dict[tuple[int, int], list[int] | None] = {}
-        self.links = defaultdict(dict)
-        for seg, other, own, far in zip(connection.seg, connection.other, connection.own_key, connection.other_key, strict=True):
-            self.links[int(seg)][int(other)] = (int(own), int(far))
-        self.stored = {(int(s), int(a), int(b)): ([int(x) for x in p], u, m) for s, a, b, p, u, m in zip(stored.seg, stored.nb1, stored.nb2, stored.path, stored.total_unsafety, stored.min_safedist, strict=True)}
-
-    def whole_path(self, start: int, goal: int, exact: bool) -> list[int] | None:
-        """A path through the whole graph, without a look at segments."""
-        if not self.graph.connected(start, goal):
-            return None
-        return self.graph.search(start, goal, self.config, exact, self.graph.bounds(goal, self.config) if exact else None)
-
-    def inner_path(self, seg: int, start: int, goal: int) -> list[int] | None:
-        """A path inside a segment; legs between a portal's end and some node are asked for often, and kept."""
-        if (start, goal) not in self.first:
-            if len(self.first) >= 100_000:
-                self.first.clear()
-            graph = self.inner[seg]
-            self.first[start, goal] = graph.search(start, goal, self.config, exact=False) if graph.connected(start, goal) else None
-        return self.first[start, goal]
-
-    def leg(self, seg: int, a: int, b: int) -> tuple[list[int], float, float] | None:
-        """Stored path through a segment from the portal to a to the portal to b."""
-        found = self.stored.get((seg, min(a, b), max(a, b)))
-        return found and (found[0] if a < b else found[0][::-1], found[1], found[2])
-
-    def portal_path(self, start: int, goal: int) -> list[int] | None:
-        s, t, at = self.segment[start], self.segment[goal], self.graph.at
-        if s == t:
-            return self.inner_path(s, start, goal)
-        queue, parent, seen = [], {}, set()
-
-        def push(g, seg, nb, before):
-            own, far = self.links[seg][nb]
-            state = (seg, nb)
-            heapq.heappush(queue, (g + math.dist(at[far], at[goal]), g, state))
-            parent.setdefault(state, before)
-
-        for nb, (own, _) in sorted(self.links[s].items()):
-            path = self.inner_path(s, start, own)
-            if path:
-                push(self.inner[s].cost(path, self.config), s, nb, path)
-        while queue:
-            _, g, (seg, nb) = heapq.heappop(queue)
-            if (min(seg, nb), max(seg, nb)) in seen:
-                continue
-            seen.add((min(seg, nb), max(seg, nb)))
-            if nb == t:
-                own, far = self.links[seg][nb]
-                last = self.inner_path(t, far, goal)
-                if not last:
-                    continue
-                path, state = last, (seg, nb)
-                while True:
-                    before = parent[state]
-                    if isinstance(before, list):
-                        return [n for n, m in zip(before + path, (before + path)[1:] + [None], strict=True) if n != m]
-                    leg = self.leg(state[0], before[0], state[1])
-                    path, state = leg[0] + path, before
-            for onward, (own, _) in sorted(self.links[nb].items()):
-                leg = self.leg(nb, seg, onward) if onward != seg else None
-                if leg and (nb, onward) not in parent:
-                    risk = self.config.safety_bias + self.config.safety_weight * leg[1] if leg[2] < self.config.full_safe else 0.0
-                    length = math.dist(at[self.links[seg][nb][1]], at[own])
-                    push(g + length + risk, nb, onward, (seg, nb))
-        return None
-
-
 def metrics(points: DataFrame, config: MapConfig = DEFAULT, base: float = 1.6) -> DataFrame:
     """Length, unsafety (without the first point), least distance and linear cost of paths in long form (path_id, seq, x, y, z, odist)."""
     w = Window.partitionBy("path_id").orderBy("seq")
