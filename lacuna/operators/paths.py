@@ -401,16 +401,18 @@ def portal_route(s: int, t: int, goal: tuple, first: list[tuple[int, float]], en
 def _portal_routes(asks: DataFrame, links: DataFrame, legs: DataFrame, config: MapConfig) -> DataFrame:
     """(start, goal, s, t, hops, own, end): segments of the paths of asks(start, goal, s, t, gx, gy, gz, nb, own, cost, ends).
 
-    Asks with the same end segments are a group (or some) that holds the portals and legs of the segments around its starts. A
-    search that comes to others names them; in the next round its group has these and those near them too, until no search lacks any.
+    Groups of asks, those of a start segment together but where they are many, hold the portals and legs of the segments around
+    their starts. A search that comes to others names them; in the next round its group has these and those near them too, until
+    no search lacks any. The groups are few (four a core, more for many asks), as a failing search may come to all segments.
     """
-    tasks, block = 4 * asks.sparkSession.sparkContext.defaultParallelism, ["s", "t", "part"]
-    size = asks.groupBy("s", "t").agg(F.ceil(F.count("*") / SEARCHES).alias("of"))
-    left = written(asks.join(size, ["s", "t"]).withColumn("part", F.pmod(F.xxhash64("start", "goal"), F.col("of"))).drop("of"))
-    near, known = links.select("seg", "other"), None
-    want = left.select(*block, F.col("s").alias("seg")).distinct()
+    tasks = 4 * asks.sparkSession.sparkContext.defaultParallelism
+    size = asks.groupBy("s").agg(F.ceil(F.count("*") / SEARCHES).alias("of"))
+    left = written(asks.join(size, "s").withColumn("part", F.xxhash64("s", F.pmod(F.xxhash64("start"), F.col("of")))).drop("of"))
+    left = left.withColumn("part", F.pmod("part", F.lit(max(tasks, left.count() // (10 * SEARCHES))).cast("long")))
+    near, known, found = links.select("seg", "other"), None, []
+    want = left.select("part", F.col("s").alias("seg")).distinct()
     zero, nil = F.lit(0).cast("long"), F.lit(0.0)
-    schema, found, rounds = "start long, goal long, s long, t long, part long, hops array<long>, own long, end long, missing array<long>", [], 0
+    schema = "start long, goal long, s long, t long, part long, hops array<long>, own long, end long, missing array<long>"
 
     def solve(asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         known, links, legs, out = set(held.seg[held.kind == 0].tolist()), defaultdict(dict), {}, []
@@ -426,21 +428,20 @@ def _portal_routes(asks: DataFrame, links: DataFrame, legs: DataFrame, config: M
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"own": "Int64", "end": "Int64"})
 
     while True:
-        rounds += 1
-        for _ in range(min(rounds, 4)):
-            want = want.union(want.join(near, "seg").select(*block, F.col("other").alias("seg"))).distinct()
+        want = want.union(want.join(near, "seg").select("part", F.col("other").alias("seg"))).distinct()
         fresh = written(want if known is None else known.union(want).distinct())
-        held = fresh.select(*block, "seg", F.lit(0).alias("kind"), zero.alias("n1"), zero.alias("n2"), *(nil.alias(f"{p}{c}") for p in "of" for c in AXES))
-        held = held.union(fresh.join(links, "seg").select(*block, "seg", F.lit(1), "other", "far", *(f"{p}{c}" for p in "of" for c in AXES)))
-        held = held.union(fresh.join(legs, "seg").select(*block, "seg", F.lit(2), "nb1", "nb2", "total_unsafety", "min_safedist", nil, nil, nil, nil))
-        out = written(left.repartition(tasks, *block).groupBy(*block).cogroup(held.repartition(tasks, *block).groupBy(*block)).applyInPandas(solve, schema))
+        held = fresh.select("part", "seg", F.lit(0).alias("kind"), zero.alias("n1"), zero.alias("n2"), *(nil.alias(f"{p}{c}") for p in "of" for c in AXES))
+        held = held.union(fresh.join(links, "seg").select("part", "seg", F.lit(1), "other", "far", *(f"{p}{c}" for p in "of" for c in AXES)))
+        held = held.union(fresh.join(legs, "seg").select("part", "seg", F.lit(2), "nb1", "nb2", "total_unsafety", "min_safedist", nil, nil, nil, nil))
+        out = written(left.repartition(tasks, "part").groupBy("part").cogroup(held.repartition(tasks, "part").groupBy("part")).applyInPandas(solve, schema))
         found.append(out.where("hops is not null").select("start", "goal", "s", "t", "hops", "own", "end"))
         lack = out.where("size(missing) > 0")
         if lack.isEmpty():
             return reduce(DataFrame.union, found)
-        after = written(left.join(lack.select("start", "goal"), ["start", "goal"], "left_semi"))
-        forget(left, *([known] if known is not None else []))
-        left, known, want = after, fresh, lack.select(*block, F.explode("missing").alias("seg")).distinct()
+        left = written(left.join(lack.select("start", "goal"), ["start", "goal"], "left_semi"))
+        known = written(fresh.join(left.select("part").distinct(), "part", "left_semi"))
+        forget(fresh)
+        want = lack.select("part", F.explode("missing").alias("seg")).distinct()
 
 
 def _measured(ways: DataFrame, nodes: DataFrame, config: MapConfig) -> DataFrame:
